@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from ..functions.folds import next_fit
 from ..functions.text import join_sorted, token_count
@@ -47,7 +48,7 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataF
 def with_bpe_tokens(df: DataFrame, encoding_name: str, text: str = "text", out: str = "tokens") -> DataFrame:
     """Counts by a byte-pair vocabulary available on the executors, in Arrow batches."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import tiktoken
 

@@ -129,14 +129,11 @@ def backfill(events: DataFrame, ledger: DataFrame, matters: DataFrame) -> DataFr
 
 def backfill_counts(events: DataFrame, inserted: DataFrame) -> DataFrame:
     """scanned, inserted, skipped: cost-bearing events that were zero or already recorded."""
-    seen = events.agg(
-        F.count("*").alias("scanned"),
-        F.count_if((F.col("event") == "matter_query") & F.col("has_cost")).alias("_bearing"),
-    )
-    n = inserted.agg(F.count("*").alias("inserted"))
-    one = F.lit(1).alias("_k")
-    return seen.select("*", one).join(n.select("*", one), "_k").select(
-        "scanned", "inserted", (F.col("_bearing") - F.col("inserted")).alias("skipped")
+    bearing = ((F.col("event") == "matter_query") & F.col("has_cost")).cast("int")
+    seen = events.select(F.lit(1).alias("s"), F.coalesce(bearing, F.lit(0)).alias("b"), F.lit(0).alias("i"))
+    added = inserted.select(F.lit(0).alias("s"), F.lit(0).alias("b"), F.lit(1).alias("i"))
+    return seen.unionByName(added).agg(
+        F.sum("s").alias("scanned"), F.sum("i").alias("inserted"), (F.sum("b") - F.sum("i")).alias("skipped")
     )
 
 

@@ -21,11 +21,11 @@ STATUS_LABELS = {
 }
 NO_TEXT = "No readable text was extracted from this file."
 SPARSE = (
-    "Scanned pages produced only %.0f characters per page on average (typical is over 1,500). "
+    "Scanned pages produced only %d characters per page on average (typical is over 1,500). "
     "The scan may be too faint, skewed, or low-resolution to read."
 )
 ILLEGIBLE = (
-    "Only %.0f%% of the recognised characters look like normal text, so the scan was probably misread. "
+    "Only %d%% of the recognised characters look like normal text, so the scan was probably misread. "
     "A clearer copy would give better results."
 )
 INDEX_REASON = {
@@ -46,6 +46,10 @@ def extraction_measures(pages: DataFrame) -> DataFrame:
     )
 
 
+def whole(x: Column) -> Column:
+    return F.bround(x, 0).cast("long")
+
+
 def extraction_verdict(files: DataFrame, pages: DataFrame) -> DataFrame:
     """Per file: chars, chars_per_page, legible_ratio, quality, quality_detail."""
     m = files.select("file_id").join(extraction_measures(pages), "file_id", "left")
@@ -61,8 +65,8 @@ def extraction_verdict(files: DataFrame, pages: DataFrame) -> DataFrame:
     detail = (
         F.when(F.col("quality") == "failed_no_text", NO_TEXT)
         .when(F.col("quality") == "ok", "")
-        .when(F.col("chars_per_page") < MIN_CHARS_PER_PAGE, F.format_string(SPARSE, "chars_per_page"))
-        .otherwise(F.format_string(ILLEGIBLE, F.col("legible_ratio") * 100))
+        .when(F.col("chars_per_page") < MIN_CHARS_PER_PAGE, F.format_string(SPARSE, whole(F.col("chars_per_page"))))
+        .otherwise(F.format_string(ILLEGIBLE, whole(F.col("legible_ratio") * 100)))
     )
     return (
         m.withColumn("chars_per_page", per_page)

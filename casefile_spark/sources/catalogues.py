@@ -45,18 +45,19 @@ def tier_bounds(prices: DataFrame, price: str, exact: bool = True) -> DataFrame:
     return prices.agg(pick(price, F.lit(0.5)).alias("p50"), pick(price, F.lit(0.9)).alias("p90"))
 
 
+# Fixed value: forum -> proceeding -> deadline -> description, rule and required documents.
 CATALOGUE_SCHEMA = (
-    "map<string, struct<label string, proceedings map<string, struct<label string, "
-    "deadlines map<string, struct<label string, rule string, required_docs array<string>>>>>>>"
+    "map<string, map<string, map<string, struct<description string, rule_citation string, "
+    "required_documents array<struct<name string, form_number string, notes string>>>>>>"
 )
 
 
 def flatten_catalogue(raw: DataFrame, column: str = "value") -> DataFrame:
     """Forum, proceeding, deadline and required document as one row each; empty lists keep a row."""
     forums = raw.select(F.explode(F.from_json(column, CATALOGUE_SCHEMA)).alias("forum", "_f"))
-    proceedings = forums.select("forum", F.explode_outer("_f.proceedings").alias("proceeding", "_p"))
-    deadlines = proceedings.select("forum", "proceeding", F.explode_outer("_p.deadlines").alias("deadline", "_d"))
+    proceedings = forums.select("forum", F.explode("_f").alias("proceeding", "_p"))
+    deadlines = proceedings.select("forum", "proceeding", F.explode("_p").alias("deadline", "_d"))
     return deadlines.select(
-        "forum", "proceeding", "deadline", F.col("_d.rule").alias("rule"),
-        F.posexplode_outer("_d.required_docs").alias("doc_no", "required_doc"),
-    )
+        "forum", "proceeding", "deadline", "_d.description", "_d.rule_citation",
+        F.posexplode_outer("_d.required_documents").alias("doc_no", "_r"),
+    ).select("forum", "proceeding", "deadline", "description", "rule_citation", "doc_no", "_r.*")

@@ -17,7 +17,11 @@ def render_timestamp(ts: Column) -> Column:
 
 
 def render_number(x: Column) -> Column:
-    return F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(x.cast("string"))
+    """Whole numbers without a fraction; others with their shortest digits, never in powers of ten."""
+    digits = x.cast("string")
+    plain = F.regexp_replace(digits.cast("decimal(38,16)").cast("string"), r"0+$", "")
+    ordinary = (F.abs(x) >= 1e-3) & (F.abs(x) < 1e7)
+    return F.when(x == F.floor(x), F.format_string("%.0f", x)).when(ordinary, digits).otherwise(plain)
 
 
 def render_cell(kind: Column, text: Column, number: Column, ts: Column) -> Column:

@@ -19,7 +19,9 @@ LEDGER_AS_OF = "2000-01-01 00:00:00"
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    local = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
 
 def matter_of(source):
@@ -154,7 +156,9 @@ def task_costs(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("model-"), F.lower("o_orderstatus")).alias("model_used"),
         F.floor("o_totalprice").cast("long").alias("input_tokens"),
         F.floor(F.col("o_totalprice") / 10).cast("long").alias("output_tokens"),
-        F.when(F.col("o_orderstatus") != "P", (F.col("o_totalprice") / 100000).cast("decimal(18,6)")).alias("cost_usd"),
+        F.when(
+            F.col("o_orderstatus") != "P", (F.floor("o_totalprice").cast("decimal(11,0)") * F.expr("0.000001BD")).cast("decimal(18,6)")
+        ).alias("cost_usd"),
         F.when(F.col("o_orderpriority") != "1-URGENT", F.floor(F.col("o_totalprice")) / 8).alias("duration_seconds"),
         (F.col("o_orderstatus") == "F").alias("was_exhaustive"),
         F.when(F.col("o_orderstatus") == "O", "failed").otherwise("completed").alias("status"),

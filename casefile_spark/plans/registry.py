@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import wraps
 from importlib import import_module
 
-MODULES = ("retrieval_queries",)
+MODULES = ("retrieval_queries", "ledger_queries")
 
 
 def _collect(name: str) -> dict:
@@ -18,8 +19,17 @@ def _collect(name: str) -> dict:
     return out
 
 
+def _in_utc(query):
+    @wraps(query)
+    def run(spark, sf):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, sf)
+
+    return run
+
+
 def queries() -> dict:
-    return _collect("QUERIES")
+    return {name: _in_utc(query) for name, query in _collect("QUERIES").items()}
 
 
 def oracle_sql() -> dict:

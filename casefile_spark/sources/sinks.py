@@ -17,7 +17,6 @@ def ledger_csv_rows(rows: DataFrame, time_zone: str = "UTC") -> DataFrame:
     def text(name: str, empty: str = "") -> Column:
         return F.coalesce(F.col(name).cast("string"), F.lit(empty))
 
-    cost = F.col("cost_usd").cast("double")
     seconds = F.col("duration_seconds").cast("double")
     local = F.date_format(F.from_utc_timestamp("timestamp", time_zone), "yyyy-MM-dd")
     values = (
@@ -31,13 +30,10 @@ def ledger_csv_rows(rows: DataFrame, time_zone: str = "UTC") -> DataFrame:
         text("status"),
         text("input_tokens", "0"),
         text("output_tokens", "0"),
-        F.coalesce(F.format_string("%.4f", F.col("cost_usd").cast("decimal(18,6)")), F.lit("")),
-        F.coalesce(F.format_string("%.1f", seconds), F.lit("")),
+        F.coalesce(F.round(F.col("cost_usd").cast("decimal(18,6)"), 4).cast("decimal(18,4)").cast("string"), F.lit("")),
+        F.when(seconds.isNull(), F.lit("")).otherwise(F.format_string("%.1f", F.bround(seconds, 1))),
     )
-    blank_cost = F.when(cost.isNull(), F.lit("")).otherwise(values[10])
-    blank_secs = F.when(seconds.isNull(), F.lit("")).otherwise(values[11])
-    cols = [*values[:10], blank_cost, blank_secs]
-    return rows.select(*[c.alias(n) for c, n in zip(cols, CSV_COLUMNS)])
+    return rows.select(*[c.alias(n) for c, n in zip(values, CSV_COLUMNS)])
 
 
 def write_ledger_csv(rows: DataFrame, folder: str, time_zone: str = "UTC") -> None:

@@ -74,7 +74,7 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
     slack = F.when(F.col("level").isNotNull(), F.least("level", F.lit(MAX_HEADING_DEPTH)) - F.col("_i"))
     df = running(df, key, order, seg, Running("min", slack, "_slack"))
     depth = F.when(F.col("level").isNotNull(), F.col("_i") + F.least(F.lit(0), F.col("_slack")))
-    df = df.withColumn("_depth", F.least(depth, F.lit(MAX_HEADING_DEPTH)))
+    df = df.withColumn("_depth", F.when(depth.isNotNull(), F.least(depth, F.lit(MAX_HEADING_DEPTH))))
     here = F.struct("seq", F.trim("text").alias("text"))
     levels = range(1, MAX_HEADING_DEPTH + 1)
     df = running(

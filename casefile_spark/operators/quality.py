@@ -12,12 +12,12 @@ MIN_CHARS_PER_PAGE = 150
 MIN_LEGIBLE_RATIO = 0.85
 QUERYABLE = ("ingested", "ocr_low_quality")
 STATUS_LABELS = {
-    "pending": "Pending",
     "ingested": "Ready",
-    "ocr_low_quality": "Low quality scan",
+    "ocr_low_quality": "Poor scan quality",
     "failed_no_text": "No readable text",
     "password_protected": "Password protected",
-    "failed": "Failed",
+    "failed": "Ingest failed",
+    "pending": "Not yet processed",
 }
 NO_TEXT = "No readable text was extracted from this file."
 SPARSE = (

@@ -17,8 +17,10 @@ def triage_pages(page_text: DataFrame) -> DataFrame:
     page_text: file_id, page_no, native_text, ocr_text, near_white. A NULL ``near_white`` means the
     page could not be rendered. Adds text, status (native, ocr, blank, unreadable).
     """
-    native = strip(F.coalesce("native_text", F.lit("")))
-    ocr = strip(F.coalesce("ocr_text", F.lit("")))
+    page_text = page_text.withColumns(
+        {"_n": strip(F.coalesce("native_text", F.lit(""))), "_o": strip(F.coalesce("ocr_text", F.lit("")))}
+    )
+    native, ocr = F.col("_n"), F.col("_o")
     status = (
         F.when(native != "", "native")
         .when(ocr != "", "ocr")

@@ -27,9 +27,18 @@ def block_of(pos: Column, rows: int = 100_000) -> Column:
     return F.floor(pos / F.lit(rows))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *wanted: Running) -> DataFrame:
-    """Add the wanted running values; ``segment`` must not decrease along ``order``."""
-    df = df.withColumn("_seg", segment)
+def segmented(df: DataFrame, segment: Column) -> DataFrame:
+    """Fix the segment column once, so that several running values share one shuffle of the rows."""
+    return df.withColumn("_seg", segment)
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], segment: Column | None, *wanted: Running) -> DataFrame:
+    """Add the wanted running values; the segment must not decrease along ``order``.
+
+    Without ``segment`` the rows were prepared by ``segmented`` and keep their segment column.
+    """
+    if segment is not None:
+        df = segmented(df, segment)
     for i, r in enumerate(wanted):
         df = df.withColumn(f"_v{i}", r.value)
     at = F.struct(*order)
@@ -80,15 +89,19 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column, *
             out = F.when(F.row_number().over(inside) == 1, c).otherwise(F.lag(v).over(inside))
         return out.alias(r.out)
 
-    keep = [c for c in df.columns if not c.startswith(("_v", "_seg"))]
+    gone = {f"_v{i}" for i in range(len(wanted))} | ({"_seg"} if segment is not None else set())
+    keep = [c for c in df.columns if c not in gone]
     return joined.select(*keep, *[combined(i, r) for i, r in enumerate(wanted)])
 
 
-def islands(df: DataFrame, keys: list[str], order: list[str], segment: Column, run_of: list[str], out: str) -> DataFrame:
+def islands(
+    df: DataFrame, keys: list[str], order: list[str], segment: Column | None, run_of: list[str], out: str
+) -> DataFrame:
     """Number consecutive runs of equal ``run_of`` values within a key, starting at 1."""
     now = F.struct(*run_of)
-    seen = running(df, keys, order, segment, Running("previous", now, "_prev"))
+    if segment is not None:
+        df = segmented(df, segment)
+    seen = running(df, keys, order, None, Running("previous", now, "_prev"))
     fresh = F.when(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(now), 1).otherwise(0)
-    return running(
-        seen.withColumn("_fresh", fresh), keys, order, segment, Running("sum", F.col("_fresh"), out)
-    ).drop("_prev", "_fresh")
+    numbered = running(seen.withColumn("_fresh", fresh), keys, order, None, Running("sum", F.col("_fresh"), out))
+    return numbered.drop("_prev", "_fresh", *(["_seg"] if segment is not None else []))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ WINDOW_TOKENS = 700
 WINDOW_OVERLAP = 100
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(col: Column) -> Column:
     """Whitespace tokens; NULL text gives an empty array."""
     return F.filter(F.split(F.coalesce(col, F.lit("")), r"\s+"), lambda t: t != "")
@@ -82,13 +88,13 @@ def _decode_entity(ent: Column) -> Column:
 
 def unescape_entities(col: Column) -> Column:
     """Named (HTML 4) and numeric character references to characters, in one pass."""
-    pieces = F.split(col, ENTITY, -1)
-    found = F.regexp_extract_all(col, F.lit(ENTITY), 0)
-    decoded = F.transform(found, _decode_entity)
-    rebuilt = F.array_join(
-        F.zip_with(pieces, decoded, lambda p, d: F.concat(p, F.coalesce(d, F.lit("")))), ""
-    )
-    return F.when(F.instr(col, "&") == 0, col).otherwise(rebuilt)
+
+    def rebuilt(text: Column) -> Column:
+        decoded = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), 0), _decode_entity)
+        joined = F.zip_with(F.split(text, ENTITY, -1), decoded, lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
+        return F.when(F.instr(text, "&") == 0, text).otherwise(F.array_join(joined, ""))
+
+    return let(col, rebuilt)
 
 
 def html_to_text(col: Column) -> Column:

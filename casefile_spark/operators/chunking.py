@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
-from ..functions.segments import Running, block_of, islands, running
+from ..functions.segments import Running, block_of, islands, running, segmented
 from ..functions.text import WINDOW_OVERLAP, WINDOW_TOKENS, token_count, token_windows, tokens
 
 # Fixed values of headings, table labels, header search and sheet locators.
@@ -24,7 +24,6 @@ def window_chunks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per overlapping window: keep..., window_no (from 0), windows, text."""
     return (
         df.select(*keep, tokens(F.col(text)).alias("_tok"))
-        .filter(F.size("_tok") > 0)
         .select(*keep, token_windows(F.col("_tok")).alias("_w"))
         .select(*keep, F.size("_w").alias("windows"), F.posexplode("_w").alias("window_no", "text"))
         .select(*keep, "window_no", "windows", "text")
@@ -62,7 +61,8 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
     Both that minimum and "the last heading at each depth" are running values, so a document of any
     length is handled without folding it row by row.
     """
-    key, order, seg = ["file_id"], ["seq"], block_of(F.col("seq"), rows_per_segment)
+    key, order, seg = ["file_id"], ["seq"], None
+    blocks = segmented(blocks, block_of(F.col("seq"), rows_per_segment))
     is_para = F.col("kind") == "para"
     level = F.when(is_para & (F.trim(F.coalesce("text", F.lit(""))) != ""), heading_level(F.col("style")))
     df = blocks.withColumn("level", level)
@@ -88,7 +88,7 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
         slots.append(F.when(at > after, F.col(f"_h{d}.text")))
         after = F.greatest(after, F.coalesce(at, F.lit(-1).cast("long")))
     path = F.array_compact(F.array(*slots))
-    return df.withColumn("heading_path", path).drop("_i", "_slack", "_depth", *[f"_h{d}" for d in levels])
+    return df.withColumn("heading_path", path).drop("_seg", "_i", "_slack", "_depth", *[f"_h{d}" for d in levels])
 
 
 def block_locator(path: Column, para_no: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.segments import Running, block_of, islands, running
+from ..functions.segments import Running, block_of, islands, running, segmented
 from ..functions.text import collapse_key, join_sorted, squeeze, strip
 
 # Block pattern, schemas, date layouts, hedge words, table headers and wording.
@@ -198,7 +198,8 @@ def markdown_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables: result_id, table_no, title (nearest heading above), headers, rows, note.
     rows: result_id, table_no, row_no, cells - squared off to the header width.
     """
-    key, order, seg = ["result_id"], ["line_no"], block_of(F.col("line_no"))
+    key, order, seg = ["result_id"], ["line_no"], None
+    lines = segmented(lines, block_of(F.col("line_no")))
     pipe = strip(F.col("line")).startswith("|")
     headline = F.when(F.col("line").rlike(HEADING), F.struct(F.trim(F.regexp_extract("line", HEADING, 1)).alias("t")))
     df = running(

@@ -71,7 +71,7 @@ def next_fit(
         (initial if initial is not None else zero).cast("long").alias("initial"),
         (reset if reset is not None else zero).cast("long").alias("reset"),
         F.floor(F.col(pos) / segment_rows).cast("long").alias("seg"),
-    )
+    ).repartition(*keys, "seg")  # both passes over the segments read this one shuffle
     key_ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*keys).schema)
 
     def report(table: pa.Table) -> pa.Table:

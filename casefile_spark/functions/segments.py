@@ -27,9 +27,9 @@ def block_of(pos: Column, rows: int = 100_000) -> Column:
     return F.floor(pos / F.lit(rows))
 
 
-def segmented(df: DataFrame, segment: Column) -> DataFrame:
-    """Fix the segment column once, so that several running values share one shuffle of the rows."""
-    return df.withColumn("_seg", segment)
+def segmented(df: DataFrame, keys: list[str], segment: Column) -> DataFrame:
+    """Cut into segments and shuffle the rows once; everything below reads that one shuffle."""
+    return df.withColumn("_seg", segment).repartition(*keys, "_seg")
 
 
 def running(df: DataFrame, keys: list[str], order: list[str], segment: Column | None, *wanted: Running) -> DataFrame:
@@ -38,7 +38,7 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column |
     Without ``segment`` the rows were prepared by ``segmented`` and keep their segment column.
     """
     if segment is not None:
-        df = segmented(df, segment)
+        df = segmented(df, keys, segment)
     for i, r in enumerate(wanted):
         df = df.withColumn(f"_v{i}", r.value)
     at = F.struct(*order)
@@ -94,14 +94,27 @@ def running(df: DataFrame, keys: list[str], order: list[str], segment: Column |
     return joined.select(*keep, *[combined(i, r) for i, r in enumerate(wanted)])
 
 
-def islands(
-    df: DataFrame, keys: list[str], order: list[str], segment: Column | None, run_of: list[str], out: str
-) -> DataFrame:
-    """Number consecutive runs of equal ``run_of`` values within a key, starting at 1."""
-    now = F.struct(*run_of)
-    if segment is not None:
-        df = segmented(df, segment)
-    seen = running(df, keys, order, None, Running("previous", now, "_prev"))
-    fresh = F.when(F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(now), 1).otherwise(0)
-    numbered = running(seen.withColumn("_fresh", fresh), keys, order, None, Running("sum", F.col("_fresh"), out))
-    return numbered.drop("_prev", "_fresh", *(["_seg"] if segment is not None else []))
+def islands(df: DataFrame, keys: list[str], order: list[str], segment: Column, run_of: list[str], out: str) -> DataFrame:
+    """Number consecutive runs of equal ``run_of`` values within a key, starting at 1.
+
+    Inside a segment a row opens a run when it differs from the row before; whether the first row of
+    a segment opens one is known from the last row of the segment before.
+    """
+    inside = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    at, now = F.struct(*order), F.struct(*run_of)
+    df = segmented(df, keys, segment).withColumn("_turn", F.row_number().over(inside)).withColumn(
+        "_opens", F.when((F.col("_turn") > 1) & ~F.lag(now).over(inside).eqNullSafe(now), 1).otherwise(0)
+    )
+    per_segment = df.groupBy(*keys, "_seg").agg(
+        F.sum("_opens").alias("_n"), F.min_by(now, at).alias("_first"), F.max_by(now, at).alias("_last")
+    )
+    over_segments = Window.partitionBy(*keys).orderBy("_seg")
+    before = over_segments.rowsBetween(Window.unboundedPreceding, -1)
+    edge = F.when(F.lag("_last").over(over_segments).eqNullSafe(F.col("_first")), 0).otherwise(1)
+    based = per_segment.withColumn("_edge", edge).select(
+        *keys, "_seg", (F.coalesce(F.sum(F.col("_n") + F.col("_edge")).over(before), F.lit(0)) + F.col("_edge")).alias("_base")
+    )
+    condition = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, "_seg"]]
+    numbered = df.alias("l").join(based.alias("r"), condition).select("l.*", "r._base")
+    run_no = F.col("_base") + F.sum("_opens").over(inside)
+    return numbered.withColumn(out, run_no).drop("_seg", "_turn", "_opens", "_base")

@@ -61,25 +61,21 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
     Both that minimum and "the last heading at each depth" are running values, so a document of any
     length is handled without folding it row by row.
     """
-    key, order, seg = ["file_id"], ["seq"], None
-    blocks = segmented(blocks, block_of(F.col("seq"), rows_per_segment))
+    key, order, seg = ["file_id"], ["seq"], block_of(F.col("seq"), rows_per_segment)
     is_para = F.col("kind") == "para"
     level = F.when(is_para & (F.trim(F.coalesce("text", F.lit(""))) != ""), heading_level(F.col("style")))
     df = blocks.withColumn("level", level)
-    df = running(
-        df, key, order, seg,
-        Running("sum", F.when(is_para, 1).otherwise(0), "para_no"),
-        Running("sum", F.when(F.col("level").isNotNull(), 1).otherwise(0), "_i"),
-    )
-    slack = F.when(F.col("level").isNotNull(), F.least("level", F.lit(MAX_HEADING_DEPTH)) - F.col("_i"))
-    df = running(df, key, order, seg, Running("min", slack, "_slack"))
-    depth = F.when(F.col("level").isNotNull(), F.col("_i") + F.least(F.lit(0), F.col("_slack")))
-    df = df.withColumn("_depth", F.when(depth.isNotNull(), F.least(depth, F.lit(MAX_HEADING_DEPTH))))
+
+    # Depths and paths come from the heading rows alone, a small part of a document.
+    heads = df.filter(F.col("level").isNotNull())
+    heads = running(segmented(heads, key, seg), key, order, None, Running("sum", F.lit(1), "_i"))
+    slack = F.least("level", F.lit(MAX_HEADING_DEPTH)) - F.col("_i")
+    heads = running(heads, key, order, None, Running("min", slack, "_slack"))
+    heads = heads.withColumn("_depth", F.least(F.col("_i") + F.least(F.lit(0), "_slack"), F.lit(MAX_HEADING_DEPTH)))
     here = F.struct("seq", F.trim("text").alias("text"))
     levels = range(1, MAX_HEADING_DEPTH + 1)
-    df = running(
-        df, key, order, seg,
-        *[Running("last", F.when(F.col("_depth") == d, here), f"_h{d}") for d in levels],
+    heads = running(
+        heads, key, order, None, *[Running("last", F.when(F.col("_depth") == d, here), f"_h{d}") for d in levels]
     )
     # A slot counts only while no shallower heading came after it.
     slots, after = [], F.lit(-1).cast("long")
@@ -87,8 +83,15 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
         at = F.col(f"_h{d}.seq").cast("long")
         slots.append(F.when(at > after, F.col(f"_h{d}.text")))
         after = F.greatest(after, F.coalesce(at, F.lit(-1).cast("long")))
-    path = F.array_compact(F.array(*slots))
-    return df.withColumn("heading_path", path).drop("_seg", "_i", "_slack", "_depth", *[f"_h{d}" for d in levels])
+    heads = heads.select(*df.columns, F.array_compact(F.array(*slots)).alias("_path"))
+
+    rest = df.filter(F.col("level").isNull()).withColumn("_path", F.lit(None).cast("array<string>"))
+    out = running(
+        rest.unionByName(heads), key, order, seg,
+        Running("sum", F.when(is_para, 1).otherwise(0), "para_no"),
+        Running("last", F.col("_path"), "heading_path"),
+    )
+    return out.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>"))).drop("_path")
 
 
 def block_locator(path: Column, para_no: Column) -> Column:

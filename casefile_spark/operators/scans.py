@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_sorted
@@ -40,13 +40,15 @@ def term_signals(chunks: DataFrame, keys: list[str], order: list[str], lexicon:
     distinct (pattern, term) pairs of a chunk, combined per key before the shuffle.
     """
     low = F.lower("text")
-    per_pattern = [
-        F.transform(
-            F.array_distinct(F.transform(F.regexp_extract_all(low, F.lit(f"({p})"), 1), lambda m: F.trim(m))),
-            lambda t, i, n=n: F.struct(F.lit(n).alias("pattern_no"), i.alias("term_no"), t.alias("term")),
+
+    def matches(number: int, pattern: str) -> Column:
+        terms = F.transform(F.regexp_extract_all(low, F.lit(f"(?U)({pattern})"), 1), lambda m: F.trim(m))
+        return F.transform(
+            F.array_distinct(terms),
+            lambda t, i: F.struct(F.lit(number).alias("pattern_no"), i.alias("term_no"), t.alias("term")),
         )
-        for n, p in enumerate(lexicon)
-    ]
+
+    per_pattern = [matches(n, p) for n, p in enumerate(lexicon)]
     found = chunks.select(*keys, *order, F.inline(F.flatten(F.array(*per_pattern)))).filter(F.col("term") != "")
     return found.groupBy(*keys, "term").agg(
         F.min(F.struct("pattern_no", *order, "term_no")).alias("first_at"), F.count("*").alias("chunks")
@@ -55,7 +57,7 @@ def term_signals(chunks: DataFrame, keys: list[str], order: list[str], lexicon:
 
 def oldest_years(chunks: DataFrame, keys: list[str], as_of_year: int, pattern: str = YEAR_PATTERN) -> DataFrame:
     """Oldest year per key where it lies far enough back to matter."""
-    years = F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)
+    years = F.regexp_extract_all("text", F.lit(f"(?U)({pattern})"), 1)
     smallest = F.array_min(F.transform(years, lambda y: y.try_cast("int")))
     per_key = chunks.groupBy(*keys).agg(F.min(smallest).alias("oldest"))
     return per_key.filter(F.col("oldest") <= as_of_year - LIMITATION_YEARS)

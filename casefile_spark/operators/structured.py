@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.segments import Running, block_of, islands, running, segmented
 from ..functions.text import collapse_key, join_sorted, squeeze, strip
 
 # Block pattern, schemas, date layouts, hedge words, table headers and wording.
@@ -65,11 +64,14 @@ def split_block(completions: DataFrame) -> DataFrame:
 
 
 def _parsed(split: DataFrame, task: str) -> DataFrame:
+    """Parse the payload; ``_broken`` unless it is exactly one JSON object of the expected types."""
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    one_value = F.json_array_length(F.concat(F.lit("["), F.col("payload"), F.lit("]"))) == 1
+    an_object = strip(F.col("payload")).startswith("{") & F.coalesce(one_value, F.lit(False))
     return (
         split.filter(F.col("task") == task)
         .withColumn("_p", F.from_json("payload", SCHEMAS[task] + ", _bad string", opts))
-        .withColumn("_broken", F.col("payload").isNull() | F.col("_p").isNull() | F.col("_p._bad").isNotNull())
+        .withColumn("_broken", ~F.coalesce(an_object, F.lit(False)) | F.col("_p").isNull() | F.col("_p._bad").isNotNull())
     )
 
 
@@ -167,14 +169,16 @@ def answer_lines(split: DataFrame, text: str = "answer_text") -> DataFrame:
 
 
 def markdown_rows(lines: DataFrame) -> DataFrame:
-    """Data rows per result: table rows whose separator stood within the previous lines."""
-    sep = F.when(F.col("line").rlike(TABLE_RULE), F.col("line_no"))
-    seen = running(lines, ["result_id"], ["line_no"], block_of(F.col("line_no")), Running("last", sep, "_sep"))
-    data = (
-        F.col("line").rlike(TABLE_ROW) & ~F.col("line").rlike(TABLE_RULE)
-        & (F.col("line_no") - F.col("_sep") <= SEPARATOR_REACH)
+    """Data rows per result: table rows whose separator stood within the previous lines.
+
+    The lines of one result came out of one row, so a window per result is bounded by that row.
+    """
+    earlier = Window.partitionBy("result_id").orderBy("line_no").rowsBetween(-SEPARATOR_REACH, -1)
+    near = F.max(F.col("line").rlike(TABLE_RULE)).over(earlier)
+    data = F.col("line").rlike(TABLE_ROW) & ~F.col("line").rlike(TABLE_RULE) & near
+    return lines.withColumn("_data", F.coalesce(data, F.lit(False))).groupBy("result_id").agg(
+        F.count_if("_data").alias("markdown_rows")
     )
-    return seen.groupBy("result_id").agg(F.count_if(data).alias("markdown_rows"))
 
 
 def reconcile(structured: DataFrame, markdown: DataFrame) -> DataFrame:
@@ -198,28 +202,30 @@ def markdown_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables: result_id, table_no, title (nearest heading above), headers, rows, note.
     rows: result_id, table_no, row_no, cells - squared off to the header width.
     """
-    key, order, seg = ["result_id"], ["line_no"], None
-    lines = segmented(lines, block_of(F.col("line_no")))
+    # As above: a window per result is bounded by the one row its lines came from.
+    page = Window.partitionBy("result_id").orderBy("line_no")
+    upto = page.rowsBetween(Window.unboundedPreceding, 0)
     pipe = strip(F.col("line")).startswith("|")
-    headline = F.when(F.col("line").rlike(HEADING), F.struct(F.trim(F.regexp_extract("line", HEADING, 1)).alias("t")))
-    df = running(
-        lines.withColumn("_pipe", pipe), key, order, seg,
-        Running("last", headline, "_head"),
-        Running("previous", F.struct("_pipe", "line"), "_prev"),
+    headline = F.when(F.col("line").rlike(HEADING), F.trim(F.regexp_extract("line", HEADING, 1)))
+    df = lines.withColumn("_pipe", pipe).select(
+        "*",
+        F.last(headline, ignorenulls=True).over(upto).alias("_head"),
+        F.lag("_pipe").over(page).alias("_pipe_above"),
+        F.lag("line").over(page).alias("_above"),
     )
+    turns = F.when(F.col("_pipe").eqNullSafe(F.col("_pipe_above")), 0).otherwise(1)
+    df = df.withColumn("_island", F.sum(turns).over(upto))
     # A rule line right under a pipe line with at least one more pipe opens a table.
-    header_like = F.col("_prev._pipe") & F.substring(strip(F.col("_prev.line")), 2, 100_000).contains("|")
-    df = islands(df, key, order, seg, ["_pipe"], "_island")
-    opens = F.when(F.col("_pipe") & F.col("line").rlike(TABLE_RULE) & header_like, F.col("line_no"))
-    rules = df.filter(opens.isNotNull()).groupBy("result_id", "_island").agg(
-        F.min("line_no").alias("_rule"), F.min_by(F.col("_prev.line"), "line_no").alias("_header"),
-        F.min_by(F.col("_head.t"), "line_no").alias("title"),
+    header_like = F.col("_pipe_above") & F.expr("substring(trim(_above), 2)").contains("|")
+    opens = F.col("_pipe") & F.col("line").rlike(TABLE_RULE) & header_like
+    first = Window.partitionBy("result_id", "_island")
+    df = df.withColumn("_rule", F.min(F.when(opens, F.col("line_no"))).over(first)).filter("_pipe")
+    rules = df.filter(F.col("line_no") == F.col("_rule")).select(
+        "result_id", "_island", "_rule", F.col("_head").alias("title"), _cells_of(F.col("_above")).alias("headers"),
+        F.row_number().over(page).alias("table_no"),
     )
-    numbered = running(
-        rules, key, ["_rule"], block_of(F.col("_rule")), Running("sum", F.lit(1), "table_no")
-    ).withColumn("headers", _cells_of(F.col("_header")))
     body = (
-        df.filter("_pipe").join(numbered, ["result_id", "_island"])
+        df.drop("_rule").join(rules, ["result_id", "_island"])
         .filter(F.col("line_no") > F.col("_rule"))
         .withColumn("_raw", _cells_of(F.col("line")))
     )
@@ -228,7 +234,7 @@ def markdown_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         (F.size("_raw") != F.size("headers")).alias("ragged"), square_cells(F.col("_raw"), F.size("headers")).alias("cells"),
     )
     counts = rows.groupBy("result_id", "table_no").agg(F.count("*").alias("rows"), F.count_if("ragged").alias("_r"))
-    tables = numbered.join(counts, ["result_id", "table_no"], "left").select(
+    tables = rules.join(counts, ["result_id", "table_no"], "left").select(
         "result_id", "table_no", "title", "headers", F.coalesce("rows", F.lit(0)).alias("rows"),
         F.when(F.col("_r") > 0, F.format_string(RAGGED, "_r")).otherwise("").alias("note"),
     )

@@ -51,8 +51,9 @@ def replace_files(folder: str, chunks: DataFrame, gone: DataFrame | None = None,
     """Replace the chunks of the files in ``chunks`` and drop those of the files in ``gone``.
 
     The index is partitioned by matter and a hash bucket of the file, not by file: millions of files
-    stay a bounded number of folders. Only touched buckets are rewritten, and the commit swaps whole
-    partition folders, so a reader never sees half a file. ``gone``: matter_id, file_id.
+    stay a bounded number of folders. Only touched buckets are rewritten, as whole folders. A touched
+    bucket also gets one empty marker row, so that a bucket that lost its last file is rewritten too;
+    ``read_chunks`` leaves the markers out. ``gone``: matter_id, file_id.
     """
     spark = chunks.sparkSession
     keys = ["matter_id", "file_id"]
@@ -63,10 +64,10 @@ def replace_files(folder: str, chunks: DataFrame, gone: DataFrame | None = None,
     stale = stale.distinct()
     out = fresh
     if index_exists(spark, folder):
-        held = spark.read.parquet(folder)
+        held = read_chunks(spark, folder)
         touched = stale.select("matter_id", "file_bucket").distinct()
         kept = held.join(touched, ["matter_id", "file_bucket"], "left_semi").join(stale, keys, "left_anti")
-        out = fresh.unionByName(kept, allowMissingColumns=True)
+        out = fresh.unionByName(kept, allowMissingColumns=True).unionByName(touched, allowMissingColumns=True)
     (
         out.repartition("matter_id", "file_bucket", F.pmod(F.xxhash64("file_id", "chunk_index"), F.lit(8)))
         .sortWithinPartitions("matter_id", "file_bucket", "file_id", "chunk_index")
@@ -83,7 +84,7 @@ def index_exists(spark: SparkSession, folder: str) -> bool:
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder)
+    return spark.read.parquet(folder).filter(F.col("chunk_index").isNotNull())
 
 
 def index_metadata(chunks: DataFrame) -> DataFrame:

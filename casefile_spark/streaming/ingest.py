@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import chunk_id, window_chunks
 from ..sources.files import collection_name, content_hash
-from ..sources.sinks import index_exists, replace_files
+from ..sources.sinks import index_exists, read_chunks, replace_files
 
 FILE_SCHEMA = "matter_id long, file_id long, filename string, text string, arrived_at timestamp"
 
@@ -39,7 +39,7 @@ def index_batch(batch: DataFrame, index_folder: str, buckets: int = 256) -> None
     first = batch.groupBy(*keys).agg(F.min("file_id").alias("file_id"))
     fresh = batch.join(first, [*keys, "file_id"], "left_semi")
     if index_exists(batch.sparkSession, index_folder):
-        held = batch.sparkSession.read.parquet(index_folder)
+        held = read_chunks(batch.sparkSession, index_folder)
         others = held.select(*keys, F.col("file_id").alias("_held")).distinct()
         # Content that another file of the matter holds stays out; the same file may be rewritten.
         taken = fresh.join(others, keys).filter(F.col("_held") != F.col("file_id")).select(*keys).distinct()

@@ -104,6 +104,17 @@ def test_chunk_index_replaces_whole_files_only(spark, tmp_path):
     assert got == {**{(f, i): f"old {f} {i}" for f in (0, 1, 3, 4) for i in range(3)}, (2, 0): "new"}
 
 
+def test_a_bucket_that_lost_its_last_file_is_empty(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    sinks.replace_files(folder, _chunks(spark, [(1, 7, 0, "only file")]), buckets=1)
+    gone = spark.createDataFrame([(1, 7)], "matter_id long, file_id long")
+    for _ in range(2):
+        sinks.replace_files(folder, _chunks(spark, []), gone=gone, buckets=1)
+        assert sinks.read_chunks(spark, folder).count() == 0
+    sinks.replace_files(folder, _chunks(spark, [(1, 8, 0, "next")]), buckets=1)
+    assert [r.text for r in sinks.read_chunks(spark, folder).collect()] == ["next"]
+
+
 def test_index_metadata_and_result_tables(spark, tmp_path):
     df = spark.createDataFrame([("c", [1.0, 2.0], "m", "s"), ("c", [1.0, 2.0], None, "s")], "collection string, embedding array<float>, embed_model string, content_sha256 string")
     assert sinks.index_metadata(df).first().asDict() == {"collection": "c", "chunks": 2, "dim": 2, "embed_model": "m", "content_sha256": "s"}

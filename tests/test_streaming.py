@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from casefile_spark.operators import ledger as L
 from casefile_spark.operators import registry as K
 from casefile_spark.plans import bindings as B
+from casefile_spark.sources import sinks
 from casefile_spark.streaming import budgets, ingest, runs
 
 SF = "/root/testdata/sf0.001"
@@ -41,7 +42,7 @@ def test_continuous_ingest_indexes_each_content_once(spark, tmp_path):
         ingest.start_ingest(ingest.arriving_files(spark, landing), index, str(tmp_path / "checkpoint"), buckets=2).awaitTermination(120)
         df.coalesce(1).write.mode("append").parquet(landing)
     ingest.start_ingest(ingest.arriving_files(spark, landing), index, str(tmp_path / "checkpoint"), buckets=2).awaitTermination(120)
-    got = spark.read.parquet(index)
+    got = sinks.read_chunks(spark, index)
     assert sorted((r.matter_id, r.text.split()[1]) for r in got.collect()) == [(1, "0"), (1, "1"), (1, "2"), (1, "3"), (2, "0")]
 
 
@@ -50,7 +51,7 @@ def test_batch_can_be_replayed(spark, tmp_path):
     batch = spark.createDataFrame([(1, 1, "a", "same words", dt.datetime(2024, 1, 1))], ingest.FILE_SCHEMA).withColumn("content_sha256", F.sha2("text", 256))
     for _ in range(2):
         ingest.index_batch(batch, index, buckets=2)
-    assert spark.read.parquet(index).count() == 1
+    assert sinks.read_chunks(spark, index).count() == 1
 
 
 def test_daily_budget_equals_batch(spark, tmp_path):

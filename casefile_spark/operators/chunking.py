@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
+from ..functions.generate import explode_rows
 from ..functions.segments import Running, block_of, islands, running, segmented
 from ..functions.text import WINDOW_OVERLAP, WINDOW_TOKENS, token_count, token_windows, tokens
 
@@ -22,12 +23,9 @@ LOCATOR_COLUMNS = 5
 # --- windows ---------------------------------------------------------------------------------
 def window_chunks(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per overlapping window: keep..., window_no (from 0), windows, text."""
-    return (
-        df.select(*keep, tokens(F.col(text)).alias("_tok"))
-        .select(*keep, token_windows(F.col("_tok")).alias("_w"))
-        .select(*keep, F.size("_w").alias("windows"), F.posexplode("_w").alias("window_no", "text"))
-        .select(*keep, "window_no", "windows", "text")
-    )
+    cut = df.select(*keep, tokens(F.col(text)).alias("_tok")).select(*keep, token_windows(F.col("_tok")).alias("_w"))
+    rows = explode_rows(cut, [*keep, F.size("_w").alias("windows")], F.col("_w"), "text", "window_no")
+    return rows.select(*keep, "window_no", "windows", "text")
 
 
 def page_chunks(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -153,7 +151,7 @@ def section_chunks(runs: DataFrame, keys: list[str], order: str = "seq") -> Data
     A run is windowed from its token stream: tokens get their position in the run, every window
     collects the at most 700 tokens it covers, so a run of any length is never held in one row.
     """
-    lines = runs.select(*keys, "locator", order, F.posexplode(tokens(F.col("text"))).alias("_i", "_t"))
+    lines = explode_rows(runs, [*keys, "locator", order], tokens(F.col("text")), "_t", "_i")
     sizes = runs.select(*keys, order, token_count(F.col("text")).alias("_n"))
     offset = Running("sum", F.col("_n"), "_upto")
     placed = running(sizes, keys, [order], block_of(F.col(order)), offset)

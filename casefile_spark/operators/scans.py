@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.generate import inline_rows
 from ..functions.text import join_sorted
 
 # The lexicon in order, the hallmark phrases, the year rule and wording.
@@ -49,7 +50,7 @@ def term_signals(chunks: DataFrame, keys: list[str], order: list[str], lexicon:
         )
 
     per_pattern = [matches(n, p) for n, p in enumerate(lexicon)]
-    found = chunks.select(*keys, *order, F.inline(F.flatten(F.array(*per_pattern)))).filter(F.col("term") != "")
+    found = inline_rows(chunks, [*keys, *order], F.flatten(F.array(*per_pattern)), "term").filter(F.col("term") != "")
     return found.groupBy(*keys, "term").agg(
         F.min(F.struct("pattern_no", *order, "term_no")).alias("first_at"), F.count("*").alias("chunks")
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.generate import explode_rows
 from ..functions.text import tokens
 
 # Weights, court tiers, limits, stop words and wording.
@@ -107,13 +108,15 @@ def search_corpus(corpus: DataFrame, queries: DataFrame, page: int = SEARCH_PAGE
     )
     vocabulary = asked.select("term").distinct()
     counted = (
-        corpus.select("doc_id", F.explode(_terms(F.col("text"))).alias("term"))
+        explode_rows(corpus, ["doc_id"], _terms(F.col("text")), "term")
         .join(vocabulary, "term", "left_semi")
         .groupBy("doc_id", "term")
         .agg(F.count("*").alias("tf"))
     )
     n_docs = corpus.count()
-    idf = counted.groupBy("term").agg(F.log(F.lit(n_docs + 1.0) / F.count("*")).alias("idf"))
+    # The document frequency is a sum over tf, so both readers of ``counted`` share one exchange.
+    df = F.sum(F.least("tf", F.lit(1)))
+    idf = counted.groupBy("term").agg(F.log(F.lit(n_docs + 1.0) / df).alias("idf"))
     weights = asked.join(idf, "term")
     scored = (
         counted.join(weights, "term")
@@ -138,7 +141,7 @@ def _phrase_boost(scored: DataFrame, corpus: DataFrame, queries: DataFrame) -> D
     low = F.lower("text")
     if len(listed) <= MAX_PHRASES:  # one more pass over the texts; only (doc, phrase) pairs leave it
         inside = F.filter(F.array(*[F.lit(p) for p in listed]), lambda p: low.contains(p))
-        held = corpus.select("doc_id", F.explode(inside).alias("phrase")).join(wanted, "phrase")
+        held = explode_rows(corpus, ["doc_id"], inside, "phrase").join(wanted, "phrase")
     else:
         held = (
             scored.join(wanted, "query_id").join(corpus.select("doc_id", low.alias("_t")), "doc_id")

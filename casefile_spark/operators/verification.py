@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.generate import explode_rows
 from .citations import citation_key, names_match
 
 # Look-up budget per draft, outcome ranks and marker wording.
@@ -172,4 +173,4 @@ def marker_runs(texts: DataFrame) -> DataFrame:
     run = lambda fragment, flag: F.struct(fragment.alias("fragment"), F.lit(flag).alias("is_marker"))
     pairs = F.flatten(F.zip_with(plain, marks, lambda p, m: F.array(run(p, False), run(m, True))))
     kept = F.filter(pairs, lambda r: F.coalesce(r["fragment"], F.lit("")) != "")
-    return texts.select("text_id", F.posexplode(kept).alias("run_no", "_r")).select("text_id", "run_no", "_r.*")
+    return explode_rows(texts, ["text_id"], kept, "_r", "run_no").select("text_id", "run_no", "_r.*")

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..functions.generate import explode_rows
+from ..session import spread
 from ..sources.files import collection_name, content_hash
 
 AS_OF = "2024-02-01 00:00:00"
@@ -20,6 +22,8 @@ LEDGER_AS_OF = "2000-01-01 00:00:00"
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in ("documents", "pages"):
+        df = spread(df)
     local = [f.name for f in df.schema if f.dataType.typeName() == "timestamp_ntz"]
     return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
@@ -65,9 +69,7 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Paragraphs of every document, numbered from 0."""
-    return texts(spark, sf).select(
-        "file_id", "matter_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")
-    )
+    return explode_rows(texts(spark, sf), ["file_id", "matter_id"], F.split("text", "\n", -1), "line", "line_no")
 
 
 def vectors_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -26,6 +26,12 @@ def get_session(master: str | None = None, app: str = "casefile", **conf: str) -
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for row-local text work when the input has only a few splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for job data under ``spark.checkpoint.dir``; local runs may use a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.generate import inline_rows
 from ..functions.text import strip
 
 # Fixed value: share of near-white pixels from which a page counts as blank.
@@ -32,9 +33,9 @@ def triage_pages(page_text: DataFrame) -> DataFrame:
 
 
 def readable_pages(triaged: DataFrame) -> DataFrame:
-    # A generator instead of a filter: the page text is not computed a second time to test it.
+    # Through a generator, so that the page text is not computed a second time to test it.
     page = F.array(F.struct("text", (F.col("status") == "ocr").alias("is_ocr")))
-    return triaged.select("file_id", "page_no", F.inline(F.filter(page, lambda p: p["text"].isNotNull())))
+    return inline_rows(triaged, ["file_id", "page_no"], page, "text")
 
 
 def page_report(triaged: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def replace_files(folder: str, chunks: DataFrame, gone: DataFrame | None = None,
         kept = held.join(touched, ["matter_id", "file_bucket"], "left_semi").join(stale, keys, "left_anti")
         out = fresh.unionByName(kept, allowMissingColumns=True).unionByName(touched, allowMissingColumns=True)
     (
-        out.repartition("matter_id", "file_bucket", F.pmod(F.xxhash64("file_id", "chunk_index"), F.lit(8)))
+        out.hint("rebalance", "matter_id", "file_bucket")  # even file sizes: large buckets split, small ones meet
         .sortWithinPartitions("matter_id", "file_bucket", "file_id", "chunk_index")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -52,6 +52,10 @@ def rows(names, data):
 def check(spark, con, sf, fn, sql):
     t0 = time.time()
     df = fn(spark, sf)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    for bad in ("CartesianProduct", "BroadcastNestedLoopJoin"):
+        if bad in plan:
+            print("plan holds", bad, flush=True)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
     t1 = time.time()
     rel = con.execute(sql)

@@ -471,6 +471,16 @@ r AS (SELECT *, sum(CASE WHEN prev IS DISTINCT FROM role THEN 1 ELSE 0 END) OVER
 src AS (SELECT conv_id AS file_id, run_no, role, string_agg(text, chr(10) ORDER BY turn) AS text FROM r GROUP BY ALL),
 {_windows('src', 'file_id, run_no, role')}
 SELECT file_id, run_no, role || CASE WHEN windows > 1 THEN ' (part ' || (window_no + 1) || ' of ' || windows || ')' ELSE '' END AS locator, md5(text) AS digest FROM chunk""",
+    "b10_table_chunks": f"""
+WITH RECURSIVE {_LINES},
+sized AS (SELECT file_id, line_no AS pos, line, len({_TOKENS.format("line")}) AS size, first_value(line) OVER (PARTITION BY file_id ORDER BY line_no) AS head FROM lines),
+fold AS (SELECT file_id, pos, size AS running, 0 AS batch_no FROM sized WHERE pos = 0
+  UNION ALL SELECT s.file_id, s.pos, CASE WHEN running + size > 120 THEN len({_TOKENS.format("head")}) + size ELSE running + size END,
+  batch_no + CASE WHEN running + size > 120 THEN 1 ELSE 0 END FROM fold f JOIN sized s ON s.file_id = f.file_id AND s.pos = f.pos + 1),
+packed AS (SELECT s.file_id, batch_no, min(s.pos) + 1 AS a, max(s.pos) + 1 AS b, any_value(head) AS head, string_agg(line, chr(10) ORDER BY s.pos) AS body
+  FROM sized s JOIN fold f USING (file_id, pos) GROUP BY s.file_id, batch_no)
+SELECT file_id, batch_no, 'Table 1, ' || CASE WHEN a = b THEN 'row ' || a ELSE 'rows ' || a || '-' || b END AS locator,
+  md5(CASE WHEN batch_no > 0 THEN head || chr(10) ELSE '' END || body) AS digest FROM packed""",
     "b11_used_columns": f"WITH {_CELLS} SELECT * FROM used",
     "b12_header_rows": f"WITH {_CELLS} SELECT * FROM heads",
     "b13_sheet_rows": f"WITH {_CELLS} SELECT * FROM rows_",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 from importlib import import_module
 
-MODULES = ("retrieval_queries", "ledger_queries", "corpus_queries", "answer_queries", "case_queries")
+MODULES = ("retrieval_queries", "ledger_queries", "corpus_queries", "answer_queries", "case_queries", "stream_queries")
 
 
 def _collect(name: str) -> dict:

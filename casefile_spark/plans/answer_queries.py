@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.segments import Running, block_of, running
 from ..operators import exhaustive as E
 from ..operators import prompts as P
 from ..operators import retrieval as R
@@ -26,7 +26,8 @@ def e1_token_counts(spark, sf):
 
 def _sized_files(spark, sf):
     d = E.with_tokens(B.texts(spark, sf)).select("matter_id", "file_id", "tokens")
-    return d.withColumn("file_pos", F.row_number().over(Window.partitionBy("matter_id").orderBy("file_id")) - 1)
+    numbered = running(d, ["matter_id"], ["file_id"], block_of(F.col("file_id")), Running("sum", F.lit(1), "_n"))
+    return numbered.withColumn("file_pos", F.col("_n") - 1).drop("_n")
 
 
 def e2_batches(spark, sf):

@@ -24,13 +24,19 @@ def _liveness(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) ->
             state.update((matter, "interrupted", seen))
             yield pd.DataFrame([(key[0], matter, "interrupted", seen)], columns=["run_id", "matter_id", "status", "last_seen"])
         return
-    rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
-    before = status
-    ended = rows[rows["status"].isin(TERMINAL)]
+    before, newest, end = status, None, None
+    for frame in frames:  # a busy run comes in several frames; only its extremes are kept
+        rows = frame.sort_values(["at", "event_id"])
+        matter = int(rows["matter_id"].iloc[0]) if matter is None else matter
+        last = (rows["at"].iloc[-1], rows["event_id"].iloc[-1], rows["status"].iloc[-1])
+        newest = max(newest, last) if newest else last
+        ended = rows[rows["status"].isin(TERMINAL)]
+        if len(ended):
+            first = (ended["at"].iloc[0], ended["event_id"].iloc[0], ended["status"].iloc[0])
+            end = min(end, first) if end else first
     if status not in TERMINAL:
-        status = ended["status"].iloc[0] if len(ended) else rows["status"].iloc[-1]
-    matter = int(rows["matter_id"].iloc[0]) if matter is None else matter
-    seen = rows["at"].max() if seen is None else max(pd.Timestamp(seen), rows["at"].max())
+        status = (end or newest)[2]
+    seen = newest[0] if seen is None else max(pd.Timestamp(seen), newest[0])
     state.update((matter, status, seen.to_pydatetime()))
     if status in ACTIVE:
         deadline = int(seen.timestamp() * 1000) + STALE_SECONDS * 1000

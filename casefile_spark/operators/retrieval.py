@@ -57,6 +57,13 @@ def search_per_file(chunks: DataFrame, queries: DataFrame, requested: DataFrame)
     return requested.select("query_id", "collection", "collection_pos").join(hits, ["query_id", "collection"], "left")
 
 
+def best_of(per_file: DataFrame, queries: DataFrame) -> DataFrame:
+    """Global top-k of per-file hits. Nothing is lost: a global hit is a hit of its own file."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "collection_pos", "chunk_no", "chunk_key")
+    ranked = per_file.withColumn("rank", F.row_number().over(order))
+    return ranked.join(queries.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
+
+
 def with_passages(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Fetch source, locator and text for the ranked rows only, after the ranking."""
     return hits.join(

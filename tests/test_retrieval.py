@@ -13,7 +13,7 @@ from casefile_spark.operators import vectorise as V
 def chunks(spark):
     rows = [
         ("a", 0, 0, "a0", [1.0, 0.0, 0.0], "A.pdf", "p.1", "a-near"), ("a", 0, 1, "a1", [0.0, 1.0, 0.0], "A.pdf", "p.2", "a-far"),
-        ("b", 1, 0, "b0", [0.94, 0.34, 0.0], "B.pdf", "p.5 (OCR)", "b-mid"), ("b", 1, 1, "b1", [0.0, 0.0, 1.0], "B.pdf", "from Kevin Oskoui, 2024-05-11", "b-far"),
+        ("b", 1, 0, "b0", [0.94, 0.34, 0.0], "B.pdf", "p.5 (OCR)", "b-mid"), ("b", 1, 1, "b1", [0.0, 0.0, 1.0], "B.pdf", "from Ann Example, 2024-05-11", "b-far"),
         ("b", 1, 2, "b2", [1.0, 0.0], "B.pdf", "p.9", "wrong size"),
     ]
     return spark.createDataFrame(rows, "collection string, collection_pos int, chunk_no int, chunk_key string, embedding array<float>, source string, locator string, text string")

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import Workspace
+from .words import chunks, find_words, mixed
 
 BITS = 64
 BLOCK = 1024
@@ -68,8 +69,7 @@ class Ring:
 
     def keys(self, fps: np.ndarray) -> Iterator[np.ndarray]:
         """For each start, the key of the chain of two segments: the segments' bits, with the start in the upper bits."""
-        for at in range(self.segments):
-            yield self._key(fps, at)
+        return (self._key(fps, at) for at in range(self.segments))
 
     def _key(self, fps: np.ndarray, at: int) -> np.ndarray:
         turn = np.uint64(at * self.width)
@@ -185,3 +185,154 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seg
     lowest = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = work.keep(placed.join(lowest, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+WIDE_LANES = 8
+CHAIN_BITS = 24
+CHAINS = WIDE_LANES * 64 // CHAIN_BITS
+WIDE_RADIUS = 96
+LONG_WORD = 5
+GROUP_BLOCK = 2048
+
+
+def wide_fingerprint(codes: np.ndarray) -> np.ndarray:
+    """A SimHash of ``WIDE_LANES`` words of 64 bits over the distinct codes."""
+    codes = np.unique(codes)
+    with np.errstate(over="ignore"):
+        hashes = mixed(codes[:, None] + np.arange(1, WIDE_LANES + 1, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407))
+    counts = np.unpackbits(hashes.view(np.uint8).reshape(codes.size, -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > codes.size, bitorder="little").view(np.uint64)
+
+
+def _chain_keys(fp: np.ndarray) -> list[int]:
+    """The ring's disjoint chains of two segments of half ``CHAIN_BITS`` each, with the start in the upper bits."""
+    whole = int.from_bytes(fp.tobytes(), "little")
+    mask = (1 << CHAIN_BITS) - 1
+    return [(at << CHAIN_BITS) | ((whole >> (at * CHAIN_BITS)) & mask) for at in range(CHAINS)]
+
+
+def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int64)
+
+
+def nearest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links of at most ``radius`` that join all rows that such links can join, the nearest first: a minimum spanning forest.
+
+    Rows are worked off in blocks; between blocks each row keeps its nearest partner of every earlier block.
+    """
+    out: list[tuple[int, int]] = []
+    for lo in range(0, len(fps), GROUP_BLOCK):
+        block = fps[lo : lo + GROUP_BLOCK]
+        left, best, to = np.ones(len(block), bool), np.full(len(block), 1 << 30), np.zeros(len(block), np.int64)
+        now, left[0] = 0, False
+        while left.any():
+            d = _distances(block[now], block)
+            closer = left & (d < best)
+            best[closer], to[closer] = d[closer], now
+            now = int(np.where(left, best, 1 << 31).argmin())
+            if best[now] <= radius:
+                out.append((lo + int(to[now]), lo + now))
+            left[now] = False
+        for before in range(0, lo, GROUP_BLOCK):
+            other = fps[before : before + GROUP_BLOCK]
+            for i, fp in enumerate(block):
+                d = _distances(fp, other)
+                if d.min() <= radius:
+                    out.append((before + int(d.argmin()), lo + i))
+    return out
+
+
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by chain: the links of each group that shares one."""
+    kept: list[pa.RecordBatch] = []
+
+    def links(table: pa.Table) -> pa.RecordBatch | None:
+        key, ids = table["chain"].to_numpy(), table["doc_id"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, key.size))
+        fps = table["fp"].combine_chunks()
+        out: list[tuple[int, int]] = []
+        for lo, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
+            group = np.stack([np.frombuffer(x.as_py(), np.uint64) for x in fps.slice(lo, n)])
+            out += [(int(ids[lo + a]), int(ids[lo + b])) for a, b in nearest_links(group, WIDE_RADIUS) if ids[lo + a] != ids[lo + b]]
+        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"]) if out else None
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if kept and batch.column("chain")[0] != kept[-1].column("chain")[-1]:
+            if found := links(pa.Table.from_batches(kept)):
+                yield found
+            kept = []
+        keys = batch.column("chain").to_numpy()
+        end = int(np.searchsorted(keys, keys[-1]))
+        if end:
+            if found := links(pa.Table.from_batches([*kept, batch.slice(0, end)])):
+                yield found
+            kept = []
+        kept.append(batch.slice(end))
+    if kept and (found := links(pa.Table.from_batches(kept))):
+        yield found
+
+
+def _lowered(column: pa.Array) -> pa.Array:
+    return pa.array([t.as_py().lower() if t.is_valid else b"" for t in column.cast(pa.large_binary())], pa.large_binary()).view(pa.large_string())
+
+
+def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in chunks(batches, "text"):
+        words = find_words(_lowered(batch.column("text")))
+        codes, size = words.codes(), words.stop - words.start
+        keys, owners, fps = [], [], []
+        for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+            lo, hi = words.first[i], words.first[i + 1]
+            if doc is None or lo == hi:
+                continue
+            own = codes[lo:hi]
+            long = own[size[lo:hi] >= LONG_WORD]
+            fp = wide_fingerprint(long if long.size else own)
+            keys += _chain_keys(fp)
+            owners += [doc] * CHAINS
+            fps += [fp.tobytes()] * CHAINS
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64()), pa.array(fps, pa.binary())], names=["chain", "doc_id", "fp"])
+
+
+def _similar(shingle: int, similarity: float):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(iter([batch]), "text_a"):
+                sets = []
+                for name in ("text_a", "text_b"):
+                    words = find_words(_lowered(part.column(name)))
+                    codes = words.codes()
+                    at, runs = words.runs(codes, shingle)
+                    cut, count = np.searchsorted(at, words.first), np.diff(words.first)
+                    short = words.spans(codes, words.first[:-1], np.where(count < shingle, words.first[1:], words.first[:-1]))
+                    sets.append([np.unique(runs[cut[i] : cut[i + 1]]) if count[i] >= shingle else short[i : i + 1] for i in range(part.num_rows)])
+                same = [np.intersect1d(a, b, assume_unique=True).size for a, b in zip(*sets)]
+                ok = pa.array([n > 0 and n >= similarity * (a.size + b.size - n) for n, a, b in zip(same, *sets)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(ok)
+
+    return check
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id``, ``component_id`` of the documents that are linked to another: sets of ``shingle``-word shingles of lower-cased
+    texts whose Jaccard similarity is ``similarity`` or more.
+
+    At this similarity a 64-bit fingerprint of shingles differs in up to 16 bits, beyond what chains can find in less than
+    quadratic time. Candidates come from a ring of ``CHAINS`` chains of two segments over a SimHash of the distinct longer words,
+    which a changed word moves less: who agrees on a chain and is within ``WIDE_RADIUS`` of 512 bits is a candidate, and
+    shingles decide. Rows without id or words are left out; rows that repeat an id are one document.
+    """
+    work = Workspace(docs.sparkSession, "similar")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    met = rows.mapInArrow(_wide, "chain long, doc_id long, fp binary").repartition("chain").sortWithinPartitions("chain")
+    pairs = work.keep(met.mapInArrow(_meeting, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = work.keep(rows.join(ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
+    roots = components(work.keep(links, "links"), work)
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))

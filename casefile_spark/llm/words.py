@@ -77,6 +77,10 @@ class Words:
         at = np.flatnonzero(np.arange(self.start.size) <= last)
         return at, _spans_code(codes, at, at + n, _WORDS)
 
+    def spans(self, codes: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The codes of words ``start`` to ``stop``, for arrays of both."""
+        return _spans_code(codes, start, stop, _WORDS)
+
     def text(self, i: int, j: int, raw: bytes) -> bytes:
         """Words i to j of one text joined by one space."""
         return b" ".join(raw[int(self.start[i]) : int(self.stop[j - 1])].split()) if j > i else b""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, token_counts, warc
+from . import exact_dedup, mixing, simhash, substrings, token_counts, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -21,6 +21,14 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf, "documents"))
 
@@ -29,8 +37,9 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op8_exact_dedup, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op5_substring_dedup, op6_simhash, op8_exact_dedup, op9_mixing)}
 
+#: Words, as in the operators.
 _WORD = r"[^\x20\x09-\x0D]+"
 
 SQL = {
@@ -41,6 +50,17 @@ SQL = {
         SELECT page_id, payload_bytes, payload_digest, CASE WHEN head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN head = page_id THEN NULL ELSE head END AS refers_to
         FROM m""",
+    "op5_substring_dedup": rf"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS words FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(words[i : i + 12], ' ') AS seq FROM w, unnest(range(1, greatest(len(words) - 11, 1))) AS u(i)),
+        f AS (SELECT seq, min(doc_id) AS low FROM s GROUP BY seq),
+        g AS (SELECT DISTINCT s.doc_id, s.i + o AS word_no FROM s JOIN f USING (seq), unnest(range(0, 13)) AS u(o) WHERE f.low < s.doc_id),
+        h AS (SELECT doc_id, list(word_no) AS gone FROM g GROUP BY doc_id),
+        k AS (
+            SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+                   CASE WHEN gone IS NULL THEN words ELSE list_filter(words, lambda x, i: NOT list_contains(gone, i)) END AS kept
+            FROM w LEFT JOIN h ON w.doc_id = h.doc_id)
+        SELECT doc_id, n_words, n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
     "op8_exact_dedup": r"""
         WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents)
         SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = min(doc_id) OVER g AS kept, sha256(body) AS text_sha256

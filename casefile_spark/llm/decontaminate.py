@@ -45,9 +45,9 @@ def question_and_answer(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
 
 
 def _runs(words: list[bytes]) -> tuple[int, np.ndarray]:
-    """Length and distinct codes of the runs that stand for a part of an item."""
+    """Length and distinct codes of the runs that stand for a part of an item; short parts take shorter runs."""
     found = find_words(plain(pa.array([b" ".join(words)])))
-    n = min(RUN, found.start.size)
+    n = min(RUN, max(1, found.start.size // 3)) if found.start.size else 0
     return n, np.unique(found.runs(found.codes(), n)[1]) if n else np.zeros(0, np.uint64)
 
 

@@ -139,43 +139,49 @@ def _share(runs: np.ndarray, part: tuple[int, np.ndarray]) -> float:
 _FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def held_items(texts: pa.Array, shard: Shard) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(score, question overlap, answer overlap) by (row, item) for the items that stand in these texts."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    words = find_words(plain(texts))
+    if not words.start.size or not shard.terms.size:
+        return best
+    codes = words.codes()
+    term = np.minimum(np.searchsorted(shard.terms, codes), shard.terms.size - 1)
+    known = shard.terms[term] == codes
+    start, stop = passages_of(words.first)
+    sums = np.concatenate([[0.0], np.cumsum(np.where(known, shard.top[term], 0.0))])
+    live = np.flatnonzero(sums[stop] - sums[start] >= 1 - 1e-6)
+    if not live.size:
+        return best
+    size = stop[live] - start[live]
+    passage = np.repeat(np.arange(live.size), size)
+    at = np.arange(passage.size) - np.repeat(np.cumsum(size) - size, size) + start[live][passage]
+    pair = np.unique(passage[known[at]] * shard.terms.size + term[at][known[at]])
+    term_of, passage_of = pair % shard.terms.size, pair // shard.terms.size
+    # distinct terms give a tighter bound than the running sums
+    bound = np.bincount(passage_of, shard.top[term_of], live.size)[passage_of] >= 1 - 1e-6
+    if not bound.any():
+        return best
+    hit, item, score = shard.search(term_of[bound], passage_of[bound], live.size)
+    for p, i, s in zip(live[hit].tolist(), item.tolist(), score.tolist()):
+        row = int(np.searchsorted(words.first, start[p], side="right")) - 1
+        _, n, question, answer = shard.items[i]
+        lo, hi = max(words.first[row], start[p] - n), min(words.first[row + 1], stop[p] + n)
+        shares = []
+        for part in (question, answer):
+            k = part[0]
+            begin = np.arange(lo, hi - k + 1) if k and hi - lo >= k else np.zeros(0, np.int64)
+            shares.append(_share(words.spans(codes, begin, begin + k), part) if k else 1.0)
+        if min(shares) >= OVERLAP:
+            best[row, i] = max(best.get((row, i), (0.0, 0.0, 0.0)), (s * SCORE, *shares))
+    return best
+
+
 def _query(sent):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: Shard = sent.value
         for batch in chunks(batches, "text"):
-            words = find_words(plain(batch.column("text")))
-            if not words.start.size:
-                continue
-            codes = words.codes()
-            term = np.minimum(np.searchsorted(shard.terms, codes), shard.terms.size - 1)
-            known = shard.terms[term] == codes
-            start, stop = passages_of(words.first)
-            sums = np.concatenate([[0.0], np.cumsum(np.where(known, shard.top[term], 0.0))])
-            live = np.flatnonzero(sums[stop] - sums[start] >= 1 - 1e-6)
-            if not live.size:
-                continue
-            size = stop[live] - start[live]
-            passage = np.repeat(np.arange(live.size), size)
-            at = np.arange(passage.size) - np.repeat(np.cumsum(size) - size, size) + start[live][passage]
-            pair = np.unique(passage[known[at]] * shard.terms.size + term[at][known[at]])
-            term_of, passage_of = pair % shard.terms.size, pair // shard.terms.size
-            # distinct terms give a tighter bound than the running sums
-            bound = np.bincount(passage_of, shard.top[term_of], live.size)[passage_of] >= 1 - 1e-6
-            if not bound.any():
-                continue
-            hit, item, score = shard.search(term_of[bound], passage_of[bound], live.size)
-            best: dict[tuple[int, int], tuple[float, float, float]] = {}
-            for p, i, s in zip(live[hit].tolist(), item.tolist(), score.tolist()):
-                row = int(np.searchsorted(words.first, start[p], side="right")) - 1
-                _, n, question, answer = shard.items[i]
-                lo, hi = max(words.first[row], start[p] - n), min(words.first[row + 1], stop[p] + n)
-                shares = []
-                for part in (question, answer):
-                    k = part[0]
-                    begin = np.arange(lo, hi - k + 1) if k and hi - lo >= k else np.zeros(0, np.int64)
-                    shares.append(_share(words.spans(codes, begin, begin + k), part) if k else 1.0)
-                if min(shares) >= OVERLAP:
-                    best[row, i] = max(best.get((row, i), (0.0, 0.0, 0.0)), (s * SCORE, *shares))
+            best = held_items(batch.column("text"), shard)
             if best:
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[r], shard.items[i][0], *v) for (r, i), v in best.items()]
@@ -200,3 +206,20 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         part = rows.mapInArrow(_query(docs.sparkSession.sparkContext.broadcast(shard)), _FOUND)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], _FOUND) if found is None else found
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns, in a pass per shard without a shuffle."""
+
+    def without(sent):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in chunks(batches, "text"):
+                mask = np.ones(batch.num_rows, bool)
+                mask[[row for row, _ in held_items(batch.column("text"), sent.value)]] = False
+                yield batch.filter(pa.array(mask))
+
+        return work
+
+    for shard in _shards(items, Workspace(docs.sparkSession, "decontaminate")):
+        docs = docs.mapInArrow(without(docs.sparkSession.sparkContext.broadcast(shard)), docs.schema)
+    return docs

@@ -176,3 +176,20 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     groups = contents.repartitionById(files, F.col("file")).mapInArrow(_bucket_groups, _GROUPS)
     found = local.select("row", "doc_id", "rep").join(groups, "rep")
     return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+
+
+def first_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns. Rows without id, and rows that share one, are told apart by their text."""
+    work = Workspace(docs.sparkSession, "first-copies")
+    found = work.keep(exact_duplicates(docs, bucket_bytes), "found")
+    shared = work.keep(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("s")), "shared")
+    gone = found.filter("not kept").select(F.col("doc_id").alias("g"))
+    if shared.isEmpty():
+        return docs.join(gone, F.col("doc_id") == F.col("g"), "left_anti")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("s"))
+    alone = docs.join(shared, same, "left_anti").join(gone, F.col("doc_id") == F.col("g"), "left_anti")
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    kept = found.filter("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("d")).distinct()
+    both = docs.join(shared, same, "left_semi").withColumn("__digest", digest)
+    both = both.join(kept, both["doc_id"].cast("long").eqNullSafe(kept["k"]) & (both["__digest"] == kept["d"]), "left_semi")
+    return alone.unionByName(both.dropDuplicates(["doc_id", "__digest"]).drop("__digest"))

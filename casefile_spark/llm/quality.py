@@ -204,3 +204,14 @@ def classify(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, p), pa.array(p[2] >= THRESHOLD)], names=["doc_id", "content_quality", "metadata_quality", "quality", "keep"])
 
     return _prepared(docs).mapInArrow(score, "doc_id long, content_quality double, metadata_quality double, quality double, keep boolean")
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns, in one pass without a shuffle."""
+    model = fit(docs, labels, rounds)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            yield batch.filter(pa.array(model.scores(_views(batch))[2] >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema) if model else docs

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash, substrings, token_counts, warc
+from . import decontaminate, exact_dedup, line_dedup, mixing, quality, secrets, simhash, substrings, token_counts, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
 def op2_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.length_histogram(token_counts.encoded_lengths(_table(spark, sf, "documents")))
 
@@ -21,6 +25,10 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.scan_secrets(_table(spark, sf, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -29,6 +37,10 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf, "documents"))
 
@@ -37,7 +49,18 @@ def op9_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(_table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_warc, op5_substring_dedup, op6_simhash, op8_exact_dedup, op9_mixing)}
+def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = line_dedup.drop_recurring_lines(_table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality, op2_token_counts, op3_warc, op4_secrets, op5_substring_dedup, op6_simhash, op7_decontamination,
+        op8_exact_dedup, op9_mixing, op10_line_dedup,
+    )
+}
 
 #: Words, as in the operators.
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -90,4 +113,27 @@ SQL = {
                    coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
             FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, part - before)))::BIGINT AS taken FROM o""",
+    "op10_line_dedup": r"""
+        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        l AS (SELECT line, count(*) AS docs FROM (SELECT unnest(list_distinct(lines)) AS line FROM d) GROUP BY line),
+        t AS (SELECT line, docs, list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS tokens FROM l),
+        m AS (
+            SELECT line, docs, list_transform(tokens, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
+            FROM t WHERE len(tokens) > 0),
+        f AS (SELECT line, docs, tokens, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM m),
+        r AS (SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING sum(docs) >= 5)),
+        p AS (SELECT line, docs, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM r),
+        c AS (SELECT leaf, place, token FROM p WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
+        s AS (
+            SELECT p.line, p.docs, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) AS template, count(c.token) AS constants, count(*) AS n
+            FROM p LEFT JOIN c USING (leaf, place, token) GROUP BY p.line, p.docs, p.leaf),
+        h AS (SELECT * FROM s WHERE constants >= 0.5 * n),
+        g AS (SELECT line FROM h WHERE template IN (SELECT template FROM h GROUP BY template HAVING sum(docs) >= 5)),
+        e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM d WHERE text IS NOT NULL),
+        k AS (
+            SELECT doc_id, count(*)::BIGINT AS n_lines, count(g.line)::BIGINT AS n_dropped,
+                   coalesce(string_agg(e.line, chr(10) ORDER BY line_no) FILTER (WHERE g.line IS NULL), '') AS kept
+            FROM e LEFT JOIN g USING (line) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
 }

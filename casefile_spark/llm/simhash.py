@@ -336,3 +336,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     links = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
     roots = components(work.keep(links, "links"), work)
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` without those linked to a document of a smaller id, with all their columns."""
+    gone = similar_documents(docs, shingle, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("g"))
+    return docs.join(gone, F.col("doc_id") == F.col("g"), "left_anti")

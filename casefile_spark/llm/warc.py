@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, partitions_for
 
 LEAST_REVISIT_BYTES = 100
 FILE_BYTES = 1 << 30
@@ -144,7 +144,9 @@ def read_archives(index: DataFrame, folder: str, payloads: bool = True) -> DataF
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _RECORD_DDL.split(", ")])
 
     entries = index.select("file", "offset", "length", F.floor(F.col("offset") / SPAN_BYTES).alias("span"))
-    entries = entries.repartition("file", "span").sortWithinPartitions("file", "offset")
+    # a number of its own: the index is small, what it points at is not
+    tasks = partitions_for(index, index.agg(F.sum("length")).first()[0] or 0, SPAN_BYTES)
+    entries = entries.repartition(tasks, "file", "span").sortWithinPartitions("file", "offset")
     return entries.select("file", "offset", "length").mapInArrow(read, _RECORD_DDL)
 
 

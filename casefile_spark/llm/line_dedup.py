@@ -38,6 +38,7 @@ def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> Dat
     lines = lines.groupBy("line").agg(F.count("*").alias("docs")).withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") > 0)
     lines = lines.select("line", "docs", _leaf(F.col("tokens")).alias("leaf"))
     lines = work.keep(lines, "lines")
+    work.drop()
     leaves = work.keep(lines.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
     live = lines.join(leaves, "leaf")
     tokens = live.select("line", "docs", "leaf", F.posexplode(_tokens(F.col("line"))).alias("place", "token"))
@@ -49,6 +50,7 @@ def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> Dat
     shaped = marked.groupBy("line", "docs", "leaf").agg(F.sort_array(F.collect_list(F.struct("place", word.alias("word")))).alias("words"), F.count("constant").alias("constants"))
     shaped = shaped.filter(F.col("constants") >= CONSTANT * F.size("words")).select("line", "docs", F.concat_ws(" ", F.col("words.word")).alias("template"))
     shaped = work.keep(shaped, "shaped")
+    work.drop("lines", "leaves", "constants")
     recurring = shaped.groupBy("template").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("template")
     return shaped.join(recurring, "template").select("line", "template", "docs")
 
@@ -65,7 +67,9 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     known = rows.filter("text is not null")
     gone = work.keep(templates(known, work, min_docs).select("line"), "gone")
     hits = known.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).join(gone, "line")
+    work.drop("shaped")
     hits = work.keep(hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "d"), "hits")
+    work.drop("gone")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("gone", x), F.lit(False)))
     out = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("d")), "left")

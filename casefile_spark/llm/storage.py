@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +29,10 @@ class Workspace:
         for part in parts:
             path = sc._jvm.org.apache.hadoop.fs.Path(self.path(part))
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-        gc.collect()
-        sc._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            sc._jvm.System.gc()
+            time.sleep(0.3)  # the cleaner works in a thread of its own
 
 
 def partitions_for(df: DataFrame, size: float, target: float) -> int:

@@ -28,6 +28,7 @@ WINDOW = 13
 ANCHOR = 4
 GROUP_SUFFIXES = 200_000
 PREFIX_WORDS = (1, 2, 4, 8)
+TURNS = 4  # groups are dealt out in turns, so that a part of the suffixes is on disk at a time
 NO_ID = (1 << 63) - 1  # a null id, after all others
 
 
@@ -182,10 +183,11 @@ _RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:
 def _without(window: int, with_text: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            words = find_words(batch.column("text"))
-            at, runs = words.runs(words.codes(), window)
-            cut = np.searchsorted(at, words.first)
             copies, docs, codes = batch.column("copy").to_pylist(), batch.column("doc_id"), batch.column("codes")
+            some = np.flatnonzero(np.array(codes.is_valid()))
+            words = find_words(batch.column("text").take(pa.array(some)))
+            at, runs = words.runs(words.codes(), window)
+            cut, place = np.searchsorted(at, words.first), {int(i): k for k, i in enumerate(some)}
             texts = batch.column("text").cast(pa.large_binary())
             rows = []
             for i in range(batch.num_rows):
@@ -195,7 +197,7 @@ def _without(window: int, with_text: bool):
                 if copies[i]:
                     mask[:] = n >= window
                 elif codes[i].is_valid:
-                    mask = covered(runs[cut[i] : cut[i + 1]], np.array(codes[i].as_py(), np.int64).view(np.uint64), window)
+                    mask = covered(runs[cut[place[i]] : cut[place[i] + 1]], np.array(codes[i].as_py(), np.int64).view(np.uint64), window)
                 if mask.any():
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], mask.view(np.int8), [0]]))).tolist()
                     kept = b" ".join([w for w, m in zip(split, mask.tolist()) if not m])
@@ -226,23 +228,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
     copies = work.keep(rows_of.join(copies, "doc").filter("rows = copies").select("doc", F.lit(True).alias("copy")), "copies")
     single = rows.join(copies.select("doc"), "doc", "left_anti").select("doc", "text")
 
-    anchors = single.mapInArrow(_anchor_rows(window), "anchor long, doc long")
+    anchors = work.keep(single.mapInArrow(_anchor_rows(window), "anchor long, doc long"), "anchor-rows")
     repeated = work.keep(anchors.groupBy("anchor").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).filter("low < high").select("anchor"), "repeated")
     work.drop()
     held = anchors.join(repeated, "anchor").groupBy("doc").agg(F.collect_set("anchor").alias("anchors"))
     held = work.keep(held, "anchors")
-    work.drop("repeated")
+    work.drop("repeated", "anchor-rows")
 
     suffixes = single.join(held, "doc").select("doc", "text", "anchors").mapInArrow(_suffix_rows(window), "code long, doc long, suffix string, high long")
     suffixes = work.keep(suffixes, "suffixes")
     work.drop("anchors")
     leaves = _grouped(suffixes.filter("suffix is not null").select("suffix", "code", F.col("doc").alias("low"), "high"), work)
-    nodes = leaves.repartition("prefix").select("suffix", "code", "low", "high").sortWithinPartitions("suffix").mapInArrow(_trees(window), "code long, low long")
-    nodes = work.keep(nodes, "nodes")
-    work.drop()
+    # the group's number travels instead of its prefix; equal suffixes have equal prefixes
+    leaves = leaves.select("suffix", "code", "low", "high", F.xxhash64("prefix").alias("group"))
+    nodes = None
+    for turn in range(TURNS):
+        dealt = leaves.filter(F.pmod("group", F.lit(TURNS)) == turn).repartition("group").select("suffix", "code", "low", "high")
+        part = work.keep(dealt.sortWithinPartitions("suffix").mapInArrow(_trees(window), "code long, low long"), f"nodes{turn}")
+        nodes = part if nodes is None else nodes.unionByName(part)
+        work.drop()
     gone = suffixes.select("code", "doc").join(nodes, "code").filter("doc > low").groupBy("doc").agg(F.collect_set("code").alias("codes"))
     gone = work.keep(gone, "gone")
-    work.drop("suffixes", "nodes")
+    work.drop("suffixes", *(f"nodes{turn}" for turn in range(TURNS)))
 
     marked = rows.join(gone, "doc", "left").join(copies, "doc", "left")
     marked = marked.select(F.nullif(F.col("doc"), F.lit(NO_ID)).alias("doc_id"), "text", "codes", F.coalesce("copy", F.lit(False)).alias("copy"))

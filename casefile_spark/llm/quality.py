@@ -82,7 +82,7 @@ class Model:
     weights: np.ndarray
 
     @classmethod
-    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12) -> Model:
+    def fit(cls, x: np.ndarray, y: np.ndarray, ridge: float = 5.0, steps: int = 12) -> Model:
         mean, scale = x.mean(axis=0), x.std(axis=0)
         scale[scale < 1e-9] = 1.0
         z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
@@ -116,7 +116,7 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt's scaling with his smoothed targets."""
     good, bad = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (good + 1) / (good + 2), 1 / (bad + 2))
-    m = Model.fit(margin[:, None], target, ridge=1e-3, steps=30)
+    m = Model.fit(margin[:, None], target, ridge=3.0, steps=30)  # few held-out rows say little about a weak view
     a = m.weights[0] / m.scale[0]
     return float(max(a, 0.0)), float(m.weights[1] - a * m.mean[0] if a > 0 else np.log(good + 1) - np.log(bad + 1))
 

@@ -137,13 +137,14 @@ def backfill_counts(events: DataFrame, inserted: DataFrame) -> DataFrame:
     )
 
 
-def daily_calls(calls: DataFrame, at: str, keys: list[str] | None = None) -> DataFrame:
-    """Calls per UTC day with the budget state, the last thirty days that saw any."""
+def daily_calls(calls: DataFrame, at: str, keys: list[str] | None = None, days: int | None = None) -> DataFrame:
+    """Calls per UTC day with the budget state; with ``days``, the last so many that saw any."""
     keys = keys or []
     per_day = calls.groupBy(*keys, F.to_date(at).alias("day")).agg(F.count("*").alias("calls"))
-    newest = Window.partitionBy(*keys).orderBy(F.desc("day"))
-    kept = per_day.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= KEPT_DAYS).drop("_n")
-    return kept.withColumn("state", budget_state(F.col("calls")))
+    if days is not None:
+        newest = Window.partitionBy(*keys).orderBy(F.desc("day"))
+        per_day = per_day.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= days).drop("_n")
+    return per_day.withColumn("state", budget_state(F.col("calls")))
 
 
 def budget_state(calls: Column, warn: int = DAILY_WARN, stop: int = DAILY_STOP) -> Column:

@@ -70,20 +70,21 @@ def list_deleted_files(files: DataFrame, matters: DataFrame, as_of: Column) -> D
 
 
 # --- purge -----------------------------------------------------------------------------------
-def due_for_purge(rows: DataFrame, key: str, as_of: Column, limit: int = PURGE_BATCH) -> DataFrame:
-    """The next rows whose recovery window has passed, oldest first, one bounded batch."""
+def due_for_purge(rows: DataFrame, key: str, as_of: Column, limit: int | None = None) -> DataFrame:
+    """Rows whose recovery window has passed; with ``limit``, the oldest so many."""
     cutoff = as_of - F.expr(f"INTERVAL {RECOVERY_DAYS} DAYS")
-    return rows.filter(F.col("deleted_at") < cutoff).orderBy("deleted_at", key).limit(limit)
+    due = rows.filter(F.col("deleted_at") < cutoff)
+    return due if limit is None else due.orderBy("deleted_at", key).limit(limit)
 
 
-def purge(files: DataFrame, matters: DataFrame, as_of: Column, store_available: bool = True) -> dict[str, DataFrame]:
+def purge(files: DataFrame, matters: DataFrame, as_of: Column, store_available: bool = True, limit: int | None = None) -> dict[str, DataFrame]:
     """What one purge run removes and leaves. Nothing goes while the chunk index is unavailable.
 
     Returns removed_files (to drop from the index), files, matters and the audit events.
     """
     up = F.lit(store_available)
-    gone_files = due_for_purge(files, "file_id", as_of).filter(up)
-    gone_matters = due_for_purge(matters, "matter_id", as_of).filter(up)
+    gone_files = due_for_purge(files, "file_id", as_of, limit).filter(up)
+    gone_matters = due_for_purge(matters, "matter_id", as_of, limit).filter(up)
     cascade = files.join(gone_matters.select("matter_id"), "matter_id", "left_semi")
     removed = gone_files.select("matter_id", "file_id").unionByName(cascade.select("matter_id", "file_id")).distinct()
 

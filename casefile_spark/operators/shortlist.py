@@ -316,10 +316,10 @@ def scrub_query(query: Column) -> Column:
     return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(out, '"', " "), r"\s+", " "))).otherwise(out)
 
 
-def usable_queries(generated: DataFrame) -> tuple[DataFrame, DataFrame]:
+def usable_queries(generated: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(queries, refusals). generated: request_id, query_no, angle, query.
 
-    Scrubbed, at least eight characters, distinct by folded text, the first ten; below three the
+    Scrubbed, at least eight characters, distinct by folded text; with ``most``, the first so many; below three the
     request is refused.
     """
     clean = generated.withColumn("query", scrub_query(F.col("query"))).filter(F.length("query") >= MIN_QUERY_CHARS)
@@ -327,7 +327,8 @@ def usable_queries(generated: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min(F.struct("query_no", "angle", "query")).alias("_q")
     )
     turn = F.row_number().over(Window.partitionBy("request_id").orderBy("_q.query_no"))
-    kept = first.withColumn("_turn", turn).filter(F.col("_turn") <= MAX_QUERIES).select(
+    first = first.withColumn("_turn", turn)
+    kept = (first if most is None else first.filter(F.col("_turn") <= most)).select(
         "request_id", "_q.query_no", F.coalesce(F.nullif(F.col("_q.angle"), F.lit("")), F.lit("unspecified")).alias("angle"), "_q.query"
     )
     counts = generated.select("request_id").distinct().join(

@@ -103,7 +103,7 @@ def h5_verify_lookup_budget(spark, sf):
         F.concat(F.lit("2000onca"), F.col("p_partkey").cast("string")).alias("case_id"),
         F.concat(F.lit("2000 ONCA "), F.col("p_partkey").cast("string")).alias("citation"), F.col("p_name").alias("title"),
     )
-    return V.verify(li, cases).groupBy("text_id", "outcome").agg(F.count("*").alias("n"))
+    return V.verify(li, cases, lookups=V.MAX_LOOKUPS).groupBy("text_id", "outcome").agg(F.count("*").alias("n"))
 
 
 def h6_names_match(spark, sf):
@@ -299,13 +299,13 @@ def i12_usable_queries(spark, sf):
     lines = B.lines(spark, sf).select(
         F.col("file_id").alias("request_id"), F.col("line_no").alias("query_no"), F.when(F.length("line") > 100, "long").otherwise("").alias("angle"), F.col("line").alias("query")
     )
-    kept, _ = S.usable_queries(lines)
+    kept, _ = S.usable_queries(lines, S.MAX_QUERIES)
     return kept.select("request_id", "query_no", "angle", F.md5("query").alias("digest"))
 
 
 def i12_refusals(spark, sf):
     lines = B.lines(spark, sf).select(F.col("file_id").alias("request_id"), F.col("line_no").alias("query_no"), F.lit("a").alias("angle"), F.col("line").alias("query"))
-    return S.usable_queries(lines)[1]
+    return S.usable_queries(lines, S.MAX_QUERIES)[1]
 
 
 def i13_notes(spark, sf):

@@ -146,12 +146,12 @@ def k3_deleted_items(spark, sf):
 
 
 def k4_due_for_purge(spark, sf):
-    return K.due_for_purge(B.matters(spark, sf), "matter_id", _at(B.LEDGER_AS_OF)).select("matter_id", "name")
+    return K.due_for_purge(B.matters(spark, sf), "matter_id", _at(B.LEDGER_AS_OF), K.PURGE_BATCH).select("matter_id", "name")
 
 
 def k4_purge_effect(spark, sf):
     """What a purge leaves: files per matter after the cascade."""
-    out = K.purge(B.files(spark, sf), doc_matters(spark, sf), _at(B.AS_OF))
+    out = K.purge(B.files(spark, sf), doc_matters(spark, sf), _at(B.AS_OF), limit=K.PURGE_BATCH)
     left = out["files"].groupBy("matter_id").agg(F.count("*").alias("files"))
     gone = out["removed_files"].groupBy("matter_id").agg(F.count("*").alias("removed"))
     return left.join(gone, "matter_id", "full").select(
@@ -256,7 +256,7 @@ def k14_tier_bounds(spark, sf):
 
 
 def k15_daily_calls(spark, sf):
-    out = L.daily_calls(B.events(spark, sf), "ts", ["event_type"])
+    out = L.daily_calls(B.events(spark, sf), "ts", ["event_type"], L.KEPT_DAYS)
     return out.select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "calls", L.budget_state(F.col("calls"), 60, 70).alias("state"))
 
 

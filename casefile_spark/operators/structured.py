@@ -26,7 +26,6 @@ ABSENT_CELLS = ("", "-", "—")
 TABLE_ROW = r"^\s*\|.*\|\s*$"
 TABLE_RULE = r"^\s*\|?[\s:\-|]+\|[\s:\-|]*$"
 HEADING = r"^\s{0,3}#{1,6}\s+(.*?)\s*#*\s*$"
-SEPARATOR_REACH = 40
 RECONCILE = (
     "Export note: the %s table on screen has %d row(s) but the structured export data has %d. The exported "
     "file follows the structured data. Verify against the source before relying on the export."
@@ -170,15 +169,11 @@ def answer_lines(split: DataFrame, text: str = "answer_text") -> DataFrame:
 
 
 def markdown_rows(lines: DataFrame) -> DataFrame:
-    """Data rows per result: table rows whose separator stood within the previous lines.
-
-    The lines of one result came out of one row, so a window per result is bounded by that row.
-    """
-    earlier = Window.partitionBy("result_id").orderBy("line_no").rowsBetween(-SEPARATOR_REACH, -1)
-    near = F.max(F.col("line").rlike(TABLE_RULE)).over(earlier)
-    data = F.col("line").rlike(TABLE_ROW) & ~F.col("line").rlike(TABLE_RULE) & near
-    return lines.withColumn("_data", F.coalesce(data, F.lit(False))).groupBy("result_id").agg(
-        F.count_if("_data").alias("markdown_rows")
+    """Data rows per result, over all its pipe tables, however long."""
+    tables, _ = markdown_tables(lines)
+    counted = tables.groupBy("result_id").agg(F.sum("rows").alias("n"))
+    return lines.select("result_id").distinct().join(counted, "result_id", "left").select(
+        "result_id", F.coalesce("n", F.lit(0)).alias("markdown_rows")
     )
 
 
@@ -203,7 +198,7 @@ def markdown_tables(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     tables: result_id, table_no, title (nearest heading above), headers, rows, note.
     rows: result_id, table_no, row_no, cells - squared off to the header width.
     """
-    # As above: a window per result is bounded by the one row its lines came from.
+    # A window per result is bounded by the one row its lines came from.
     page = Window.partitionBy("result_id").orderBy("line_no")
     upto = page.rowsBetween(Window.unboundedPreceding, 0)
     pipe = strip(F.col("line")).startswith("|")

@@ -281,6 +281,16 @@ def g5_markdown_rows(spark, sf):
     return G.markdown_rows(G.answer_lines(s))
 
 
+def g5_long_tables(spark, sf):
+    """One table per matter with a row for every file, far longer than a screen."""
+    row = F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), F.col("lang"), F.lit(" |"))
+    table = B.table(spark, sf, "documents").groupBy("source", (F.col("doc_id") % 16).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_t"))
+    answers = table.select(
+        F.concat_ws("/", "source", "part").alias("result_id"), F.concat(F.lit("## Files\n| File | Language |\n|---|---|\n"), "_t", F.lit("\n\nEnd.")).alias("answer_text")
+    )
+    return G.markdown_rows(G.answer_lines(answers))
+
+
 def g5_reconcile(spark, sf):
     """Table rows on screen against parsed rows, with one parsed row left out for purchases."""
     s = G.split_block(_completions(spark, sf))
@@ -399,7 +409,7 @@ QUERIES = {f.__name__: f for f in (
     e1_token_counts, e2_batches, e2_batches_whole_corpus, e3_billing_tokens, e4_run_cost, e5_run_estimates, e6_run_summary, e6_run_warnings,
     f1_retrieval_text, f2_request_section, f3_context_message, f4_system_prompts, f5_comparison_message, f6_missing_inputs, f7_pleading_errors,
     f8_task_availability, f9_scope_verdicts, f9_scope_files, g1_split_block, g2_timeline_rows, g2_quarantine, g3_complete_dates,
-    g4_square_cells, g5_markdown_rows, g5_reconcile, g6_collapse_lines, g6_collapse_count, g7_markdown_tables, g8_export_tables,
+    g4_square_cells, g5_markdown_rows, g5_long_tables, g5_reconcile, g6_collapse_lines, g6_collapse_count, g7_markdown_tables, g8_export_tables,
     g9_comparison_pivot, g10_absent_files, g11_entity_rollup, j1_lexicon_scan, j2_oldest_numbers, j3_signals_by_file,
     j3_union_in_order, j4_gate, j5_hallmarks,
 )}
@@ -543,7 +553,8 @@ SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM
     "g4_square_cells": """
 WITH c AS (SELECT l_orderkey, list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS c FROM lineitem GROUP BY 1)
 SELECT l_orderkey, coalesce(c[1], '') || '|' || coalesce(c[2], '') || '|' || coalesce(c[3], '') AS cells FROM c""",
-    "g5_markdown_rows": f"WITH {_DAYS} SELECT result_id, least(count(*), 40) AS markdown_rows FROM d GROUP BY 1",
+    "g5_markdown_rows": f"WITH {_DAYS} SELECT result_id, count(*) AS markdown_rows FROM d GROUP BY 1",
+    "g5_long_tables": "SELECT source || '/' || doc_id % 16 AS result_id, count(*) AS markdown_rows FROM documents GROUP BY 1",
     "g5_reconcile": f"""
 WITH {_DAYS}, c AS (SELECT result_id, count(*) AS m, count(*) FILTER (event_type <> 'purchase') AS s FROM d WHERE NOT bad GROUP BY 1)
 SELECT result_id, 'timeline' AS kind, s AS structured_rows, m AS markdown_rows, CASE WHEN m <> s THEN 'Export note: the timeline table on screen has ' || m ||

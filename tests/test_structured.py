@@ -77,6 +77,11 @@ def test_markdown_rows_and_reconcile(spark, split):
     assert got[1].startswith("Export note: the timeline table on screen has 2 row(s) but the structured export data has 3.") and got[2] is None and got[4] is None
 
 
+def test_markdown_rows_of_a_long_table(spark):
+    md = "| a |b|\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(100)) + "\n\ntext"
+    assert G.markdown_rows(G.answer_lines(spark.createDataFrame([(1, md), (2, "")], "result_id int, answer_text string"))).orderBy("result_id").collect() == [(1, 100), (2, 0)]
+
+
 def test_markdown_tables(spark):
     md = "# A\n| h1 | h2 |\n| --- | :-: |\n| x | y |\n| z |\ntext\n## B ##\nlead\n|p|q|\n|-|-|\n| only header above |\n| a | b | c |\n\n| no | rule |\n| x | y |"
     tables, rows = G.markdown_tables(G.answer_lines(spark.createDataFrame([(1, md)], "result_id int, answer_text string")))

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 MAX_QUERIES = 4096  # at 1,024 dimensions this is 32 MB of doubles per task
 SCORE_DIGITS = 12
+MIXED_SIZES = "query vectors differ in size"
+TILE_CELLS = 4_000_000  # scores held at once by a task: 32 MB of doubles
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -48,17 +50,19 @@ def _score_table(table: pa.Table, query_ids: np.ndarray, units: np.ndarray, k, g
     )
     table = table.take(order).combine_chunks()
     corpus = _unit(_matrix(table["embedding"].combine_chunks(), dim))
-    scores = np.round(units @ corpus.T, SCORE_DIGITS)
     pos = table["collection_pos"].to_numpy()
     cuts = [0, *(np.flatnonzero(np.diff(pos)) + 1).tolist(), len(pos)] if grouped else [0, len(pos)]
     rows, owners, depths, values = [], [], [], []
-    for q in range(units.shape[0]):
-        for lo, hi in zip(cuts, cuts[1:]):
-            best = _best(scores[q, lo:hi], int(k[q])) + lo
-            rows.append(best)
-            owners.append(np.full(best.size, query_ids[q]))
-            depths.append(np.full(best.size, k[q]))
-            values.append(scores[q, best])
+    tile = max(1, TILE_CELLS // max(1, len(pos)))
+    for first in range(0, units.shape[0], tile):
+        scores = np.round(units[first : first + tile] @ corpus.T, SCORE_DIGITS)
+        for q, row in enumerate(scores, first):
+            for lo, hi in zip(cuts, cuts[1:]):
+                best = _best(row[lo:hi], int(k[q])) + lo
+                rows.append(best)
+                owners.append(np.full(best.size, query_ids[q]))
+                depths.append(np.full(best.size, k[q]))
+                values.append(row[best])
     picked = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
     out = table.select(["collection", "collection_pos", "chunk_no", "chunk_key"]).take(pa.array(picked))
     return pa.table(
@@ -123,7 +127,8 @@ def cosine_top_k(
     """Best k chunks per query (or per query and collection), exact, ties by collection then chunk.
 
     corpus: collection, collection_pos, chunk_no, chunk_key, embedding.
-    queries: query_id, k, embedding. Vectors of another dimension than the queries' are left out.
+    queries: query_id, k, embedding; all of one size, otherwise the job fails. Vectors of another
+    size cannot be compared and are no hits; ``retrieval.readable`` tells which collections have none.
     Returns query_id, rank, score, collection, collection_pos, chunk_no, chunk_key.
     """
     queries = queries.select(
@@ -133,6 +138,12 @@ def cosine_top_k(
     )
     head = queries.limit(max_queries + 1).toArrow()  # checked size: at most max_queries + 1 rows
     dim = len(head["embedding"][0]) if head.num_rows else 1
+    size = F.size("embedding")
+    queries = queries.withColumn(
+        "embedding", F.when(size == dim, F.col("embedding")).otherwise(F.raise_error(F.lit(MIXED_SIZES)).cast("array<double>"))
+    )
+    if any(len(v) != dim for v in head["embedding"]):
+        raise ValueError(MIXED_SIZES)
     corpus = corpus.filter(F.size("embedding") == dim).select(
         F.col("collection").cast("string").alias("collection"),
         F.col("collection_pos").cast("long").alias("collection_pos"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import join_sorted, strip
-from ..functions.topk import cosine_top_k
+from ..functions.topk import SCORE_DIGITS, cosine_top_k
 
 # Depths, budgets, limits, thresholds and wording.
 DETAILED_DEPTH = 28
@@ -50,17 +50,35 @@ def search_across(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def search_per_file(chunks: DataFrame, queries: DataFrame, requested: DataFrame) -> DataFrame:
     """Top-k inside every requested collection, total over the request list.
 
-    A requested collection without hits keeps one row with a NULL rank.
+    Only the requested pairs of query and collection are scored; the limit runs before the shuffle of
+    the scores. A requested collection without hits keeps one row with a NULL rank.
     """
-    asked = chunks.join(requested.select("collection").distinct(), "collection", "left_semi")
-    hits = cosine_top_k(asked, queries, per_collection=True).drop("collection_pos")
+    deepest = _deepest(queries)
+    asked = requested.select("query_id", "collection").join(
+        queries.select("query_id", F.col("k").alias("_k"), F.col("embedding").alias("_q")), "query_id"
+    )
+    pairs = chunks.select("collection", "chunk_no", F.col("chunk_key").cast("string").alias("chunk_key"), "embedding").join(asked, "collection")
+    scored = pairs.filter(F.size("embedding") == F.size("_q")).select(
+        "query_id", "collection", "chunk_no", "chunk_key", "_k",
+        F.round(vectors.cosine(F.col("_q"), F.col("embedding")), SCORE_DIGITS).alias("score"),
+    )
+    best = Window.partitionBy("query_id", "collection").orderBy(F.desc("score"), "chunk_no", "chunk_key")
+    hits = (
+        scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= deepest).filter(F.col("rank") <= F.col("_k"))
+        .select("query_id", "collection", "rank", "score", "chunk_no", "chunk_key")
+    )
     return requested.select("query_id", "collection", "collection_pos").join(hits, ["query_id", "collection"], "left")
 
 
+def _deepest(queries: DataFrame) -> int:
+    """One number for the driver: a constant bound lets a window limit run before the shuffle."""
+    return int(queries.agg(F.max("k")).first()[0] or 0)
+
+
 def best_of(per_file: DataFrame, queries: DataFrame) -> DataFrame:
     """Global top-k of per-file hits. Nothing is lost: a global hit is a hit of its own file."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "collection_pos", "chunk_no", "chunk_key")
-    ranked = per_file.withColumn("rank", F.row_number().over(order))
+    ranked = per_file.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= _deepest(queries))
     return ranked.join(queries.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
 
 
@@ -121,6 +139,11 @@ def coverage_report(requested: DataFrame, readable: DataFrame) -> DataFrame:
     )
 
 
+def readable(chunks: DataFrame, dim: int) -> DataFrame:
+    """Collections that queries of ``dim`` numbers can read: those with a vector of that size."""
+    return chunks.filter(F.size("embedding") == dim).select("collection").distinct()
+
+
 def require_coverage(report: DataFrame) -> DataFrame:
     """Fail the job when a query could read none of its collections: that is not an empty result."""
     nothing = (F.col("attempted") > 0) & (F.col("answered") == 0)
@@ -147,11 +170,16 @@ def partial_warning(report: DataFrame, manifest: DataFrame) -> DataFrame:
     )
 
 
+def scope_sizes(requested: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Chunks in scope per query, counted per collection before the requests meet them."""
+    held = chunks.groupBy("collection").agg(F.count("*").alias("_n"))
+    return requested.join(held, "collection").groupBy("query_id").agg(F.sum("_n").alias("in_scope"))
+
+
 def coverage_share(sent: DataFrame, in_scope: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunks sent divided by chunks in scope."""
+    """Chunks sent divided by chunks in scope. in_scope: keys and the number of chunks, in_scope."""
     a = sent.groupBy(*keys).agg(F.count("*").alias("sent"))
-    b = in_scope.groupBy(*keys).agg(F.count("*").alias("in_scope"))
-    return b.join(a, keys, "left").select(
+    return in_scope.join(a, keys, "left").select(
         *keys, F.coalesce("sent", F.lit(0)).alias("sent"), "in_scope",
         (F.coalesce("sent", F.lit(0)) / F.col("in_scope")).alias("share"),
     )

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def fit_vectoriser(corpus: DataFrame, text: str = "text", dim: int = 1024) -> PipelineModel:
-    """Token hashing and inverse document frequency, unit length; fitted in one pass."""
-    stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+", minTokenLength=2),
-        HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_unit"),
-    ]
-    return Pipeline(stages=stages).fit(corpus.select(F.coalesce(text, F.lit("")).alias(text)))
+@dataclass(frozen=True)
+class Vectoriser:
+    """Inverse document frequency per hash bucket; as long as the vectors, whatever the corpus."""
+
+    idf: tuple[float, ...]
+
+
+def _buckets(text: Column, dim: int) -> Column:
+    """The hash bucket of every word of two or more characters, repeats included."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\W+"), lambda w: F.length(w) >= 2)
+    return F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dim).cast("int"))
+
+
+def fit_vectoriser(corpus: DataFrame, text: str = "text", dim: int = 1024) -> Vectoriser:
+    """One pass over the texts; ``dim`` counts reach the driver."""
+    found = corpus.select(F.explode_outer(F.array_distinct(_buckets(F.col(text), dim))).alias("b"))
+    held = {r.b: r.n for r in found.filter("b IS NOT NULL").groupBy("b").agg(F.count("*").alias("n")).collect()}
+    texts = corpus.count()
+    return Vectoriser(tuple(float(np.log((texts + 1) / (held[b] + 1))) if b in held else 0.0 for b in range(dim)))
+
+
+def vectorise(model: Vectoriser, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
+    """Word counts per bucket times their weight, unit length; a text without known words stays zero."""
+    dim = len(model.idf)
+
+    def unit(buckets: np.ndarray) -> np.ndarray:
+        v = np.bincount(buckets, minlength=dim) * np.array(model.idf)
+        return v / (np.sqrt((v * v).sum()) or 1.0)
 
+    @F.pandas_udf("array<double>")
+    def weighted(buckets: pd.Series) -> pd.Series:
+        return buckets.map(unit)
 
-def vectorise(model: PipelineModel, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
-    safe = df.withColumn(text, F.coalesce(text, F.lit("")))
-    scored = model.transform(safe)
-    return scored.select(*df.columns, vector_to_array("_unit", "float32").alias(out))
+    return df.withColumn(out, weighted(_buckets(F.col(text), dim)))

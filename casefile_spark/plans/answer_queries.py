@@ -10,6 +10,8 @@ from ..operators import prompts as P
 from ..operators import retrieval as R
 from ..operators import scans as J
 from ..operators import structured as G
+from ..session import shared_folder
+from ..sources.sinks import read_result_tables, write_result_tables
 from . import bindings as B
 from .corpus_queries import _LINES, _TOKENS
 from .ledger_queries import _FILE_MATTERS, _FILES, doc_matters
@@ -282,9 +284,9 @@ def g5_markdown_rows(spark, sf):
 
 
 def g5_long_tables(spark, sf):
-    """One table per matter with a row for every file, far longer than a screen."""
+    """Tables of a matter with a row for every file, a thousand at most."""
     row = F.concat(F.lit("| "), F.col("doc_id").cast("string"), F.lit(" | "), F.col("lang"), F.lit(" |"))
-    table = B.table(spark, sf, "documents").groupBy("source", (F.col("doc_id") % 16).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_t"))
+    table = B.table(spark, sf, "documents").groupBy("source", F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(row)), "\n").alias("_t"))
     answers = table.select(
         F.concat_ws("/", "source", "part").alias("result_id"), F.concat(F.lit("## Files\n| File | Language |\n|---|---|\n"), "_t", F.lit("\n\nEnd.")).alias("answer_text")
     )
@@ -324,6 +326,17 @@ def g8_export_tables(spark, sf):
     return t.groupBy("result_id", "table_title", "structured").agg(F.count("row_no").alias("rows"), F.count("date_value").alias("dated"))
 
 
+def a10_result_tables(spark, sf):
+    """All tables written, those of odd users written again with a note, the latest read back."""
+    t = G.export_tables(G.split_block(_completions(spark, sf)))
+    folder = shared_folder(spark, "tables")
+    write_result_tables(t, folder, 0)
+    again = t.filter(F.split("result_id", "/")[0].cast("long") % 2 == 1).withColumn("note", F.lit("again"))
+    write_result_tables(again, folder, 1)
+    back = read_result_tables(spark, folder)
+    return back.groupBy("result_id", "task", "table_title", "note").agg(F.count("row_no").alias("rows"))
+
+
 def g9_comparison_pivot(spark, sf):
     cells = B.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("attribute"), F.col("o_orderstatus").alias("file")).agg(F.max("o_orderkey").cast("string").alias("cell"))
     return G.comparison_pivot(cells, ["F", "O", "P"])
@@ -409,7 +422,7 @@ QUERIES = {f.__name__: f for f in (
     e1_token_counts, e2_batches, e2_batches_whole_corpus, e3_billing_tokens, e4_run_cost, e5_run_estimates, e6_run_summary, e6_run_warnings,
     f1_retrieval_text, f2_request_section, f3_context_message, f4_system_prompts, f5_comparison_message, f6_missing_inputs, f7_pleading_errors,
     f8_task_availability, f9_scope_verdicts, f9_scope_files, g1_split_block, g2_timeline_rows, g2_quarantine, g3_complete_dates,
-    g4_square_cells, g5_markdown_rows, g5_long_tables, g5_reconcile, g6_collapse_lines, g6_collapse_count, g7_markdown_tables, g8_export_tables,
+    g4_square_cells, g5_markdown_rows, g5_long_tables, g5_reconcile, g6_collapse_lines, g6_collapse_count, g7_markdown_tables, g8_export_tables, a10_result_tables,
     g9_comparison_pivot, g10_absent_files, g11_entity_rollup, j1_lexicon_scan, j2_oldest_numbers, j3_signals_by_file,
     j3_union_in_order, j4_gate, j5_hallmarks,
 )}
@@ -554,7 +567,7 @@ SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM
 WITH c AS (SELECT l_orderkey, list(l_partkey::VARCHAR ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS c FROM lineitem GROUP BY 1)
 SELECT l_orderkey, coalesce(c[1], '') || '|' || coalesce(c[2], '') || '|' || coalesce(c[3], '') AS cells FROM c""",
     "g5_markdown_rows": f"WITH {_DAYS} SELECT result_id, count(*) AS markdown_rows FROM d GROUP BY 1",
-    "g5_long_tables": "SELECT source || '/' || doc_id % 16 AS result_id, count(*) AS markdown_rows FROM documents GROUP BY 1",
+    "g5_long_tables": "SELECT source || '/' || doc_id // 1000 AS result_id, count(*) AS markdown_rows FROM documents GROUP BY 1",
     "g5_reconcile": f"""
 WITH {_DAYS}, c AS (SELECT result_id, count(*) AS m, count(*) FILTER (event_type <> 'purchase') AS s FROM d WHERE NOT bad GROUP BY 1)
 SELECT result_id, 'timeline' AS kind, s AS structured_rows, m AS markdown_rows, CASE WHEN m <> s THEN 'Export note: the timeline table on screen has ' || m ||
@@ -572,6 +585,9 @@ WITH {_DAYS} SELECT result_id, 1 AS table_no, 'Events' AS title, 'Date|Event' AS
     "g8_export_tables": f"""
 WITH {_DAYS} SELECT result_id, CASE WHEN any_value(bad) THEN 'Events' ELSE 'Timeline' END AS table_title, NOT any_value(bad) AS structured, count(*) AS rows,
   CASE WHEN any_value(bad) THEN 0 ELSE count(*) END AS dated FROM d GROUP BY result_id""",
+    "a10_result_tables": f"""
+WITH {_DAYS} SELECT result_id, 'timeline' AS task, CASE WHEN any_value(bad) THEN 'Events' ELSE 'Timeline' END AS table_title,
+  CASE WHEN split_part(result_id, '/', 1)::BIGINT % 2 = 1 THEN 'again' ELSE '' END AS note, count(*) AS rows FROM d GROUP BY result_id""",
     "g9_comparison_pivot": """
 SELECT o_orderpriority AS attribute, max(o_orderkey) FILTER (o_orderstatus = 'F')::VARCHAR AS F, max(o_orderkey) FILTER (o_orderstatus = 'O')::VARCHAR AS O,
   max(o_orderkey) FILTER (o_orderstatus = 'P')::VARCHAR AS P FROM orders GROUP BY 1""",

@@ -53,9 +53,31 @@ def d1_l2_normalise(spark, sf):
 def d2_top_k_one_collection(spark, sf):
     """Each centroid against the vectors of its own label only."""
     e = B.vectors_table(spark, sf)
-    hits = R.cosine_top_k(e, B.centroid_queries(spark, sf, 5), per_collection=True)
-    own = hits.filter(F.col("collection_pos") == F.col("query_id"))
-    return own.select("query_id", "rank", F.col("chunk_key").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+    queries = B.centroid_queries(spark, sf, 5)
+    own = queries.select("query_id", F.concat(F.lit("c"), F.col("query_id").cast("string")).alias("collection"), F.col("query_id").alias("collection_pos"))
+    return R.search_per_file(e, queries, own).select("query_id", "rank", F.col("chunk_key").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def d2_search_one(spark, sf):
+    """All centroids against the vectors of one label."""
+    hits = R.search_one(B.vectors_table(spark, sf), "c3", B.centroid_queries(spark, sf, 5))
+    return hits.select("query_id", "rank", F.col("chunk_key").cast("long").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def _cut_vectors(spark, sf):
+    """The vectors of every third label cut to half their size, as from another model."""
+    half = F.slice("embedding", F.lit(1), (F.size("embedding") / 2).cast("int"))
+    e = B.vectors_table(spark, sf)
+    return e.withColumn("embedding", F.when(F.col("collection_pos") % 3 == 1, half).otherwise(F.col("embedding")))
+
+
+def d3_other_size_vectors(spark, sf):
+    """Collections of another vector size are reported as skipped, the rest is ranked."""
+    cut, queries = _cut_vectors(spark, sf), B.centroid_queries(spark, sf, 14)
+    asked = cut.select((F.col("chunk_no") % 7).alias("query_id"), "collection", "collection_pos").distinct()
+    report = R.coverage_report(asked, R.readable(cut, len(queries.first()["embedding"])))
+    hits = R.search_across(cut, queries).groupBy("query_id").agg(F.count("*").alias("hits"), F.round(F.sum("score"), 6).alias("total"))
+    return report.join(hits, "query_id").select("query_id", "attempted", "answered", F.array_join("skipped", ",").alias("skipped"), "hits", "total")
 
 
 def d3_scatter_gather_top_k(spark, sf):
@@ -126,7 +148,7 @@ def d11_gather_files(spark, sf):
 
 def d12_coverage_share(spark, sf):
     sent = _hits(spark, sf)
-    scope = R.gather_chunks(B.requested(spark, sf), B.corpus(spark, sf))
+    scope = R.scope_sizes(B.requested(spark, sf), B.corpus(spark, sf))
     out = R.coverage_share(sent, scope, ["query_id"])
     return out.withColumn("share", F.round("share", 6))
 
@@ -163,7 +185,7 @@ def d14_ranking_parity(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    d1_l2_normalise, d2_top_k_one_collection, d3_scatter_gather_top_k, d4_top_k_per_file, d5_compare_depth,
+    d1_l2_normalise, d2_top_k_one_collection, d2_search_one, d3_other_size_vectors, d3_scatter_gather_top_k, d4_top_k_per_file, d5_compare_depth,
     d6_answer_depth, d7_coverage_report, d8_partial_warning, d9_contributors, d10_citation_list, d11_gather_files,
     d12_coverage_share, d13_text_query_top_k, d14_vector_parity, d14_ranking_parity,
 )}
@@ -179,6 +201,18 @@ SELECT vec_id, round(sqrt(list_sum(list_transform(u, lambda x: x * x))), 6) AS l
 WITH {_BY_LABEL}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id,
   round(score, 6) AS score FROM scored WHERE label = query_id QUALIFY rank <= 5""",
+    "d2_search_one": f"""
+WITH {_BY_LABEL}
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id,
+  round(score, 6) AS score FROM scored WHERE label = 3 QUALIFY rank <= 5""",
+    "d3_other_size_vectors": f"""
+WITH {_BY_LABEL},
+asked AS (SELECT DISTINCT vec_id % 7 AS query_id, label FROM embeddings),
+r AS (SELECT query_id, count(*) AS attempted, count(*) FILTER (label % 3 <> 1) AS answered,
+  coalesce(string_agg('c' || label, ',' ORDER BY label) FILTER (label % 3 = 1), '') AS skipped FROM asked GROUP BY 1),
+t AS (SELECT query_id, score FROM scored WHERE label % 3 <> 1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, vec_id) <= 14),
+h AS (SELECT query_id, count(*) AS hits, round(sum(score), 6) AS total FROM t GROUP BY 1)
+SELECT query_id, attempted, answered, skipped, hits, total FROM r JOIN h USING (query_id)""",
     "d3_scatter_gather_top_k": f"""
 WITH {_BY_LABEL}
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, vec_id) AS rank,
@@ -236,6 +270,21 @@ WITH {_RANKED},
 a AS (SELECT query_id, count(*) AS sent FROM hits GROUP BY query_id),
 b AS (SELECT query_id, count(*) AS in_scope FROM requested JOIN chunks USING (collection) GROUP BY query_id)
 SELECT query_id, coalesce(sent, 0) AS sent, in_scope, round(coalesce(sent, 0) / in_scope, 6) AS share FROM b LEFT JOIN a USING (query_id)""",
+    "d13_text_query_top_k": """
+WITH both_sides AS (SELECT doc_id AS id, regexp_extract(source, '(\\d+)$', 1)::BIGINT AS pos, coalesce(text, '') AS text, true AS doc FROM documents
+  UNION ALL SELECT item_id, 0, coalesce(text, ''), false FROM benchmark),
+words AS (SELECT id, doc, unnest(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: length(x) >= 2)) AS word FROM both_sides),
+buckets AS (SELECT word, ('0x' || substr(md5(word), 1, 8))::BIGINT % 512 AS b FROM (SELECT DISTINCT word FROM words)),
+tf AS (SELECT id, doc, b, count(*)::DOUBLE AS n FROM words JOIN buckets USING (word) GROUP BY ALL),
+idf AS (SELECT b, ln(((SELECT count(*) FROM documents) + 1)::DOUBLE / (count(*) + 1)) AS w FROM tf WHERE doc GROUP BY b),
+v AS (SELECT id, doc, b, n * w AS x FROM tf JOIN idf USING (b)),
+len AS (SELECT id, doc, sqrt(sum(x * x)) AS l FROM v GROUP BY ALL),
+dots AS (SELECT q.id AS query_id, d.id AS doc_id, sum(q.x * d.x) AS s FROM v q JOIN v d ON q.b = d.b AND d.doc AND NOT q.doc GROUP BY ALL),
+pairs AS (SELECT q.id AS query_id, d.id AS doc_id, d.pos FROM (SELECT id FROM both_sides WHERE NOT doc) q, (SELECT id, pos FROM both_sides WHERE doc) d),
+scored AS (SELECT p.query_id, p.doc_id, p.pos, round(coalesce(s / nullif(a.l * c.l, 0), 0), 12) AS score FROM pairs p
+  LEFT JOIN dots USING (query_id, doc_id) LEFT JOIN len a ON a.id = p.query_id AND NOT a.doc LEFT JOIN len c ON c.id = p.doc_id AND c.doc)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, doc_id) AS rank, doc_id::VARCHAR AS chunk_key, round(score, 6) AS score
+FROM scored QUALIFY rank <= 5""",
     "d14_vector_parity": """
 WITH p AS (SELECT 'c' || label AS collection, list_cosine_similarity(embedding::DOUBLE[],
   list_transform(embedding::DOUBLE[], lambda x: round(x, 3))) AS c FROM embeddings)

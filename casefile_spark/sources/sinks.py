@@ -97,8 +97,20 @@ def index_metadata(chunks: DataFrame) -> DataFrame:
     )
 
 
-def write_result_tables(cells: DataFrame, folder: str) -> None:
-    """One folder per task and titled table; note and source flag ride on every row."""
-    cells.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "task", "table_title"
-    ).parquet(folder)
+def write_result_tables(cells: DataFrame, folder: str, version: int = 0) -> None:
+    """Result tables of one write: one folder per version and task, titles stay a column.
+
+    Earlier versions are never touched. Writing a version again replaces it, so that a repeated write
+    changes nothing.
+    """
+    (
+        cells.withColumn("version", F.lit(version)).hint("rebalance", "task")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("version", "task").parquet(folder)
+    )
+
+
+def read_result_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest version of every result."""
+    held = spark.read.parquet(folder)
+    latest = held.groupBy("result_id").agg(F.max("version").alias("version"))
+    return held.join(latest, ["result_id", "version"], "left_semi").drop("version")

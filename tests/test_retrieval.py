@@ -179,3 +179,22 @@ def test_top_k_limit_runs_before_the_shuffle(chunks, query):
     df = R.search_across(chunks, query)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Cartesian" not in plan and "BroadcastNestedLoop" not in plan
+
+
+def test_collections_of_another_size_are_skipped_by_name(spark, chunks):
+    odd = chunks.withColumn("embedding", F.when(F.col("collection") == "b", F.slice("embedding", 1, 2)).otherwise(F.col("embedding")))
+    report = R.coverage_report(requested(spark, ["b", "a"]), R.readable(odd, 3)).first()
+    assert (report.attempted, report.answered, report.skipped) == (2, 1, ["b"])
+
+
+def test_queries_of_two_sizes_fail(spark, chunks):
+    mixed = spark.createDataFrame([(1, 3, [1.0, 0.0, 0.0]), (2, 3, [1.0, 0.0])], "query_id long, k int, embedding array<double>")
+    with pytest.raises(ValueError, match="differ in size"):
+        R.search_across(chunks, mixed)
+
+
+def test_only_requested_pairs_are_scored(spark, chunks):
+    two = spark.createDataFrame([(1, 1, [1.0, 0.0, 0.0]), (2, 2, [0.0, 1.0, 0.0])], "query_id long, k int, embedding array<double>")
+    asked = spark.createDataFrame([(1, "a", 0), (2, "b", 1)], "query_id long, collection string, collection_pos int")
+    got = R.search_per_file(chunks, two, asked).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.collection, r.chunk_key) for r in got] == [(1, "a", "a0"), (2, "b", "b0"), (2, "b", "b1")]

@@ -118,10 +118,16 @@ def test_a_bucket_that_lost_its_last_file_is_empty(spark, tmp_path):
 def test_index_metadata_and_result_tables(spark, tmp_path):
     df = spark.createDataFrame([("c", [1.0, 2.0], "m", "s"), ("c", [1.0, 2.0], None, "s")], "collection string, embedding array<float>, embed_model string, content_sha256 string")
     assert sinks.index_metadata(df).first().asDict() == {"collection": "c", "chunks": 2, "dim": 2, "embed_model": "m", "content_sha256": "s"}
-    tables = spark.createDataFrame([("timeline", "Timeline", 1, ["a"], True, "")], "task string, table_title string, row_no int, cells array<string>, structured boolean, note string")
-    sinks.write_result_tables(tables, str(tmp_path / "t"))
-    back = spark.read.parquet(str(tmp_path / "t")).first()
-    assert (back.task, back.table_title, back["cells"], back.structured) == ("timeline", "Timeline", ["a"], True)
+
+
+def test_results_with_one_title_both_survive_and_a_repeated_write_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    schema = "result_id string, task string, table_title string, row_no int, cells array<string>, structured boolean, note string"
+    for version, rows in ((0, [("r1", 1, "a"), ("r2", 1, "b")]), (1, [("r3", 1, "c"), ("r2", 1, "d"), ("r2", 2, "e")]), (1, [("r3", 1, "c"), ("r2", 1, "d"), ("r2", 2, "e")])):
+        tables = spark.createDataFrame([(r, "timeline", "Timeline", n, [c], True, "") for r, n, c in rows], schema)
+        sinks.write_result_tables(tables, folder, version)
+    back = sinks.read_result_tables(spark, folder).orderBy("result_id", "row_no").collect()
+    assert [(b.result_id, b.task, b.table_title, b["cells"]) for b in back] == [(r, "timeline", "Timeline", [c]) for r, c in (("r1", "a"), ("r2", "d"), ("r2", "e"), ("r3", "c"))]
 
 
 def test_nested_catalogue(spark):

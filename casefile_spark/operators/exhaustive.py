@@ -45,20 +45,6 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataF
     return df.withColumn(out, token_count(F.col(text)))
 
 
-def with_bpe_tokens(df: DataFrame, encoding_name: str, text: str = "text", out: str = "tokens") -> DataFrame:
-    """Counts by a byte-pair vocabulary available on the executors, in Arrow batches."""
-
-    @F.pandas_udf(LongType())
-    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import tiktoken
-
-        enc = tiktoken.get_encoding(encoding_name)
-        for texts in batches:
-            yield texts.fillna("").map(lambda t: len(enc.encode_ordinary(t)))
-
-    return df.withColumn(out, count(F.col(text)))
-
-
 def file_tokens(chunks: DataFrame, keys: list[str]) -> DataFrame:
     return chunks.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("chunks"))
 

@@ -268,7 +268,7 @@ def system_prompts(requests: DataFrame, templates: DataFrame, texts: dict[str, s
         F.when(F.col("detail_level") == "Detailed", text("detailed")),
         F.when(exhaustive, by_task),
     )
-    joined = requests.join(F.broadcast(templates), "task", "left")  # one row per task template
+    joined = requests.join(templates, "task", "left")
     error = F.when(F.col("body").isNull(), F.concat(F.lit("Unknown task: "), F.col("task"))).when(
         broken, F.concat(F.lit("Task '"), F.col("task"), F.lit("' requires a valid pleading_type"))
     )

@@ -20,10 +20,10 @@ SORT_ORDERS = ("oldest", "newest", "upload")
 def current_state(rows: DataFrame, events: DataFrame, key: str) -> DataFrame:
     """Rows with the newest deleted_at of their delete and restore events.
 
-    events: <key>, action (delete or restore), at, event_id.
+    events: <key>, action (delete, restore, or NULL for what changes nothing), at, event_id.
     """
     newest = F.max_by(F.struct("action", "at"), F.struct("at", "event_id"))
-    last = events.groupBy(key).agg(newest.alias("_e"))
+    last = events.filter(F.col("action").isNotNull()).groupBy(key).agg(newest.alias("_e"))
     gone = F.when(F.col("_e.action") == "delete", F.col("_e.at"))
     return rows.join(last, key, "left").withColumn("deleted_at", gone).drop("_e")
 

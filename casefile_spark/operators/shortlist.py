@@ -248,19 +248,22 @@ def subject_signal(keywords: Column, topics: Column, concepts: Column) -> Column
     return F.when((F.size(hay) == 0) | (F.size(need) == 0), 0.0).when(shared == 0, -MISMATCH_PENALTY).otherwise(portion)
 
 
-def enrich_and_rank(scored: DataFrame, metadata: DataFrame, requests: DataFrame, as_of_year: int) -> DataFrame:
-    """Look up metadata for the best few only, filter again on the real date, re-rank, keep max_cases.
+def enrich_and_rank(
+    scored: DataFrame, metadata: DataFrame, requests: DataFrame, as_of_year: int, headroom: int | None = None, cap: int | None = None,
+) -> DataFrame:
+    """Join metadata, filter again on the real date, re-rank, keep max_cases.
 
+    ``cap`` and ``max_cases + headroom`` bound the cases enriched per request; by default all are.
     scored: output of stage_one. metadata: merge_key, decision_date, keywords, topics.
     requests: request_id, max_cases, concepts, earliest_year.
     """
     first = Window.partitionBy("request_id").orderBy(F.desc("score"), "tier", "citation", "merge_key")
-    top = (
-        scored.withColumn("_r", F.row_number().over(first))
-        .filter(F.col("_r") <= ENRICH_CAP)
-        .join(requests.select("request_id", "max_cases", "concepts", "earliest_year"), "request_id")
-        .filter(F.col("_r") <= F.col("max_cases") + ENRICH_HEADROOM)
-    )
+    top = scored
+    if cap is not None:
+        top = top.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= cap).drop("_r")
+    top = top.join(requests.select("request_id", "max_cases", "concepts", "earliest_year"), "request_id")
+    if headroom is not None:
+        top = top.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= F.col("max_cases") + headroom).drop("_r")
     meta = metadata.select("merge_key", "decision_date", "keywords", "topics", F.lit(True).alias("enriched"))
     rich = top.join(meta, "merge_key", "left").withColumn(
         "effective_year", effective_year(F.col("decision_date"), F.col("effective_year"))
@@ -271,7 +274,7 @@ def enrich_and_rank(scored: DataFrame, metadata: DataFrame, requests: DataFrame,
     last = Window.partitionBy("request_id").orderBy(
         F.desc("final_score"), "tier", F.desc(F.coalesce("effective_year", F.lit(0))), "citation", "merge_key"
     )
-    return final.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= F.col("max_cases")).drop("_r")
+    return final.withColumn("rank", F.row_number().over(last)).filter(F.col("rank") <= F.col("max_cases"))
 
 
 # --- ladder ----------------------------------------------------------------------------------

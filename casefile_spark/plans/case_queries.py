@@ -270,7 +270,7 @@ def _metadata(spark, sf):
 
 
 def _ranked(spark, sf):
-    return S.enrich_and_rank(_scored(spark, sf), _metadata(spark, sf), _requests(spark, sf), AS_OF_YEAR)
+    return S.enrich_and_rank(_scored(spark, sf), _metadata(spark, sf), _requests(spark, sf), AS_OF_YEAR, S.ENRICH_HEADROOM, S.ENRICH_CAP)
 
 
 def i10_shortlist(spark, sf):

@@ -270,7 +270,7 @@ def c1_legible_ratio(spark, sf):
 
 def _quality_pages(spark, sf):
     flags = B.files(spark, sf).select("file_id", F.coalesce("scanned", F.lit(False)).alias("is_ocr"))
-    return B.lines(spark, sf).select("file_id", F.col("line").alias("text")).filter(F.length("text") > 40).join(flags, "file_id")
+    return B.lines(spark, sf).select("file_id", F.col("line").alias("text")).join(flags, "file_id")
 
 
 def c2_extraction_verdict(spark, sf):
@@ -389,7 +389,7 @@ rows_ AS (SELECT t.file_id, t.sheet, header_row, row_no, trim(raw) AS text FROM
   WHERE filled AND (header_row IS NULL OR row_no > header_row))"""
 _QUALITY = f"""{_FILES},{_LINES},
 m AS (SELECT file_id, count(*) AS pages, sum(length(line)) AS chars,
-  sum(length(regexp_replace(line, '[^\\x09-\\x0D\\x20-\\x7E]', '', 'g'))) AS legible FROM lines WHERE length(line) > 40 GROUP BY file_id),
+  sum(length(regexp_replace(line, '[^\\x09-\\x0D\\x20-\\x7E]', '', 'g'))) AS legible FROM lines GROUP BY file_id),
 v AS (SELECT f.file_id, coalesce(m.chars, 0) AS chars, CASE WHEN pages > 0 THEN m.chars / pages ELSE 0 END AS cpp,
   CASE WHEN m.chars > 0 THEN legible / m.chars ELSE 1 END AS ratio, coalesce(scanned, false) AS ocr, pages FROM files f LEFT JOIN m USING (file_id)),
 verdict AS (SELECT *, CASE WHEN pages IS NULL THEN 'failed_no_text' WHEN ocr AND (cpp < 150 OR ratio < 0.85) THEN 'ocr_low_quality' ELSE 'ok' END AS quality FROM v)"""

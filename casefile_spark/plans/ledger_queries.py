@@ -119,11 +119,10 @@ def k1_matter_list(spark, sf):
 
 
 def _delete_events(spark, sf):
-    """Purchases delete, signups restore the file numbered by the event value."""
-    e = B.events(spark, sf).filter(F.col("event_type").isin("purchase", "signup"))
-    return e.select(
+    """Purchases delete, signups restore the file numbered by the event value; other events change nothing."""
+    return B.events(spark, sf).select(
         F.floor("value").cast("long").alias("file_id"),
-        F.when(F.col("event_type") == "purchase", "delete").otherwise("restore").alias("action"),
+        F.when(F.col("event_type") == "purchase", "delete").when(F.col("event_type") == "signup", "restore").alias("action"),
         F.col("ts").alias("at"), "event_id",
     )
 

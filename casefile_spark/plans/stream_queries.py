@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 from ..sources.sinks import read_chunks
-from ..streaming import budgets, ingest, runs
+from ..streaming import batches, budgets, ingest, runs
 from . import bindings as B
 from .corpus_queries import _windows
 
@@ -20,16 +20,14 @@ def _stream(spark, sf, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in local}) if local else df
 
 
-def _settled(df: DataFrame, name: str, mode: str) -> DataFrame:
-    """Run to the end of the input; complete output replaces, append output adds to, a shared table."""
-    spark, folder = df.sparkSession, shared_folder(df.sparkSession, name)
-    write = "overwrite" if mode == "complete" else "append"
-    query = (
-        df.writeStream.outputMode(mode).foreachBatch(lambda batch, _: batch.write.mode(write).parquet(folder))
-        .option("checkpointLocation", shared_folder(spark, f"{name}-checkpoint")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(folder)
+def _settled(df: DataFrame, name: str, key: str | None = None) -> DataFrame:
+    """Run to the end of the input into a shared table: all rows of an append stream, or the latest row
+    per ``key`` of an update stream."""
+    spark = df.sparkSession
+    folder, state = shared_folder(spark, name), shared_folder(spark, f"{name}-checkpoint")
+    batches.start(df, "update" if key else "append", folder, state).awaitTermination()
+    held = batches.read(spark, folder, df.schema)
+    return batches.latest(held, key) if key else held.drop("batch")
 
 
 def l1_ingest_stream(spark, sf):
@@ -55,7 +53,7 @@ def l2_liveness_stream(spark, sf):
     ev = _stream(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("run_id"), (F.col("user_id") % 10).alias("matter_id"), status.alias("status"), F.col("ts").alias("at"), "event_id"
     )
-    out = _settled(runs.run_liveness(ev), "liveness", "append")
+    out = _settled(runs.run_liveness(ev), "liveness")
     late = F.when(F.col("status") == "interrupted", 1).otherwise(0)
     return out.groupBy("run_id").agg(F.max_by("status", F.struct(late, "last_seen")).alias("status"))
 
@@ -65,12 +63,12 @@ def l3_tally_stream(spark, sf):
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("batch_no"), F.col("l_quantity").cast("long").alias("input_tokens"),
         F.floor("l_extendedprice").alias("output_tokens"), F.when(F.col("l_discount") > 0, F.col("l_extendedprice").cast("decimal(18,2)")).alias("cost_usd"),
     )
-    out = _settled(runs.run_tally(li), "tally", "complete")
+    out = _settled(runs.run_tally(li), "tally", "run_id")
     return out.withColumn("cost_usd", F.col("cost_usd").cast("double"))
 
 
 def l4_daily_budget_stream(spark, sf):
-    out = _settled(budgets.daily_budget(_stream(spark, sf, "events")), "budget", "complete")
+    out = _settled(budgets.daily_budget(_stream(spark, sf, "events")), "budget", "day")
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "calls", "state")
 
 

@@ -7,7 +7,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from casefile_spark.session import cut_lineage
 from casefile_spark.sources import catalogues, cells, eventlog, files, messages, pages, sinks
 
 
@@ -146,12 +145,6 @@ def test_model_catalogue(spark):
     assert got == {"b/x": ("b/x", "b", 30.0, "$$$"), "a/y": ("Y", "a", 1.3, "$"), "free": ("free", "", 0.0, "$"), "c/z": ("c/z", "c", 0.0, "$")}
 
 
-def test_lineage_is_cut_in_the_shared_folder(spark):
-    df = cut_lineage(spark.range(10).filter("id > 3"))
-    assert df.count() == 6
-    assert spark.sparkContext.getCheckpointDir().startswith("file:" + spark.conf.get("spark.checkpoint.dir"))
-
-
 @pytest.mark.parametrize("name, want", [("a.b.PDF", ".pdf"), ("noext", ""), ("x.docx", ".docx")])
 def test_suffix(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").select(files.suffix_of(F.col("n"))).first()[0] == want

@@ -10,7 +10,7 @@ from casefile_spark.operators import ledger as L
 from casefile_spark.operators import registry as K
 from casefile_spark.plans import bindings as B
 from casefile_spark.sources import sinks
-from casefile_spark.streaming import budgets, ingest, runs
+from casefile_spark.streaming import batches, budgets, ingest, runs
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +91,25 @@ def test_liveness_reports_silence_and_final_states(spark, tmp_path):
 def test_activity_spells_close_on_silence(spark, tmp_path):
     out = drain(runs.activity_spells(stream_of(spark, heartbeats(spark), str(tmp_path / "s"))), "spells", "append")
     assert {(r.run_id, r.beats) for r in out.collect() if r.run_id in ("quiet", "fine")} == {("quiet", 2), ("fine", 4)}
+
+
+def test_a_batch_run_again_replaces_itself(spark, tmp_path):
+    folder, schema = str(tmp_path / "out"), "run_id string, status string"
+    first, second = (spark.createDataFrame([("r", s), (s, s)], schema) for s in ("running", "done"))
+    for batch, rows in ((0, first), (1, second), (1, second)):
+        batches.write_batch(folder, rows, batch)
+    held = batches.read(spark, folder, first.schema)
+    assert held.count() == 4
+    assert {(r.run_id, r.status) for r in batches.latest(held, "run_id").collect()} == {("r", "done"), ("running", "running"), ("done", "done")}
+
+
+def test_rows_later_than_the_watermark_are_dropped(spark, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    day = dt.datetime(2024, 1, 1, 12)
+    for rows in ([day], [day + dt.timedelta(days=5)], [day, day + dt.timedelta(days=5)]):
+        calls = spark.createDataFrame([(t,) for t in rows], "ts timestamp")
+        calls.coalesce(1).write.mode("append").parquet(landing)
+        budget = budgets.daily_budget(spark.readStream.schema(calls.schema).parquet(landing))
+        batches.start(budget, "update", out, state).awaitTermination()
+    got = batches.latest(batches.read(spark, out, budget.schema), "day").collect()
+    assert {(r.day, r.calls) for r in got} == {(dt.date(2024, 1, 1), 1), (dt.date(2024, 1, 6), 2)}

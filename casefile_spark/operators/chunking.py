@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.folds import next_fit
-from ..functions.generate import explode_rows
+from ..functions.generate import explode_rows, inline_rows
 from ..functions.segments import Running, block_of, islands, running, segmented
-from ..functions.text import WINDOW_OVERLAP, WINDOW_TOKENS, token_count, token_windows, tokens
+from ..functions.text import WINDOW_OVERLAP, WINDOW_TOKENS, let, token_count, token_windows, tokens
 
 # Fixed values of headings, table labels, header search and sheet locators.
 MAX_HEADING_DEPTH = 3
@@ -148,34 +148,35 @@ def section_chunks(runs: DataFrame, keys: list[str], order: str = "seq") -> Data
 
     runs: keys..., locator, <order>, text, where the keys name one run.
 
-    A run is windowed from its token stream: tokens get their position in the run, every window
-    collects the at most 700 tokens it covers, so a run of any length is never held in one row.
+    A run of any length is never held in one row: every line gives each window it meets the slice of
+    its tokens inside that window, and a window collects the slices of at most 700 tokens.
     """
-    lines = explode_rows(runs, [*keys, "locator", order], tokens(F.col("text")), "_t", "_i")
-    sizes = runs.select(*keys, order, token_count(F.col("text")).alias("_n"))
-    offset = Running("sum", F.col("_n"), "_upto")
-    placed = running(sizes, keys, [order], block_of(F.col(order)), offset)
-    total = sizes.groupBy(*keys).agg(F.sum("_n").alias("_total"))
     step = WINDOW_TOKENS - WINDOW_OVERLAP
-    at = F.col("_upto") - F.col("_n") + F.col("_i")
-    windows = (F.floor(F.greatest(F.col("_total") - WINDOW_OVERLAP - 1, F.lit(0)) / step) + 1).cast("int")
-    last = F.least(F.floor(F.col("_at") / step), F.col("windows") - 1)
-    first = F.greatest(F.floor((F.col("_at") - WINDOW_TOKENS) / step) + 1, F.lit(0))
-    spread = (
-        lines.join(placed.select(*keys, order, "_upto", "_n"), [*keys, order])
-        .join(total, keys)
-        .select(*keys, "locator", "_t", at.alias("_at"), windows.alias("windows"))
-        .select(*keys, "locator", "windows", "_at", "_t", F.explode(F.sequence(first, last)).alias("window_no"))
-    )
+    lines = runs.select(*keys, "locator", order, "text", token_count(F.col("text")).alias("_n"))
+    offset = Running("sum", F.col("_n"), "_upto")
+    placed = running(lines, keys, [order], block_of(F.col(order)), offset)
+    total = lines.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+    count = (F.floor(F.greatest(F.col("_total") - WINDOW_OVERLAP - 1, F.lit(0)) / step) + 1).cast("int")
+    begin, end = F.col("_upto") - F.col("_n"), F.col("_upto")
+    first = F.greatest(F.floor((begin - WINDOW_TOKENS) / step) + 1, F.lit(0))
+    last = F.least(F.floor((end - 1) / step), F.col("windows") - 1)
+
+    def piece(words: Column, w: Column) -> Column:
+        low, high = F.greatest(begin, w * step), F.least(end, w * step + WINDOW_TOKENS)
+        return F.struct(w.cast("int").alias("window_no"), F.slice(words, (low - begin + 1).cast("int"), (high - low).cast("int")).alias("_t"))
+
+    pieces = let(tokens(F.col("text")), lambda words: F.transform(F.sequence(first, last), lambda w: piece(words, w)))
+    met = placed.filter(F.col("_n") > 0).join(total.select(*keys, count.alias("windows")), keys)
     return (
-        spread.groupBy(*keys, "locator", "windows", "window_no")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "_t"))).alias("_w"))
+        inline_rows(met, [*keys, "locator", "windows", order], pieces, "window_no")
+        .groupBy(*keys, "locator", "windows", "window_no")
+        .agg(F.array_sort(F.collect_list(F.struct(order, "_t"))).alias("_w"))
         .select(
             *keys,
             part_locator(F.col("locator"), F.col("window_no"), F.col("windows")).alias("locator"),
-            F.col("window_no").cast("int").alias("window_no"),
+            "window_no",
             "windows",
-            F.array_join(F.transform("_w", lambda s: s["_t"]), " ").alias("text"),
+            F.array_join(F.flatten(F.transform("_w", lambda s: s["_t"])), " ").alias("text"),
         )
     )
 

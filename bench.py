@@ -17,6 +17,7 @@ HEADLINE = (
     "d3_scatter_gather_top_k", "d4_top_k_per_file", "b1_token_windows", "b15_chunk_ids", "j1_lexicon_scan", "g6_collapse_lines",
     "k7_cost_query", "k11_run_costs", "k15_daily_calls", "e2_batches", "b8_event_runs", "i2_search", "i10_shortlist",
     "h1_extract_citations", "h5_verify", "c2_extraction_verdict", "c4_first_copies", "g2_timeline_rows", "f3_context_message", "l2_run_states",
+    "b9_section_chunks", "l1_ingest_stream",
 )
 
 

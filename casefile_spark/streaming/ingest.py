@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,7 +35,18 @@ def chunk_files(files: DataFrame) -> DataFrame:
 
 
 def index_batch(batch: DataFrame, index_folder: str, buckets: int = 256) -> None:
-    """Index the new contents of one micro-batch; safe to run again after a failure."""
+    """Index the new contents of one micro-batch; safe to run again after a failure.
+
+    The batch is used several times and kept meanwhile, so that its state operator runs once.
+    """
+    batch = batch.persist(StorageLevel.DISK_ONLY)
+    try:
+        _index_rows(batch, index_folder, buckets)
+    finally:
+        batch.unpersist()
+
+
+def _index_rows(batch: DataFrame, index_folder: str, buckets: int) -> None:
     keys = ["matter_id", "content_sha256"]
     first = batch.groupBy(*keys).agg(F.min("file_id").alias("file_id"))
     fresh = batch.join(first, [*keys, "file_id"], "left_semi")

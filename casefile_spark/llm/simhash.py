@@ -9,6 +9,8 @@ meet are checked along the whole chain and then in full.
 
 In a group of fingerprints that meet under one key, only a spanning forest of its links is reported: linked classes stay
 the same and output is linear in the group. A group is worked off in blocks.
+
+``similar_documents`` is exact too, for sets of shingles and a Jaccard similarity, by a join on prefixes of the sets.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import Workspace
-from .words import chunks, find_words, mixed
+from .words import chunks, find_words
 
 BITS = 64
 BLOCK = 1024
@@ -187,30 +189,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seg
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-WIDE_LANES = 8
-CHAIN_BITS = 24
-CHAINS = WIDE_LANES * 64 // CHAIN_BITS
-WIDE_RADIUS = 96
-LONG_WORD = 5
 GROUP_BLOCK = 2048
 
 
-def wide_fingerprint(codes: np.ndarray) -> np.ndarray:
-    """A SimHash of ``WIDE_LANES`` words of 64 bits over the distinct codes."""
-    codes = np.unique(codes)
-    with np.errstate(over="ignore"):
-        hashes = mixed(codes[:, None] + np.arange(1, WIDE_LANES + 1, dtype=np.uint64)[None, :] * np.uint64(0xA24BAED4963EE407))
-    counts = np.unpackbits(hashes.view(np.uint8).reshape(codes.size, -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > codes.size, bitorder="little").view(np.uint64)
-
-
-def _chain_keys(fp: np.ndarray) -> list[int]:
-    """The ring's disjoint chains of two segments of half ``CHAIN_BITS`` each, with the start in the upper bits."""
-    whole = int.from_bytes(fp.tobytes(), "little")
-    mask = (1 << CHAIN_BITS) - 1
-    return [(at << CHAIN_BITS) | ((whole >> (at * CHAIN_BITS)) & mask) for at in range(CHAINS)]
-
-
 def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int64)
 
@@ -242,74 +223,180 @@ def nearest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by chain: the links of each group that shares one."""
-    kept: list[pa.RecordBatch] = []
-
-    def links(table: pa.Table) -> pa.RecordBatch | None:
-        key, ids = table["chain"].to_numpy(), table["doc_id"].to_numpy()
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, key.size))
-        fps = table["fp"].combine_chunks()
-        out: list[tuple[int, int]] = []
-        for lo, n in zip(first[size > 1].tolist(), size[size > 1].tolist()):
-            group = np.stack([np.frombuffer(x.as_py(), np.uint64) for x in fps.slice(lo, n)])
-            out += [(int(ids[lo + a]), int(ids[lo + b])) for a, b in nearest_links(group, WIDE_RADIUS) if ids[lo + a] != ids[lo + b]]
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"]) if out else None
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if kept and batch.column("chain")[0] != kept[-1].column("chain")[-1]:
-            if found := links(pa.Table.from_batches(kept)):
-                yield found
-            kept = []
-        keys = batch.column("chain").to_numpy()
-        end = int(np.searchsorted(keys, keys[-1]))
-        if end:
-            if found := links(pa.Table.from_batches([*kept, batch.slice(0, end)])):
-                yield found
-            kept = []
-        kept.append(batch.slice(end))
-    if kept and (found := links(pa.Table.from_batches(kept))):
-        yield found
+SAMPLE = 20_000
+COMMON_CODES = 500_000
+SKETCH_BITS = 2048
+PAIR_BLOCK = 1024
 
 
 def _lowered(column: pa.Array) -> pa.Array:
     return pa.array([t.as_py().lower() if t.is_valid else b"" for t in column.cast(pa.large_binary())], pa.large_binary()).view(pa.large_string())
 
 
-def _wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
-        words = find_words(_lowered(batch.column("text")))
-        codes, size = words.codes(), words.stop - words.start
-        keys, owners, fps = [], [], []
-        for i, doc in enumerate(batch.column("doc_id").to_pylist()):
-            lo, hi = words.first[i], words.first[i + 1]
-            if doc is None or lo == hi:
-                continue
-            own = codes[lo:hi]
-            long = own[size[lo:hi] >= LONG_WORD]
-            fp = wide_fingerprint(long if long.size else own)
-            keys += _chain_keys(fp)
-            owners += [doc] * CHAINS
-            fps += [fp.tobytes()] * CHAINS
-        if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(owners, pa.int64()), pa.array(fps, pa.binary())], names=["chain", "doc_id", "fp"])
+def _shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
+    """The distinct codes of each text's shingles; a text of fewer words is one shingle, one without words has none."""
+    words = find_words(_lowered(column))
+    codes = words.codes()
+    at, runs = words.runs(codes, shingle)
+    cut, count = np.searchsorted(at, words.first), np.diff(words.first)
+    short = words.spans(codes, words.first[:-1], np.where(count < shingle, words.first[1:], words.first[:-1]))
+    return [np.unique(runs[cut[i] : cut[i + 1]]) if n >= shingle else short[i : i + 1][: int(n > 0)] for i, n in enumerate(count.tolist())]
+
+
+def _common_codes(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, ascending, that recur in a sample of the texts, and how often. They only set an order of the shingles, which may be any."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(iter([batch]), "text"):
+                codes, n = np.unique(np.concatenate(_shingle_sets(part.column("text"), shingle)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+    share = SAMPLE / max(1, rows.count())
+    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("order")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, share)))
+    met = drawn.mapInArrow(work, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).filter("n > 2")
+    table = met.orderBy(F.col("n").desc(), "code").limit(COMMON_CODES).toArrow()
+    codes, n = table["code"].to_numpy().view(np.uint64), table["n"].to_numpy()
+    order = np.argsort(codes)
+    return codes[order], n[order]
+
+
+def prefix(codes: np.ndarray, common: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first codes of a set in the order rare to common: two sets of at least ``similarity`` share one of them."""
+    known, often = common
+    seen = np.zeros(codes.size, np.int64)
+    if known.size:
+        at = np.minimum(np.searchsorted(known, codes), known.size - 1)
+        seen = np.where(known[at] == codes, often[at], 0)
+    return codes[np.lexsort((codes, seen))][: codes.size - int(np.ceil(similarity * codes.size - 1e-9)) + 1]
+
+
+def sketch(codes: np.ndarray) -> bytes:
+    """Parities of the codes by hash: two sketches differ in no more bits than the sets have codes that only one holds."""
+    return np.packbits(np.bincount((codes % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
+def _possible(n_a, at_a, n_b, at_b, similarity: float):
+    """Whether sets of ``n`` codes whose first common code stands at ``at`` can be similar enough: by their sizes and by what follows."""
+    enough = similarity / (1 + similarity) * (n_a + n_b) - 1e-6
+    return (np.minimum(n_a, n_b) >= similarity * np.maximum(n_a, n_b) - 1e-6) & (np.minimum(n_a - at_a, n_b - at_b) >= enough)
+
+
+_PRINT = "doc_id long, digest binary, n long, prefix array<long>, sketch binary"
+
+
+def _prints(sent, shingle: int, similarity: float):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(iter([batch]), "text"):
+                rows = [(d, s) for d, s in zip(part.column("doc_id").to_pylist(), _shingle_sets(part.column("text"), shingle)) if s.size]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([d for d, _ in rows], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for _, s in rows], pa.binary()), pa.array([s.size for _, s in rows], pa.int64()),
+                            pa.array([prefix(s, sent.value, similarity).view(np.int64) for _, s in rows], pa.list_(pa.int64())), pa.array([sketch(s) for _, s in rows], pa.binary()),
+                        ],
+                        names=["doc_id", "digest", "n", "prefix", "sketch"],
+                    )
+
+    return work
+
+
+def _led(similarity: float):
+    """Rows sorted by code and size: those whose code another row has, each with a possible partner of about its size, a leader.
+
+    One row and one leader are carried from batch to batch, so a group of any size is read through, not held.
+    """
+    names = ("code", "n", "doc_id", "at")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64) for _ in names]
+        lead, paired = None, False  # the leader of the held row's stretch; whether the row before it has its code
+
+        def out(rows: list[np.ndarray], last: bool):
+            nonlocal lead, paired
+            code, n, doc, at = rows
+            size = np.floor(np.log(n) / -np.log(similarity)).astype(np.int64)
+            same = code[1:] == code[:-1]
+            fresh = np.concatenate([[lead is None], ~same | (size[1:] != size[:-1])])
+            first = np.maximum.accumulate(np.where(fresh, np.arange(code.size), -1))
+            who = [np.where(first >= 0, x[first], 0 if lead is None else lead[k]) for k, x in enumerate((doc, n, at))]
+            # the first of a stretch is led by the row before it
+            begins = np.flatnonzero(fresh[1:] & same) + 1
+            for x, y in zip(who, (doc, n, at)):
+                x[begins] = y[begins - 1]
+            ok = (who[0] != doc) & _possible(n, at, who[1], who[2], similarity)
+            shared = np.concatenate([[paired], same]) | np.concatenate([same, [False]])
+            end = code.size if last else code.size - 1
+            if not last:
+                f = first[-1]
+                lead = lead if f < 0 else (doc[f], n[f], at[f])
+                paired = bool(same[-1]) if same.size else paired
+            keep = np.flatnonzero(shared[:end])
+            arrays = [pa.array(x[keep]) for x in (code, n, doc, at)]
+            return pa.RecordBatch.from_arrays([*arrays, pa.array(who[0][keep], mask=~ok[keep])], names=[*names, "leader"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+                yield out(held, False)
+                held = [h[-1:] for h in held]
+        if held[0].size:
+            yield out(held, True)
+
+    return work
+
+
+def _across(similarity: float, every: bool):
+    """Rows sorted by code and pair of blocks: possible pairs of different roots; of each two roots the nearest alone, or all."""
+
+    def pairs(table: pa.Table) -> list[np.ndarray]:
+        lo, hi, block, n, at, doc, root = (table[c].to_numpy() for c in ("lo", "hi", "block", "n", "at", "doc_id", "root"))
+        x = np.flatnonzero(block == lo[0])
+        y = x if lo[0] == hi[0] else np.flatnonzero(block == hi[0])
+        ok = (root[x][:, None] != root[y][None, :]) & _possible(n[x][:, None], at[x][:, None], n[y][None, :], at[y][None, :], similarity)
+        if lo[0] == hi[0]:
+            ok = np.triu(ok, 1)
+        i, j = np.nonzero(ok)
+        i, j = x[i], y[j]
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint64).reshape(len(lo), -1)
+        apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[i[k : k + 20_000]] ^ bits[j[k : k + 20_000]]).sum(axis=1, dtype=np.int64) for k in range(0, i.size, 20_000))])
+        near = apart <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
+        i, j, apart = i[near], j[near], apart[near]
+        if not every and i.size:
+            one, two = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
+            order = np.lexsort((apart, two, one))
+            first = order[np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])]
+            i, j = i[first], j[first]
+        return [np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j])]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def groups(table: pa.Table, last: bool):
+            key = [table[c].to_numpy() for c in ("code", "lo", "hi")]
+            first = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in key], axis=0)]))
+            ends = [*first[1:].tolist(), table.num_rows]
+            found = [pairs(table.slice(a, b - a)) for a, b in list(zip(first.tolist(), ends))[: None if last else -1] if b - a > 1]
+            a, b = (np.concatenate([np.zeros(0, np.int64), *(f[k] for f in found)]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"]), table.slice(int(first[-1]))
+
+        for batch in batches:
+            if batch.num_rows:
+                now = pa.Table.from_batches([batch])
+                found, rest = groups(now if rest is None else pa.concat_tables([rest, now]), False)
+                yield found
+        if rest is not None:
+            yield groups(rest, True)[0]
+
+    return work
 
 
 def _similar(shingle: int, similarity: float):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(iter([batch]), "text_a"):
-                sets = []
-                for name in ("text_a", "text_b"):
-                    words = find_words(_lowered(part.column(name)))
-                    codes = words.codes()
-                    at, runs = words.runs(codes, shingle)
-                    cut, count = np.searchsorted(at, words.first), np.diff(words.first)
-                    short = words.spans(codes, words.first[:-1], np.where(count < shingle, words.first[1:], words.first[:-1]))
-                    sets.append([np.unique(runs[cut[i] : cut[i + 1]]) if count[i] >= shingle else short[i : i + 1] for i in range(part.num_rows)])
+                sets = [_shingle_sets(part.column(name), shingle) for name in ("text_a", "text_b")]
                 same = [np.intersect1d(a, b, assume_unique=True).size for a, b in zip(*sets)]
                 ok = pa.array([n > 0 and n >= similarity * (a.size + b.size - n) for n, a, b in zip(same, *sets)], pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], names=["a", "b"]).filter(ok)
@@ -319,22 +406,51 @@ def _similar(shingle: int, similarity: float):
 
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id``, ``component_id`` of the documents that are linked to another: sets of ``shingle``-word shingles of lower-cased
-    texts whose Jaccard similarity is ``similarity`` or more.
-
-    At this similarity a 64-bit fingerprint of shingles differs in up to 16 bits, beyond what chains can find in less than
-    quadratic time. Candidates come from a ring of ``CHAINS`` chains of two segments over a SimHash of the distinct longer words,
-    which a changed word moves less: who agrees on a chain and is within ``WIDE_RADIUS`` of 512 bits is a candidate, and
-    shingles decide. Rows without id or words are left out; rows that repeat an id are one document.
+    texts whose Jaccard similarity is ``similarity`` or more. No link is lost, whatever the texts' length.
+
+    Documents of one set are linked first and one of them goes on. A set's shingles are ordered from rare to common; two
+    sets that are similar enough share one of the first (``prefix``), so documents meet there. First each is checked against a
+    leader of about its size. Then, where documents of different components still meet, all pairs that sizes, places
+    and sketches allow are checked: the nearest of each two components, and at last every one. Groups are cut into pairs of
+    blocks that are rows of their own. Rows without id or words are left out; rows that repeat an id are one document, of
+    the smallest text.
     """
-    work = Workspace(docs.sparkSession, "similar")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    met = rows.mapInArrow(_wide, "chain long, doc_id long, fp binary").repartition("chain").sortWithinPartitions("chain")
-    pairs = work.keep(met.mapInArrow(_meeting, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = work.keep(rows.join(ends, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    links = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long")
-    roots = components(work.keep(links, "links"), work)
+    spark = docs.sparkSession
+    work = Workspace(spark, "similar")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
+    again = work.keep(rows.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
+    if again.head(1):
+        one_each = rows.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        rows = work.keep(rows.join(again, "doc_id", "left_anti").unionByName(one_each), "rows")
+    order = spark.sparkContext.broadcast(_common_codes(rows, shingle))
+    prints = work.keep(rows.mapInArrow(_prints(order, shingle, similarity), _PRINT), "prints")
+    firsts = work.keep(prints.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
+    links = work.keep(prints.select("doc_id", "digest").join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "copies")
+    alone = prints.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    dealt = alone.select("doc_id", "n", F.posexplode("prefix").alias("at", "code")).select("code", "n", "doc_id", F.col("at").cast("long").alias("at"))
+    met = dealt.repartition("code").sortWithinPartitions("code", "n", "doc_id").mapInArrow(_led(similarity), "code long, n long, doc_id long, at long, leader long")
+    shared = work.keep(met, "shared")
+    pairs = shared.filter("leader is not null").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
+    tested = None
+    for step in ("led", "nearest", "every"):
+        if step != "led":
+            rooted = shared.drop("leader").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+            live = rooted.groupBy("code").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
+            live = rooted.join(live.select("code", F.ceil(F.col("size") / PAIR_BLOCK).alias("blocks")), "code")
+            live = live.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            live = live.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).join(prints.select("doc_id", "sketch"), "doc_id")
+            live = live.select("code", "lo", "hi", "block", "n", "at", "doc_id", "root", "sketch").repartition("code", "lo", "hi").sortWithinPartitions("code", "lo", "hi")
+            pairs = live.mapInArrow(_across(similarity, step == "every"), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
+        pairs = work.keep(pairs, f"pairs-{step}")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+        texts = work.keep(rows.join(ends, "doc_id"), f"texts-{step}")
+        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+        new = work.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), f"links-{step}")
+        if step != "led" and not new.head(1):
+            continue
+        links = links.unionByName(new)
+        roots = components(links, Workspace(spark, f"similar-{step}"))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
 
 

@@ -132,6 +132,60 @@ def test_similar_documents_find_near_copies_alone(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == [*range(30), 40, 41, 42]
 
 
+def brute_similar(texts):
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (words((t or "").lower()) for t in texts)]
+    forest, linked = simhash._Forest(len(texts)), set()
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if a & b and len(a & b) >= 0.8 * len(a | b):
+                forest.link(i, j)
+                linked |= {i, j}
+    return {i: forest.find(i) for i in linked}
+
+
+def similar_texts():
+    """Short texts of the same words, in other orders and with edits, with a line in all, and copies around a common base."""
+    rng = random.Random(11)
+    say = lambda n: [f"longword{rng.randint(0, 300)}" for _ in range(n)]
+    out = []
+    for n in (3, 5, 13, 16, 22, 30, 60, 150):
+        for _ in range(6):
+            w = say(n)
+            out += [w, [*w[:-1], "changed"], ["changed", *w[1:]], [*w, "a", "b"], rng.sample(w, n), [*w[: n // 2], "x", *w[n // 2 :]], w]
+    rows = [[f"{k:02d}" for k in range(40)] for _ in range(60)]
+    for i, w in enumerate(rows):  # all differ in words of under five letters alone, half of them in order
+        w[i % 40] = f"n{i}"
+        if i % 2:
+            rng.shuffle(w)
+    base = say(100)
+    for i in range(40):  # like the base, not like one another
+        w = list(base)
+        for k in rng.sample(range(4, 96), 2):
+            w[k] = f"own{i}"
+        rows.append(w)
+    line = [f"license{k}" for k in range(12)]
+    return [" ".join(w) for w in out + rows + [base] + [line + say(rng.randint(5, 60)) for _ in range(60)]] + [None, "", " "]
+
+
+@pytest.mark.parametrize("block,common", [(1024, 500_000), (7, 0)])
+def test_similar_documents_against_all_pairs(spark, monkeypatch, block, common):
+    monkeypatch.setattr(simhash, "PAIR_BLOCK", block)
+    monkeypatch.setattr(simhash, "COMMON_CODES", common)
+    texts = similar_texts()
+    found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(spark, texts)).collect()}
+    assert found == brute_similar(texts) and len(found) > 200
+
+
+def test_leaders_do_not_depend_on_batches():
+    rng = random.Random(12)
+    rows = sorted((rng.randrange(40), rng.randint(5, 60), d, rng.randrange(3)) for d in range(300))
+    batch = lambda part: simhash.pa.RecordBatch.from_arrays([simhash.pa.array(c, simhash.pa.int64()) for c in zip(*part)], names=["code", "n", "doc_id", "at"])
+    count = Counter(r[0] for r in rows)
+    for size in (1, 2, 7, 300):
+        got = [tuple(r.values()) for b in simhash._led(0.8)(batch(rows[k : k + size]) for k in range(0, 300, size)) for r in b.to_pylist()]
+        assert [g[:4] for g in got] == [r for r in rows if count[r[0]] > 1]
+
+
 def test_nearest_links_join_across_blocks(monkeypatch):
     monkeypatch.setattr(simhash, "GROUP_BLOCK", 4)
     fps = simhash.np.zeros((11, 8), dtype=simhash.np.uint64)

@@ -265,6 +265,18 @@ def test_novel_strings_are_reported_and_words_are_not(spark):
     assert rows[2].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_a_secret_in_many_copies_is_still_reported(spark):
+    rng = random.Random(14)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    leaked, dashed = "x" + "".join(rng.choice(letters) for _ in range(35)), "-".join("q" + "".join(rng.choice(letters) for _ in range(10)) for _ in range(4))
+    copies = [f"the private key is {leaked} and the bearer is {dashed} as said", *(f"note {i}: private key {leaked} bearer {dashed} end" for i in range(9))] * 3
+    plain = ["the private key of configuration_manager_factory"] * 2 + ["private key for configuration_manager_factory"]
+    rows = {r.doc_id: r for r in secrets.scan_secrets(docs_of(spark, copies + plain)).collect()}
+    for i, text in enumerate(copies):
+        assert [f"novel:{text.index(x)}:{text.index(x) + len(x)}" for x in (leaked, dashed)] == rows[i].spans.split(",")
+    assert [rows[i].spans for i in range(30, 33)] == [""] * 3
+
+
 def test_token_histogram_answers_every_limit(spark, texts):
     with open(token_counts.VOCABULARY, "rb") as f:
         encode = token_counts.encoder(f.read()).encode_ordinary

@@ -5,7 +5,8 @@ from the start. In a leaf a token that enough documents' lines have at its place
 field. Lines are dropped when documents enough share their template and enough of it is not field.
 
 Lines meet as distinct texts with their number of documents, so a line in a third of all documents is one row, and only
-leaves that recur across documents are looked at token by token.
+leaves that recur across documents are looked at token by token. What is counted are documents: where one has several
+lines of a leaf, those beyond the first that agree in what is counted are taken off again.
 """
 
 from __future__ import annotations
@@ -32,18 +33,39 @@ def _leaf(tokens: Column) -> Column:
     return F.concat_ws(" ", F.size(tokens).cast("string"), lead)
 
 
+def _several(docs: DataFrame) -> DataFrame:
+    """``key``, ``leaf``, ``line`` of the distinct lines of documents that have two or more in one leaf; found row by row."""
+    leafed = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(_leaf(_tokens(x)).alias("leaf"), x.alias("line")))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.filter(leafed, lambda x: x["leaf"] != "0").alias("lines"))
+    rows = rows.withColumn("leaves", F.array_sort(F.col("lines.leaf")))
+    rows = rows.withColumn("twice", F.array_distinct(F.filter("leaves", lambda x, i: x == F.get("leaves", i - 1)))).filter(F.size("twice") > 0)
+    return rows.select("key", F.explode(F.filter("lines", lambda x: F.array_contains("twice", x["leaf"]))).alias("x")).select("key", "x.leaf", "x.line")
+
+
+def _documents(lines: DataFrame, several: DataFrame, *by: str) -> DataFrame:
+    """The number ``n`` of documents by ``by``: those of the lines, less the further lines of documents counted already."""
+    further = several.groupBy("key", *by).agg((1 - F.count("*")).alias("docs")).filter("docs < 0")
+    return lines.select(*by, "docs").unionByName(further.select(*by, "docs")).groupBy(*by).agg(F.sum("docs").alias("n"))
+
+
+def _words(lines: DataFrame, *keep: str) -> DataFrame:
+    tokens = lines.select(*keep, F.posexplode(_tokens(F.col("line"))).alias("place", "token"))
+    return tokens.withColumn("token", F.when(F.col("token").rlike("[0-9]"), F.lit(FIELD)).otherwise(F.col("token")))
+
+
 def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``line``, ``template``, ``docs`` of the distinct lines whose template stands in ``min_docs`` documents' lines or more."""
+    """``line``, ``template``, ``docs`` of the distinct lines whose template stands in ``min_docs`` documents or more."""
     lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.groupBy("line").agg(F.count("*").alias("docs")).withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") > 0)
     lines = lines.select("line", "docs", _leaf(F.col("tokens")).alias("leaf"))
     lines = work.keep(lines, "lines")
+    several = work.keep(_several(docs), "several")
     work.drop()
-    leaves = work.keep(lines.groupBy("leaf").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("leaf"), "leaves")
+    leaves = work.keep(_documents(lines, several, "leaf").filter(F.col("n") >= min_docs).select("leaf"), "leaves")
     live = lines.join(leaves, "leaf")
-    tokens = live.select("line", "docs", "leaf", F.posexplode(_tokens(F.col("line"))).alias("place", "token"))
-    tokens = tokens.withColumn("token", F.when(F.col("token").rlike("[0-9]"), F.lit(FIELD)).otherwise(F.col("token")))
-    common = tokens.filter(F.col("token") != FIELD).groupBy("leaf", "place", "token").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs)
+    tokens = _words(live, "line", "docs", "leaf")
+    fixed = _words(several.join(leaves, "leaf"), "key", "leaf").filter(F.col("token") != FIELD)
+    common = _documents(tokens.filter(F.col("token") != FIELD), fixed, "leaf", "place", "token").filter(F.col("n") >= min_docs)
     common = work.keep(common.select("leaf", "place", "token", F.lit(True).alias("constant")), "constants")
     marked = tokens.join(common, ["leaf", "place", "token"], "left")
     word = F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD))
@@ -51,7 +73,8 @@ def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> Dat
     shaped = shaped.filter(F.col("constants") >= CONSTANT * F.size("words")).select("line", "docs", F.concat_ws(" ", F.col("words.word")).alias("template"))
     shaped = work.keep(shaped, "shaped")
     work.drop("lines", "leaves", "constants")
-    recurring = shaped.groupBy("template").agg(F.sum("docs").alias("n")).filter(F.col("n") >= min_docs).select("template")
+    alike = several.join(shaped.select("line", "template"), "line")
+    recurring = _documents(shaped, alike, "template").filter(F.col("n") >= min_docs).select("template")
     return shaped.join(recurring, "template").select("line", "template", "docs")
 
 
@@ -67,7 +90,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame
     known = rows.filter("text is not null")
     gone = work.keep(templates(known, work, min_docs).select("line"), "gone")
     hits = known.select("doc_id", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).join(gone, "line")
-    work.drop("shaped")
+    work.drop("shaped", "several")
     hits = work.keep(hits.groupBy("doc_id").agg(F.collect_set("line").alias("gone")).withColumnRenamed("doc_id", "d"), "hits")
     work.drop("gone")
     lines = F.split("text", "\n")

@@ -342,6 +342,15 @@ def test_lines_with_a_common_template_are_dropped(spark):
     assert rows[3].kept_text == "\nddddd stands here alone" and rows[8].kept_text is None and rows[9].kept_text == ""
 
 
+def test_lines_of_one_document_do_not_recur(spark):
+    log = "\n".join(f"step {i} done" for i in range(9))
+    names = "\n".join(f"the same words before {chr(97 + i) * 4}" for i in range(9))
+    both = [f"part {i} of it\npart {i + 50} of it" for i in range(4)]  # four documents, eight lines
+    texts = [log, names, *both, *(f"user {i} came in\nuser {i + 50} came in" for i in range(5))]
+    plain = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(docs_of(spark, texts)).collect()}
+    assert plain == {i: 0 for i in range(6)} | {i: 2 for i in range(6, 11)}
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     none = spark.createDataFrame([], "doc_id long, quality int")

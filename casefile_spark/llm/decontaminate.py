@@ -4,7 +4,8 @@ The index is cut into shards of a bounded size; each is sent around and all pass
 by the score an item asks for, so the threshold is 1 for all. As in block-max WAND, bounds come before scores: a passage
 whose terms' largest impacts don't add up to 1 is done; for the others the largest impacts per block of items are added
 up, and postings are scored in the blocks alone whose bound reaches 1. No item above its threshold is lost. What is retrieved
-is verified against the words around the passage: the runs of the item's question and of its answer must be there.
+is verified against the words around the passage: the runs of the item's question and of its answer must be there, or
+else enough of the whole item's words, each in a run of three, so that an edit costs the words it changes.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ PASSAGE, STRIDE = 64, 32
 SCORE = 0.5
 OVERLAP = 0.8
 RUN = 5
+NEIGHBOURS = 3
 BLOCK_ITEMS = 16
 SHARD_POSTINGS = 500_000
 _ASCII = bytes(range(33, 127)).decode()
@@ -51,13 +53,27 @@ def _runs(words: list[bytes]) -> tuple[int, np.ndarray]:
     return n, np.unique(found.runs(found.codes(), n)[1]) if n else np.zeros(0, np.uint64)
 
 
+def _pairs(text: str) -> np.ndarray:
+    """Codes of the runs of ``NEIGHBOURS`` words of an item, in order."""
+    found = find_words(plain(pa.array([text])))
+    return found.runs(found.codes(), min(NEIGHBOURS, found.start.size))[1]
+
+
+def _matched(pairs: np.ndarray, around: np.ndarray, n: int) -> float:
+    """The share of an item's ``n`` words that are in one of its ``pairs`` which is among those ``around``."""
+    hit, held = np.isin(pairs, around), np.zeros(n, bool)
+    for k in range(n - pairs.size + 1):
+        held[k : k + pairs.size] |= hit
+    return float(held.mean())
+
+
 @dataclass
 class Shard:
     terms: np.ndarray
     first: np.ndarray
     item: np.ndarray
     impact: np.ndarray
-    items: list[tuple[int, int, tuple[int, np.ndarray], tuple[int, np.ndarray]]]
+    items: list[tuple[int, int, tuple[int, np.ndarray], tuple[int, np.ndarray], np.ndarray]]
 
     def __post_init__(self):
         term = np.repeat(np.arange(self.terms.size), np.diff(self.first))
@@ -128,7 +144,7 @@ def _shards(items: DataFrame, work: Workspace) -> Iterator[Shard]:
         place[rank] = np.arange(rank.size)
         term, item = place[at], np.array([number[k] for k in found["key"].tolist()])
         order = np.lexsort((item, term))
-        parts_of = [(None if i is None or i != i else int(i), n, *(_runs(part) for part in question_and_answer(t.encode().split()))) for i, n, t in zip(held["item_id"], held["n"].tolist(), held["text"])]
+        parts_of = [(None if i is None or i != i else int(i), n, *(_runs(part) for part in question_and_answer(t.encode().split())), _pairs(t)) for i, n, t in zip(held["item_id"], held["n"].tolist(), held["text"])]
         yield Shard(codes[rank], np.searchsorted(term[order], np.arange(rank.size + 1)), item[order], found["impact"].to_numpy()[order], parts_of)
 
 
@@ -165,14 +181,16 @@ def held_items(texts: pa.Array, shard: Shard) -> dict[tuple[int, int], tuple[flo
     hit, item, score = shard.search(term_of[bound], passage_of[bound], live.size)
     for p, i, s in zip(live[hit].tolist(), item.tolist(), score.tolist()):
         row = int(np.searchsorted(words.first, start[p], side="right")) - 1
-        _, n, question, answer = shard.items[i]
+        _, n, question, answer, pairs = shard.items[i]
         lo, hi = max(words.first[row], start[p] - n), min(words.first[row + 1], stop[p] + n)
         shares = []
         for part in (question, answer):
             k = part[0]
             begin = np.arange(lo, hi - k + 1) if k and hi - lo >= k else np.zeros(0, np.int64)
             shares.append(_share(words.spans(codes, begin, begin + k), part) if k else 1.0)
-        if min(shares) >= OVERLAP:
+        k = n - pairs.size + 1
+        begin = np.arange(lo, max(lo, hi - k + 1))
+        if min(shares) >= OVERLAP or _matched(pairs, words.spans(codes, begin, begin + k), n) >= OVERLAP:
             best[row, i] = max(best.get((row, i), (0.0, 0.0, 0.0)), (s * SCORE, *shares))
     return best
 
@@ -196,7 +214,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     ``score`` is the best passage's BM25 score as a share of the item's own. An item is held when a passage reaches half of
     that (less for items longer than a passage) and at least 0.8 of the runs of five words of its question and of its answer
-    stand around the passage. Case and ASCII punctuation are ignored. Null and blank texts hold nothing and blank items are in no document;
+    stand around the passage, or 0.8 of all its words, each in a run of three of them. Case and ASCII punctuation are ignored. Null and blank texts hold nothing and blank items are in no document;
     items that repeat an id and text count once. Null ids are returned as null. Other columns are not read.
     """
     work = Workspace(docs.sparkSession, "decontaminate")

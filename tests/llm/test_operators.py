@@ -304,6 +304,24 @@ def test_decontamination_finds_whole_items(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_items(spark):
+    rng = random.Random(16)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    say = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items, docs = [], []
+    for i, (q, a) in enumerate([(20, 8), (14, 9), (49, 1), (25, 2), (40, 5)]):
+        question, answer = say(q), say(a)
+        items.append((i, f"{' '.join(question)}. {' '.join(answer)}."))
+        edits = [[*question[: q // 2], "edited", *question[q // 2 + 1 :], *answer], [*question, *answer[: a // 2], "edited", *answer[a // 2 + 1 :]]]
+        if a <= 2:
+            edits.append(question)
+        docs += [(i, [*say(100), *e, *say(100)]) for e in edits]
+        docs.append((None, [*say(100), *question[: q // 2], *say(100)]))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs_of(spark, [" ".join(w) for _, w in docs]), bench).collect()}
+    assert got == {(d, i) for d, (i, _) in enumerate(docs) if i is not None}
+
+
 def test_block_bounds_lose_no_item():
     rng = random.Random(8)
     np = decontaminate.np

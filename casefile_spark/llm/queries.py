@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, quality, secrets, simhash, substrings, token_counts, warc
+from . import bpe, decontaminate, exact_dedup, line_dedup, merkle, mixing, prefix_trie, quality, secrets, simhash, substrings, token_counts, warc
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -54,17 +55,67 @@ def op10_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf, "conversations"), shared=(100, 6)).drop("node")
+
+
+def op12_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    found = bpe.decode(bpe.encode(_table(spark, sf, "documents"), vocabulary), vocabulary)
+    n = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return found.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    text = F.when(chosen, merkle.lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    found = merkle.manifest(_table(spark, sf, "documents"), tampered={"text": text})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_quality, op2_token_counts, op3_warc, op4_secrets, op5_substring_dedup, op6_simhash, op7_decontamination,
-        op8_exact_dedup, op9_mixing, op10_line_dedup,
+        op8_exact_dedup, op9_mixing, op10_line_dedup, op11_prefix_trie, op12_bpe, op13_merkle,
     )
 }
 
 #: Words, as in the operators.
 _WORD = r"[^\x20\x09-\x0D]+"
 
+
+
+def _crc32(number: str) -> str:
+    """Unsigned crc32 of a number's decimal digits, bit by bit."""
+    bits = f"flatten(list_transform(string_split(({number})::VARCHAR, ''), lambda ch: list_transform(range(8), lambda k: (ascii(ch)::BIGINT >> k::BIGINT) & 1)))"
+    step = "lambda s, b: xor(s >> 1, CASE WHEN xor(s, b) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {bits}, {step}), 4294967295)"
+
+
+def _field(name: str, value: str | None = None) -> str:
+    value = f"({value or name})::VARCHAR"
+    return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+
+_RECORD = [_field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _levels(name: str, first: str, key: str) -> str:
+    """All levels of the trees over ``first``'s lists; every 16 nodes become one while several remain."""
+    up = "list_transform(range(0, (len(nodes) + 15) // 16), lambda i: sha256(array_to_string(nodes[i * 16 + 1 : i * 16 + 16], '')))"
+    return f"{name} AS ({first} UNION ALL SELECT {key}, level + 1, {up} FROM {name} WHERE len(nodes) > 1)"
+
+
+def _steps(tree: str, rank: str) -> str:
+    """Siblings before and after a node's ancestors, level by level."""
+    place = f"({rank} // (16 ** level)::BIGINT)"
+    before = f"array_to_string({tree}.nodes[{place} // 16 * 16 + 1 : {place}], '')"
+    after = f"array_to_string({tree}.nodes[{place} + 2 : {place} // 16 * 16 + 16], '')"
+    return f"list({before} || '|' || {after} ORDER BY level) FILTER (WHERE len({tree}.nodes) > 1)"
+
+
 SQL = {
     "op3_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
@@ -136,4 +187,45 @@ SQL = {
             FROM e LEFT JOIN g USING (line) GROUP BY doc_id)
         SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept, '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_prefix_trie": f"""
+        WITH t AS (
+            SELECT conv_id AS c, struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) AS said,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+            FROM conversations WHERE conv_id IS NOT NULL),
+        v AS (SELECT c, list(said ORDER BY i) AS turns, ({_crc32("c")} % 6)::BIGINT AS h FROM t GROUP BY c),
+        b AS (
+            SELECT v.c, list_concat(list_slice(coalesce(base.turns, []), 1, v.h), list_slice(v.turns, v.h + 1, len(v.turns))) AS turns
+            FROM v LEFT JOIN v AS base ON base.c = v.c - v.c % 100),
+        m AS (SELECT c, d, CASE WHEN d = 0 THEN [] ELSE turns[1 : d] END AS seq, len(turns) = d AS ends FROM b, unnest(range(0, len(turns) + 1)) AS u(d)),
+        g AS (
+            SELECT seq, d, min(c) AS low, count(*) AS n, CASE WHEN d = 0 THEN 0 ELSE length(seq[d].x) END AS chars,
+                   sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+            FROM m GROUP BY seq, d),
+        k AS (SELECT seq[1 : d - 1] AS seq, count(*) AS children FROM g WHERE d > 0 GROUP BY ALL),
+        a AS (SELECT g.*, coalesce(children, 0) AS children FROM g LEFT JOIN k USING (seq)),
+        s AS (
+            SELECT CASE WHEN u.top = 0 THEN [] ELSE a.seq[1 : u.top] END AS seq, sum((children = 0)::INT)::BIGINT AS leaves, sum((n - 1) * chars)::BIGINT AS saved
+            FROM a, unnest(range(0, a.d + 1)) AS u(top) GROUP BY ALL)
+        SELECT a.low AS conv_id, a.d AS depth, p.low AS parent_conv_id, a.n AS n_convs, a.children AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, a.ends_sha256
+        FROM a JOIN s USING (seq) LEFT JOIN g AS p ON a.d > 0 AND p.d = a.d - 1 AND p.seq = CASE WHEN a.d <= 1 THEN [] ELSE a.seq[1 : a.d - 1] END""",
+    "op13_merkle": f"""
+        WITH RECURSIVE l AS (
+            SELECT doc_id, source, sha256(concat({", ".join([*_RECORD, _field("text")])})) AS leaf,
+                   CASE WHEN {_crc32("doc_id")} % 5 = 0 THEN sha256(concat({", ".join([*_RECORD, _field("text", _LOWERED)])}))
+                        ELSE sha256(concat({", ".join([*_RECORD, _field("text")])})) END AS seen
+            FROM documents),
+        r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS rank FROM l),
+        {_levels("lv", "SELECT source, 0 AS level, list(leaf ORDER BY rank) AS nodes FROM r GROUP BY source", "source")},
+        sub AS (SELECT source, nodes[1] AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place FROM lv WHERE len(nodes) = 1),
+        {_levels("up", "SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM sub", "").replace("SELECT , level", "SELECT level")},
+        top AS (SELECT sub.source, subroot, coalesce({_steps("up", "place")}, []) AS above FROM sub, up GROUP BY sub.source, subroot),
+        own AS (
+            SELECT r.doc_id, r.source, leaf, seen, rank, coalesce({_steps("lv", "rank")}, []) AS steps
+            FROM r JOIN lv ON r.source IS NOT DISTINCT FROM lv.source GROUP BY r.doc_id, r.source, leaf, seen, rank),
+        f AS (
+            SELECT doc_id, leaf, subroot, (SELECT nodes[1] FROM up WHERE len(nodes) = 1) AS root, steps || above AS path, seen
+            FROM own JOIN top ON own.source IS NOT DISTINCT FROM top.source),
+        e AS (
+            SELECT *, list_reduce([seen] || path, lambda digest, step: sha256(split_part(step, '|', 1) || digest || split_part(step, '|', 2))) AS folded_root FROM f)
+        SELECT doc_id, leaf, subroot, root, sha256(replace(array_to_string(path, ''), '|', '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM e""",
 }

@@ -13,6 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
+RANGE_ROWS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Running:
@@ -27,6 +31,37 @@ def block_of(pos: Column, rows: int = 100_000) -> Column:
     return F.floor(pos / F.lit(rows))
 
 
+def ranged(df: DataFrame, keys: list[str], order: list, rows: int = RANGE_ROWS) -> DataFrame:
+    """The rows with ``_seg`` and ``_at``: the range they fall in when all are ordered by keys and order, and their place in it.
+
+    Splitters come from the data: Spark samples keys and order, so a key with a third of all rows spreads over a third of
+    the ranges, however its rows are dealt over days or names, and small keys share one. Rows equal in keys and order can't
+    be split, so the order should end in an id. The ranges are written once, since a sample drawn twice may differ.
+    """
+    spark = df.sparkSession
+    by = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.count() // rows + 1)
+    placed = df.repartitionByRange(tasks, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    folder = shared_folder(spark, "ranges")
+    placed.write.parquet(folder)
+    return spark.read.schema(placed.schema).parquet(folder).withColumn("_seg", F.shiftright("_at", 33))  # the id's upper bits number the task
+
+
+def positions(df: DataFrame, keys: list[str], order: list, out: str, rows: int = RANGE_ROWS) -> DataFrame:
+    """``out``: the row's number within its key, from 1, without a window over the rows of a key.
+
+    A range's rows of a key lie together, so a row's place minus the first one's counts them; rows of the key in earlier
+    ranges are a running sum over one row per key and range.
+    """
+    held = ranged(df, keys, order, rows)
+    per_range = held.groupBy(*keys, "_seg").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_range.select(*keys, "_seg", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*keys, "_seg"]]
+    joined = held.alias("l").join(carried.alias("r"), same)
+    return joined.select("l.*", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(out)).drop("_at", "_seg")
+
+
 def segmented(df: DataFrame, keys: list[str], segment: Column) -> DataFrame:
     """Cut into segments and shuffle the rows once; everything below reads that one shuffle."""
     return df.withColumn("_seg", segment).repartition(*keys, "_seg")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.segments import Running, running
+from ..functions.segments import Running, positions, ranged, running, segmented
 
 # Recovery window, purge batch, two-digit year pivot, date-prefix patterns, orders.
 RECOVERY_DAYS = 30
@@ -147,6 +147,11 @@ def sort_keys(filename: Column, file_id: Column, uploaded: Column, order: str) -
     ]
 
 
+def file_positions(files: DataFrame, order: str = "oldest") -> DataFrame:
+    """``order``: each file's number within its matter, from 1; a matter with most files is cut into ranges like all others."""
+    return positions(files, ["matter_id"], sort_keys(F.col("filename"), F.col("file_id"), F.col("created_at"), order), order)
+
+
 def sort_files(files: DataFrame, order: str = "oldest") -> DataFrame:
     return files.orderBy(*sort_keys(F.col("filename"), F.col("file_id"), F.col("created_at"), order))
 
@@ -184,9 +189,10 @@ def run_states(events: DataFrame, as_of: Column) -> DataFrame:
     ).drop("_last", "_end")
 
 
-def silent_gaps(events: DataFrame, day: Column) -> DataFrame:
+def silent_gaps(events: DataFrame) -> DataFrame:
     """Rows that follow a silence longer than the limit: the run was dead in between."""
-    seen = running(events, ["run_id"], ["at", "event_id"], day, Running("previous", F.col("at"), "previous_at"))
+    events = ranged(events, ["run_id"], ["at", "event_id"]).drop("_at")
+    seen = running(segmented(events, ["run_id"], F.col("_seg")), ["run_id"], ["at", "event_id"], None, Running("previous", F.col("at"), "previous_at")).drop("_seg")
     gap = (F.unix_micros("at") - F.unix_micros("previous_at")) / 1e6
     return seen.withColumn("gap_seconds", gap).filter(gap > STALE_SECONDS)
 

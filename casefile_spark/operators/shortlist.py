@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.generate import explode_rows
+from ..functions import inverted
 from ..functions.text import tokens
+from ..session import shared_folder
 
 # Weights, court tiers, limits, stop words and wording.
 W_COURT, W_JURISDICTION, W_ANGLES, W_RANK, W_RECENCY, W_SUBJECT = 0.40, 0.20, 0.15, 0.15, 0.10, 0.20
@@ -22,7 +23,6 @@ RECENCY_FLOOR = 0.15
 MISMATCH_PENALTY = 0.75
 SUBJECT_TERMS = 25
 NOTE_CHARS = 220
-MAX_PHRASES = 1_000
 SUBJECT_STOPWORDS = (
     "a an the and or of to in on for by with at from as is are was were be been that this these those it its any "
     "all such which who whom whose not no case cases court courts law laws legal act section sections s ss appeal "
@@ -95,62 +95,28 @@ def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}']+"), lambda t: t != "")
 
 
-def search_corpus(corpus: DataFrame, queries: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
-    """Any-term search ranked by tf-idf, quoted phrases doubling the score of texts that hold them.
+def search_index(corpus: DataFrame) -> DataFrame:
+    """The positional index of ``doc_id``, ``text``; keep it as a table to search it again."""
+    return inverted.build_index(corpus.select("doc_id", _terms(F.col("text")).alias("words")), "doc_id", "words")
+
 
-    corpus: doc_id, text. queries: query_id, query. The first ``page`` documents per query.
+def search(index: DataFrame, queries: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
+    """Any-term search ranked by tf-idf; a text that holds a quoted phrase word by word scores double.
 
-    Only terms some query uses leave the corpus scan, and they leave it as (doc, term, count) after a
-    per-document count, so frequent words cost one row per document, never one per occurrence.
+    queries: query_id, query. The first ``page`` documents per query.
     """
-    asked = (
-        queries.select("query_id", F.explode(F.array_distinct(_terms(F.regexp_replace("query", '"', " ")))).alias("term"))
-    )
-    vocabulary = asked.select("term").distinct()
-    counted = (
-        explode_rows(corpus, ["doc_id"], _terms(F.col("text")), "term")
-        .join(vocabulary, "term", "left_semi")
-        .groupBy("doc_id", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-    n_docs = corpus.count()
-    # The document frequency is a sum over tf, so both readers of ``counted`` share one exchange.
-    df = F.sum(F.least("tf", F.lit(1)))
-    idf = counted.groupBy("term").agg(F.log(F.lit(n_docs + 1.0) / df).alias("idf"))
-    weights = asked.join(idf, "term")
-    scored = (
-        counted.join(weights, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("tf") * F.col("idf")).alias("score"))
+    quoted = F.transform(F.regexp_extract_all("query", F.lit('"([^"]+)"'), 1), _terms)
+    asked = queries.select(
+        "query_id", F.array_distinct(_terms(F.regexp_replace("query", '"', " "))).alias("terms"), F.filter(quoted, lambda p: F.size(p) > 0).alias("phrases")
     )
-    boosted = _phrase_boost(scored, corpus, queries)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    # The bare row number in the filter is what lets the limit run before the shuffle.
-    top = boosted.withColumn("_n", F.row_number().over(best)).filter(F.col("_n") <= page)
-    return top.withColumn("position", F.col("_n") - 1).drop("_n")
+    return inverted.search(index, asked, page).withColumnRenamed("key", "doc_id")
 
 
-def _phrase_boost(scored: DataFrame, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """Double the score where the text holds a quoted phrase of the query."""
-    wanted = queries.select(
-        "query_id", F.explode(F.regexp_extract_all("query", F.lit('"([^"]+)"'), 1)).alias("phrase")
-    ).withColumn("phrase", F.lower("phrase"))
-    listed = [r["phrase"] for r in wanted.select("phrase").distinct().limit(MAX_PHRASES + 1).collect()]
-    if not listed:
-        return scored.withColumn("score", F.round("score", 9))
-    low = F.lower("text")
-    if len(listed) <= MAX_PHRASES:  # one more pass over the texts; only (doc, phrase) pairs leave it
-        inside = F.filter(F.array(*[F.lit(p) for p in listed]), lambda p: low.contains(p))
-        held = explode_rows(corpus, ["doc_id"], inside, "phrase").join(wanted, "phrase")
-    else:
-        held = (
-            scored.join(wanted, "query_id").join(corpus.select("doc_id", low.alias("_t")), "doc_id")
-            .filter(F.col("_t").contains(F.col("phrase")))
-        )
-    held = held.select("query_id", "doc_id", F.lit(2.0).alias("_b")).distinct()
-    return scored.join(held, ["query_id", "doc_id"], "left").select(
-        "query_id", "doc_id", F.round(F.col("score") * F.coalesce("_b", F.lit(1.0)), 9).alias("score")
-    )
+def search_corpus(corpus: DataFrame, queries: DataFrame, page: int = SEARCH_PAGE) -> DataFrame:
+    """Index the corpus and search it; the index is written once and read by every step of the search."""
+    folder = shared_folder(corpus.sparkSession, "search")
+    search_index(corpus).write.parquet(folder)
+    return search(corpus.sparkSession.read.parquet(folder), queries, page)
 
 
 def browse_newest(cases: DataFrame, court: str, date: str, tie: str, page: int = SEARCH_PAGE) -> DataFrame:

@@ -440,7 +440,9 @@ w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}''
 tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' AND term IN (SELECT term FROM q) GROUP BY 1, 2),
 idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0)::DOUBLE / count(*)) AS idf FROM tf GROUP BY 1),
 s AS (SELECT query_id, doc_id, sum(tf * idf) AS score FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY 1, 2),
-b AS (SELECT query_id, doc_id, round(score * CASE WHEN contains(lower(text), 'of the') THEN 2 ELSE 1 END, 9) AS score FROM s JOIN documents USING (doc_id))
+held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}'']+'), lambda x: x <> '') AS t FROM documents)
+  WHERE list_contains(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] = 'of' AND p[2] = 'the'), true)),
+b AS (SELECT query_id, s.doc_id, round(score * CASE WHEN held.doc_id IS NULL THEN 1 ELSE 2 END, 9) AS score FROM s LEFT JOIN held USING (doc_id))
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS position, round(score, 6) AS score FROM b QUALIFY position < 100""",
     "i3_browse_newest": """
 SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position FROM orders QUALIFY position < 100""",

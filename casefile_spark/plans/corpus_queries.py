@@ -196,11 +196,11 @@ def b7_table_labels(spark, sf):
 
 
 def b8_event_runs(spark, sf):
-    """Consecutive events of one type per user, cut by day so that no user is one task."""
-    from ..functions.segments import islands
+    """Consecutive events of one type per user, cut where the events lie so that no user is one task."""
+    from ..functions.segments import islands, ranged
 
-    e = B.events(spark, sf).select("user_id", "ts", "event_id", "event_type")
-    runs = islands(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), ["event_type"], "run_no")
+    e = ranged(B.events(spark, sf).select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"])
+    runs = islands(e.withColumnRenamed("_seg", "_range"), ["user_id"], ["ts", "event_id"], F.col("_range"), ["event_type"], "run_no")
     return runs.groupBy("user_id", "run_no", "event_type").agg(F.count("*").alias("events"), F.min("event_id").alias("first_event"))
 
 

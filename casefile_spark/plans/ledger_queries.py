@@ -165,13 +165,10 @@ def k5_date_prefix(spark, sf):
 
 def k6_file_order(spark, sf):
     """Position of every file inside its matter in the three orders."""
-    from pyspark.sql import Window
-
-    f = B.files(spark, sf)
-    keys = {o: K.sort_keys(F.col("filename"), F.col("file_id"), F.col("created_at"), o) for o in K.SORT_ORDERS}
-    return f.select("matter_id", "file_id", *[
-        F.row_number().over(Window.partitionBy("matter_id").orderBy(*k)).alias(o) for o, k in keys.items()
-    ])
+    f = B.files(spark, sf).select("matter_id", "file_id", "filename", "created_at")
+    for order in K.SORT_ORDERS:
+        f = K.file_positions(f, order)
+    return f.select("matter_id", "file_id", *K.SORT_ORDERS)
 
 
 def k7_cost_query(spark, sf):
@@ -278,8 +275,8 @@ def l2_run_states(spark, sf):
 
 
 def l2_silent_gaps(spark, sf):
-    """Silences between heartbeats per run, cut by day so that no run is one task."""
-    out = K.silent_gaps(B.run_events(spark, sf), F.to_date("at"))
+    """Silences between heartbeats per run, cut where the heartbeats lie so that no run is one task."""
+    out = K.silent_gaps(B.run_events(spark, sf))
     return out.groupBy("run_id").agg(F.count("*").alias("gaps"), F.round(F.max("gap_seconds"), 3).alias("longest"))
 
 

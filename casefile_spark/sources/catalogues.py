@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.selection import quantiles
+
 # Upper price bounds (USD per million tokens, prompt plus completion) of the tiers.
 CHEAP_MAX = 2.25
 MID_MAX = 17.50
@@ -39,10 +41,9 @@ def normalise_models(raw: DataFrame) -> DataFrame:
     )
 
 
-def tier_bounds(prices: DataFrame, price: str, exact: bool = True) -> DataFrame:
-    """Median and 90th percentile of a price distribution, the basis of the tier bounds."""
-    pick = F.percentile if exact else F.percentile_approx
-    return prices.agg(pick(price, F.lit(0.5)).alias("p50"), pick(price, F.lit(0.9)).alias("p90"))
+def tier_bounds(prices: DataFrame, price: str) -> DataFrame:
+    """Median and 90th percentile of a price distribution, the basis of the tier bounds; exact at any size."""
+    return quantiles(prices, price, p50=0.5, p90=0.9)
 
 
 # Fixed value: forum -> proceeding -> deadline -> description, rule and required documents.

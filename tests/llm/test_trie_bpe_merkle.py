@@ -130,8 +130,8 @@ def test_bpe_against_the_library(spark):
 def test_bpe_of_every_character_matches_the_library():
     own, library = bpe.Bpe(VOCABULARY), Tokenizer.from_file(VOCABULARY)
     texts = [f"a{c}b{c}{c} {c}1{c}  x " for c in map(chr, [*range(0xD800), *range(0xE000, 0x20000)])]
-    for text, e in zip(texts, library.encode_batch(texts, add_special_tokens=False)):
-        assert np.frombuffer(own.encode(text), "<u4").tolist() == e.ids
+    for ids, e in zip(own.encode(texts), library.encode_batch(texts, add_special_tokens=False)):
+        assert np.frombuffer(ids, "<u4").tolist() == e.ids
 
 
 def test_bpe_query_and_empty_table(spark, tmp_path):
@@ -142,6 +142,17 @@ def test_bpe_query_and_empty_table(spark, tmp_path):
     assert bpe.encode(spark.createDataFrame([], "doc_id long, text string"), VOCABULARY).count() == 0
 
 
+def test_bpe_pieces_of_all_lengths_side_by_side_and_alone(monkeypatch):
+    rng = random.Random(9)
+    own, library = bpe.Bpe(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    pieces = ["".join(rng.choice("aabet hin") for _ in range(n)).replace(" ", "s") for n in [*range(1, 70), 300, 1000] * 8]
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 200)  # begins anew within the texts
+    for some in (pieces[:200], pieces[200:], pieces[::-1]):
+        assert [np.frombuffer(i, "<u4").tolist() for i in own.encode(some)] == [e.ids for e in library.encode_batch(some, add_special_tokens=False)]
+        assert len(own.known) <= 1 + len(set(some))
+    assert all(own.encode_piece(p) == own.encode([p])[0] for p in pieces)
+
+
 def test_pair_tree_yields_leftmost_lowest():
     rng = random.Random(2)
     for n in (1, 2, 5, 33):

@@ -9,7 +9,7 @@ from ..operators import chunking as C
 from ..operators import quality as Q
 from ..sources import catalogues, files, messages, pages, sinks
 from . import bindings as B
-from .ledger_queries import _FILES, _stored_index
+from .ledger_queries import _FILE_MATTERS, _FILES, _at, _stored_index, doc_matters
 
 _TOKENS = "list_filter(string_split_regex({0}, '\\s+'), lambda x: x <> '')"
 
@@ -119,6 +119,20 @@ def _file_chunks(spark, sf):
     return C.window_chunks(B.texts(spark, sf), "text", ["matter_id", "file_id", "lang"]).withColumnRenamed("window_no", "chunk_index")
 
 
+def k4_purge_index(spark, sf):
+    """Chunks per matter before and after a purge of expired matters, read from the index and its earlier version."""
+    from ..operators import registry as K
+    from ..session import shared_folder
+    from ..sources.chunk_index import ChunkIndex
+
+    index = ChunkIndex(spark, shared_folder(spark, "purge"), buckets=4)
+    first = index.write(_file_chunks(spark, sf))
+    removed = K.purge(B.files(spark, sf), doc_matters(spark, sf), _at(B.AS_OF), limit=K.PURGE_BATCH)["removed_files"]
+    index.write(gone=removed)
+    counts = [index.read(v).groupBy("matter_id").agg(F.count("*").alias(name)) for v, name in ((first, "before"), (None, "after"))]
+    return counts[0].join(counts[1], "matter_id", "left").select("matter_id", "before", F.coalesce("after", F.lit(0)).alias("after"))
+
+
 def a11_catalogue(spark, sf):
     """Suppliers as catalogue entries in nested JSON: region, nation, supplier, required documents."""
     s = (
@@ -336,7 +350,7 @@ def c10_files_to_reprocess(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_content_hash, a2_page_triage, a3_message_bodies, a4_message_headers, a5_html_to_text, a9_chunk_index, a11_catalogue,
+    a1_content_hash, a2_page_triage, a3_message_bodies, a4_message_headers, a5_html_to_text, a9_chunk_index, k4_purge_index, a11_catalogue,
     a12_model_catalogue, b1_token_windows, b2_page_chunks, b3_message_chunks, b4_heading_levels, b5_heading_paths,
     b6_block_locators, b7_table_labels, b8_event_runs, b9_section_chunks, b9_turn_sections, b10_table_chunks,
     b11_used_columns, b12_header_rows, b13_sheet_rows, b14_sheet_chunks, b15_chunk_ids, b16_block_stats, b16_sheet_stats,
@@ -425,6 +439,13 @@ WITH src AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS matter_id, d
 {_windows('src', 'matter_id, file_id, lang')}
 SELECT matter_id, lang, count(*) AS chunks, count(DISTINCT file_id) AS files, sum(length(text)) AS chars FROM chunk
 WHERE lang <> 'es' AND (lang <> 'de' OR window_no = 0) GROUP BY matter_id, lang""",
+    "k4_purge_index": f"""
+WITH {_FILES},{_FILE_MATTERS},
+gf AS (SELECT file_id FROM files WHERE deleted_at < TIMESTAMP '{B.AS_OF}' - INTERVAL 30 DAY ORDER BY deleted_at, file_id LIMIT 25),
+gm AS (SELECT matter_id FROM doc_matters WHERE deleted_at < TIMESTAMP '{B.AS_OF}' - INTERVAL 30 DAY ORDER BY deleted_at, matter_id LIMIT 25),
+src AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS matter_id, doc_id AS file_id, text FROM documents), {_windows('src', 'matter_id, file_id')}
+SELECT matter_id, count(*) AS before, count(*) FILTER (file_id NOT IN (SELECT file_id FROM gf) AND matter_id NOT IN (SELECT matter_id FROM gm)) AS after
+FROM chunk GROUP BY matter_id""",
     "a11_catalogue": """
 WITH s AS (SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
 SELECT r_name AS forum, n_name AS proceeding, s_name AS deadline, 'Rule ' || s_suppkey AS rule_citation, i - 1 AS doc_no,

@@ -44,20 +44,32 @@ def l1_ingest_stream(spark, sf):
     )
 
 
-def l2_liveness_stream(spark, sf):
-    """The last reported status of every run over the heartbeat stream."""
+def _run_beats(spark, sf):
+    """Events as beats of runs: a user is a run, ten matters share them."""
     status = (
         F.when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed")
         .when(F.col("event_type") == "signup", "queued").otherwise("running")
     )
-    ev = _stream(spark, sf, "events").select(
+    return _stream(spark, sf, "events").select(
         F.col("user_id").cast("string").alias("run_id"), (F.col("user_id") % 10).alias("matter_id"), status.alias("status"), F.col("ts").alias("at"), "event_id"
     )
-    out = _settled(runs.run_liveness(ev), "liveness")
+
+
+def l2_liveness_stream(spark, sf):
+    """The last reported status of every run over the heartbeat stream."""
+    with runs.keyed_state(spark):
+        out = _settled(runs.run_liveness(_run_beats(spark, sf)), "liveness")
     late = F.when(F.col("status") == "interrupted", 1).otherwise(0)
     return out.groupBy("run_id").agg(F.max_by("status", F.struct(late, "last_seen")).alias("status"))
 
 
+def l2_active_run_stream(spark, sf):
+    """Every run's start, and whether it got its matter or which run held it."""
+    with runs.keyed_state(spark):
+        out = _settled(runs.active_runs(_run_beats(spark, sf)), "active")
+    return out.select("matter_id", "run_id", "holder", "granted", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"))
+
+
 def l3_tally_stream(spark, sf):
     li = _stream(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("batch_no"), F.col("l_quantity").cast("long").alias("input_tokens"),
@@ -72,7 +84,7 @@ def l4_daily_budget_stream(spark, sf):
     return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "calls", "state")
 
 
-QUERIES = {f.__name__: f for f in (l1_ingest_stream, l2_liveness_stream, l3_tally_stream, l4_daily_budget_stream)}
+QUERIES = {f.__name__: f for f in (l1_ingest_stream, l2_liveness_stream, l2_active_run_stream, l3_tally_stream, l4_daily_budget_stream)}
 
 SQL = {
     "l1_ingest_stream": f"""

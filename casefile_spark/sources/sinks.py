@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunk_index import ChunkIndex
+
 # The ledger CSV columns, in order.
 CSV_COLUMNS = (
     "timestamp_utc", "date_local", "matter_id", "matter_name", "task_id", "model",
@@ -43,48 +45,14 @@ def write_ledger_csv(rows: DataFrame, folder: str, time_zone: str = "UTC") -> No
     marked.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(folder)
 
 
-def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
-    return df.withColumn("file_bucket", F.pmod(F.xxhash64("file_id"), F.lit(buckets)).cast("int"))
-
-
-def replace_files(folder: str, chunks: DataFrame, gone: DataFrame | None = None, buckets: int = 256) -> None:
-    """Replace the chunks of the files in ``chunks`` and drop those of the files in ``gone``.
-
-    The index is partitioned by matter and a hash bucket of the file, not by file: millions of files
-    stay a bounded number of folders. Only touched buckets are rewritten, as whole folders. A touched
-    bucket also gets one empty marker row, so that a bucket that lost its last file is rewritten too;
-    ``read_chunks`` leaves the markers out. ``gone``: matter_id, file_id.
-    """
-    spark = chunks.sparkSession
-    keys = ["matter_id", "file_id"]
-    fresh = _bucketed(chunks, buckets)
-    stale = fresh.select(*keys, "file_bucket")
-    if gone is not None:
-        stale = stale.unionByName(_bucketed(gone.select(*keys), buckets))
-    stale = stale.distinct()
-    out = fresh
-    if index_exists(spark, folder):
-        held = read_chunks(spark, folder)
-        touched = stale.select("matter_id", "file_bucket").distinct()
-        kept = held.join(touched, ["matter_id", "file_bucket"], "left_semi").join(stale, keys, "left_anti")
-        out = fresh.unionByName(kept, allowMissingColumns=True).unionByName(touched, allowMissingColumns=True)
-    (
-        out.hint("rebalance", "matter_id", "file_bucket")  # even file sizes: large buckets split, small ones meet
-        .sortWithinPartitions("matter_id", "file_bucket", "file_id", "chunk_index")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("matter_id", "file_bucket")
-        .parquet(folder)
-    )
-
-
-def index_exists(spark: SparkSession, folder: str) -> bool:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+def replace_files(folder: str, chunks: DataFrame, gone: DataFrame | None = None, buckets: int = 256, write_id: str | None = None) -> int:
+    """A new version of the index in which the files in ``chunks`` have these chunks and those in ``gone`` none (see ``ChunkIndex``)."""
+    return ChunkIndex(chunks.sparkSession, folder, buckets).write(chunks, gone, write_id)
 
 
 def read_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(folder).filter(F.col("chunk_index").isNotNull())
+    """The newest version of the index."""
+    return ChunkIndex(spark, folder).read()
 
 
 def index_metadata(chunks: DataFrame) -> DataFrame:

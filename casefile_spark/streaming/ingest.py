@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.chunking import chunk_id, window_chunks
+from ..sources.chunk_index import ChunkIndex
 from ..sources.files import collection_name, content_hash
-from ..sources.sinks import index_exists, read_chunks, replace_files
 
+#: Writes beyond which the newest are merged to one.
+MERGE_WRITES = 32
 FILE_SCHEMA = "matter_id long, file_id long, filename string, text string, arrived_at timestamp"
 
 
@@ -34,35 +36,35 @@ def chunk_files(files: DataFrame) -> DataFrame:
     )
 
 
-def index_batch(batch: DataFrame, index_folder: str, buckets: int = 256) -> None:
-    """Index the new contents of one micro-batch; safe to run again after a failure.
+def index_batch(batch: DataFrame, index_folder: str, buckets: int = 256, write_id: str | None = None) -> None:
+    """Index the new contents of one micro-batch; safe to run again after a failure, and a no-op once ``write_id`` is committed.
 
     The batch is used several times and kept meanwhile, so that its state operator runs once.
     """
     batch = batch.persist(StorageLevel.DISK_ONLY)
     try:
-        _index_rows(batch, index_folder, buckets)
+        _index_rows(batch, ChunkIndex(batch.sparkSession, index_folder, buckets), write_id)
     finally:
         batch.unpersist()
 
 
-def _index_rows(batch: DataFrame, index_folder: str, buckets: int) -> None:
+def _index_rows(batch: DataFrame, index: ChunkIndex, write_id: str | None) -> None:
     keys = ["matter_id", "content_sha256"]
     first = batch.groupBy(*keys).agg(F.min("file_id").alias("file_id"))
     fresh = batch.join(first, [*keys, "file_id"], "left_semi")
-    if index_exists(batch.sparkSession, index_folder):
-        held = read_chunks(batch.sparkSession, index_folder)
-        others = held.select(*keys, F.col("file_id").alias("_held")).distinct()
-        # Content that another file of the matter holds stays out; the same file may be rewritten.
-        taken = fresh.join(others, keys).filter(F.col("_held") != F.col("file_id")).select(*keys).distinct()
-        fresh = fresh.join(taken, keys, "left_anti")
-    replace_files(index_folder, chunk_files(fresh), buckets=buckets)
+    # Content that another file of the matter holds stays out; the same file may be rewritten. Buckets that
+    # cannot hold any arriving content are not read.
+    taken = fresh.join(index.holders(first).withColumnRenamed("file_id", "_held"), keys).filter(F.col("_held") != F.col("file_id")).select(*keys).distinct()
+    fresh = fresh.join(taken, keys, "left_anti")
+    index.write(chunk_files(fresh), write_id=write_id)
+    if len(index.manifest()["writes"]) > MERGE_WRITES:
+        index.compact(newest=MERGE_WRITES)
 
 
 def start_ingest(files: DataFrame, index_folder: str, checkpoint: str, buckets: int = 256) -> StreamingQuery:
     return (
         once_per_content(files)
-        .writeStream.foreachBatch(lambda batch, _: index_batch(batch, index_folder, buckets))
+        .writeStream.foreachBatch(lambda batch, number: index_batch(batch, index_folder, buckets, f"{checkpoint}/{number}"))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

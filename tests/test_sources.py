@@ -7,7 +7,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from casefile_spark.functions import membership
 from casefile_spark.sources import catalogues, cells, eventlog, files, messages, pages, sinks
+from casefile_spark.sources.chunk_index import ChunkIndex, IndexChanged
 
 
 def test_scan_takes_known_suffixes_and_hashes_content(spark, tmp_path):
@@ -114,6 +116,84 @@ def test_a_bucket_that_lost_its_last_file_is_empty(spark, tmp_path):
     assert [r.text for r in sinks.read_chunks(spark, folder).collect()] == ["next"]
 
 
+def test_readers_see_the_old_version_during_and_after_a_failed_write(spark, tmp_path, monkeypatch):
+    index = ChunkIndex(spark, str(tmp_path / "index"), buckets=2)
+    assert index.read().count() == 0
+    index.write(_chunks(spark, [(1, f, 0, f"old {f}") for f in range(3)]))
+    before = index.read()
+    monkeypatch.setattr(index, "_commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError, match="lost"):  # all folders are written, the commit isn't
+        index.write(_chunks(spark, [(1, 0, 0, "new"), (1, 9, 0, "new")]), gone=spark.createDataFrame([(1, 1)], "matter_id long, file_id long"))
+    monkeypatch.undo()
+    for rows in (before, index.read()):
+        assert sorted((r.file_id, r.text) for r in rows.collect()) == [(f, f"old {f}") for f in range(3)]
+    index.write(_chunks(spark, [(1, 0, 0, "newer")]))
+    assert sorted(r.text for r in before.collect()) == ["old 0", "old 1", "old 2"]  # a reader that began earlier
+    assert sorted(r.text for r in index.read().collect()) == ["newer", "old 1", "old 2"]
+    assert len(index.vacuum()) == 4 and sorted(r.text for r in index.read().collect()) == ["newer", "old 1", "old 2"]
+
+
+def test_a_purge_rewrites_nothing(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    index = ChunkIndex(spark, folder, buckets=2)
+    index.write(_chunks(spark, [(1, f, i, f"{f} {i}") for f in range(20) for i in range(5)]))
+    files = {p: p.stat().st_mtime_ns for p in (tmp_path / "index" / "data").rglob("*.parquet")}
+    index.write(gone=spark.createDataFrame([(1, 3), (1, 4), (2, 3)], "matter_id long, file_id long"))
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "index" / "data").rglob("*.parquet")} == files
+    assert {r.file_id for r in index.read().collect()} == set(range(20)) - {3, 4}
+    index.write(_chunks(spark, [(1, 3, 0, "back")]))
+    assert [r.text for r in index.read().filter("file_id = 3").collect()] == ["back"]
+    assert {r.file_id for r in index.read(version=1).collect()} == set(range(20))
+
+
+def test_two_writers_cannot_commit_one_version(spark, tmp_path):
+    index = ChunkIndex(spark, str(tmp_path / "index"))
+    index.write(_chunks(spark, [(1, 1, 0, "a")]))
+    with pytest.raises(IndexChanged):
+        index._commit(1, [])
+    assert index.write(_chunks(spark, [(1, 2, 0, "b")]), write_id="x") == 2
+    assert index.write(_chunks(spark, [(1, 2, 0, "other")]), write_id="x") == 2  # delivered again
+    assert sorted(r.text for r in index.read().collect()) == ["a", "b"]
+
+
+def test_compaction_keeps_what_is_live_and_the_tombstones_of_older_writes(spark, tmp_path):
+    index = ChunkIndex(spark, str(tmp_path / "index"), buckets=2)
+    gone = spark.createDataFrame([(1, 2)], "matter_id long, file_id long")
+    index.write(_chunks(spark, [(1, 1, 0, "a"), (1, 2, 0, "b"), (1, 3, 0, "c")]))
+    index.write(_chunks(spark, [(1, 3, 0, "c2"), (1, 4, 0, "d")]))
+    index.write(_chunks(spark, [(1, 4, 0, "d2")]), gone=gone)
+    want = ["a", "c2", "d2"]
+    for newest in (2, None):
+        index.compact(newest)
+        assert sorted(r.text for r in index.read().collect()) == want
+        index.vacuum()
+        assert sorted(r.text for r in index.read().collect()) == want
+    assert len(index.manifest()["writes"]) == 1 and index.write(_chunks(spark, [(1, 1, 0, "a2")])) == 6
+    assert sorted(r.text for r in index.read().collect()) == ["a2", "c2", "d2"]
+
+
+def test_only_buckets_that_may_hold_a_content_are_read(spark, tmp_path):
+    index = ChunkIndex(spark, str(tmp_path / "index"), buckets=16)
+    rows = spark.createDataFrame([(1, f, 0, f"t{f}", f"sha{f}") for f in range(400)], "matter_id long, file_id long, chunk_index int, text string, content_sha256 string")
+    index.write(rows)
+    asked = spark.createDataFrame([(1, "sha7"), (2, "sha7"), *[(1, f"other{i}") for i in range(30)]], "matter_id long, content_sha256 string")
+    held = index.holders(asked)
+    assert [tuple(r) for r in held.collect()] == [(1, "sha7", 7)]
+    assert 1 <= len(index.buckets_to_read(asked, index.manifest()["writes"])) <= 3
+    assert "PartitionFilters: [isnotnull(content_bucket" in held._jdf.queryExecution().executedPlan().toString()
+    assert index.holders(asked.filter("content_sha256 LIKE 'other%'")).count() == 0
+    index.write(gone=spark.createDataFrame([(1, 7)], "matter_id long, file_id long"))
+    assert index.holders(asked).count() == 0
+
+
+def test_membership_filters(spark):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    others = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("key"))
+    filters = membership.build(keys, 4)
+    assert membership.probe(filters, keys, 4).count() == 3000
+    assert membership.probe(filters, others, 4).count() < 100
+
+
 def test_index_metadata_and_result_tables(spark, tmp_path):
     df = spark.createDataFrame([("c", [1.0, 2.0], "m", "s"), ("c", [1.0, 2.0], None, "s")], "collection string, embedding array<float>, embed_model string, content_sha256 string")
     assert sinks.index_metadata(df).first().asDict() == {"collection": "c", "chunks": 2, "dim": 2, "embed_model": "m", "content_sha256": "s"}

@@ -1,6 +1,7 @@
 """Streams against their batch twins, driven to the end of the input."""
 
 import datetime as dt
+import random
 import time
 
 from pyspark.sql import Window
@@ -79,7 +80,8 @@ def heartbeats(spark):
 
 def test_liveness_reports_silence_and_final_states(spark, tmp_path):
     ev = heartbeats(spark)
-    out = drain(runs.run_liveness(stream_of(spark, ev, str(tmp_path / "h"), parts=4)), "liveness", "append")
+    with runs.keyed_state(spark):
+        out = drain(runs.run_liveness(stream_of(spark, ev, str(tmp_path / "h"), parts=4)), "liveness", "append")
     last = {}
     for r in out.collect():
         last.setdefault(r.run_id, []).append(r.status)
@@ -88,6 +90,47 @@ def test_liveness_reports_silence_and_final_states(spark, tmp_path):
     assert twin == {k: v[-1] for k, v in last.items()}
 
 
+def plain_starts(rows):
+    """One active run per matter, event by event."""
+    held, known, out = {}, set(), []
+    for at, run, matter, status, _ in sorted(rows, key=lambda r: (r[0], r[4])):
+        holder, seen = held.get(matter, (None, None))
+        if holder and (at - seen).total_seconds() > 120:
+            holder = None
+        if holder == run:
+            held[matter] = (None if status in K.TERMINAL else run, at)
+            continue
+        if status in K.ACTIVE and (matter, run) not in known:
+            known.add((matter, run))
+            if holder is None:
+                holder, seen = run, at
+            out.append((matter, run, holder, holder == run))
+        held[matter] = (holder, seen)
+    return sorted(out)
+
+
+def test_one_active_run_per_matter(spark, tmp_path):
+    rng, at, rows = random.Random(8), dt.datetime(2024, 1, 1), []
+    for i in range(300):
+        at += dt.timedelta(seconds=rng.choice([1, 30, 30, 200]))
+        rows.append((at, f"r{rng.randrange(40)}", rng.choice([1, 1, 1, 2]), rng.choice(["queued", "running", "running", "done", "failed"]), i))
+    ev = spark.createDataFrame(rows, "at timestamp, run_id string, matter_id long, status string, event_id long")
+    with runs.keyed_state(spark):
+        out = drain(runs.active_runs(stream_of(spark, ev, str(tmp_path / "a"), parts=4)), "active", "append")
+    got = sorted((r.matter_id, r.run_id, r.holder, r.granted) for r in out.collect())
+    assert got == plain_starts(rows) and len({g[3] for g in got}) == 2
+
+
+def test_a_run_is_forgotten_after_its_time(spark, tmp_path):
+    at = dt.datetime(2024, 1, 1)
+    rows = [(at, "old", 1, "running", 1), (at + dt.timedelta(seconds=1), "old", 1, "done", 2), (at + dt.timedelta(days=40), "tick", 2, "done", 3),
+            (at + dt.timedelta(days=80), "tock", 2, "done", 4), (at + dt.timedelta(days=81), "old", 1, "running", 5)]
+    ev = spark.createDataFrame(rows, "at timestamp, run_id string, matter_id long, status string, event_id long")
+    with runs.keyed_state(spark):
+        out = drain(runs.run_liveness(stream_of(spark, ev, str(tmp_path / "f"), parts=5)), "forgotten", "append")
+    assert [r.status for r in out.collect() if r.run_id == "old"][-1] in ("running", "interrupted")
+
+
 def test_activity_spells_close_on_silence(spark, tmp_path):
     out = drain(runs.activity_spells(stream_of(spark, heartbeats(spark), str(tmp_path / "s"))), "spells", "append")
     assert {(r.run_id, r.beats) for r in out.collect() if r.run_id in ("quiet", "fine")} == {("quiet", 2), ("fine", 4)}

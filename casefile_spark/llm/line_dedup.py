@@ -5,7 +5,8 @@ from the start. In a leaf a token that enough documents' lines have at its place
 field. Lines are dropped when documents enough share their template and enough of it is not field.
 
 Lines meet as distinct texts with their number of documents, so a line in a third of all documents is one row, and only
-leaves that recur across documents are looked at token by token. What is counted are documents: where one has several
+leaves that recur across documents are looked at token by token. Token rows carry the line's number and the leaf's digest,
+never the line, so a line of 200,000 characters is as light as any. What is counted are documents: where one has several
 lines of a leaf, those beyond the first that agree in what is counted are taken off again.
 """
 
@@ -14,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from .storage import Workspace
 
 MIN_DOCS = 5
@@ -33,13 +35,34 @@ def _leaf(tokens: Column) -> Column:
     return F.concat_ws(" ", F.size(tokens).cast("string"), lead)
 
 
+def _digest(leaf: Column) -> Column:
+    return F.unhex(F.md5(leaf.cast("binary")))
+
+
+def _begins(line: Column) -> Column:
+    """The first token, a field if it holds a digit: lines of one leaf agree in it."""
+    token = F.regexp_extract(line, r"[^\x20\x09\x0B-\x0D]+", 0)
+    return F.when(token.rlike("[0-9]"), F.lit(FIELD)).otherwise(token)
+
+
+def _repeated(items: Column) -> Column:
+    """Values that an array holds twice or more."""
+    return let(F.array_sort(items), lambda ordered: F.array_distinct(F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))))
+
+
 def _several(docs: DataFrame) -> DataFrame:
-    """``key``, ``leaf``, ``line`` of the distinct lines of documents that have two or more in one leaf; found row by row."""
-    leafed = F.transform(F.array_distinct(F.split("text", "\n")), lambda x: F.struct(_leaf(_tokens(x)).alias("leaf"), x.alias("line")))
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.filter(leafed, lambda x: x["leaf"] != "0").alias("lines"))
-    rows = rows.withColumn("leaves", F.array_sort(F.col("lines.leaf")))
-    rows = rows.withColumn("twice", F.array_distinct(F.filter("leaves", lambda x, i: x == F.get("leaves", i - 1)))).filter(F.size("twice") > 0)
-    return rows.select("key", F.explode(F.filter("lines", lambda x: F.array_contains("twice", x["leaf"]))).alias("x")).select("key", "x.leaf", "x.line")
+    """``key``, ``leaf``, ``line`` of the distinct lines of documents that have two or more in one leaf; found row by row.
+
+    Only lines that begin like another one of their document are cut into tokens.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.array_distinct(F.split("text", "\n")).alias("lines")).filter(F.size("lines") > 1)
+    rows = rows.withColumn("begun", F.transform("lines", lambda x: F.struct(_begins(x).alias("b"), x.alias("line"))))
+    rows = rows.withColumn("again", _repeated(F.filter(F.col("begun")["b"], lambda b: b != ""))).filter(F.size("again") > 0)
+    rows = rows.select("key", F.filter("begun", lambda x: F.array_contains("again", x["b"]))["line"].alias("lines"))  # few values each
+    rows = rows.withColumn("leafed", F.transform("lines", lambda x: F.struct(_leaf(_tokens(x)).alias("leaf"), x.alias("line"))))
+    rows = rows.withColumn("twice", _repeated(F.col("leafed")["leaf"])).filter(F.size("twice") > 0)
+    rows = rows.select("key", F.explode(F.filter("leafed", lambda x: F.array_contains("twice", x["leaf"]))).alias("x"))
+    return rows.select("key", _digest(F.col("x.leaf")).alias("leaf"), "x.line")
 
 
 def _documents(lines: DataFrame, several: DataFrame, *by: str) -> DataFrame:
@@ -57,22 +80,27 @@ def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> Dat
     """``line``, ``template``, ``docs`` of the distinct lines whose template stands in ``min_docs`` documents or more."""
     lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
     lines = lines.groupBy("line").agg(F.count("*").alias("docs")).withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") > 0)
-    lines = lines.select("line", "docs", _leaf(F.col("tokens")).alias("leaf"))
+    lines = lines.select(F.monotonically_increasing_id().alias("id"), "line", "docs", _digest(_leaf(F.col("tokens"))).alias("leaf"))
     lines = work.keep(lines, "lines")
     several = work.keep(_several(docs), "several")
     work.drop()
     leaves = work.keep(_documents(lines, several, "leaf").filter(F.col("n") >= min_docs).select("leaf"), "leaves")
-    live = lines.join(leaves, "leaf")
-    tokens = _words(live, "line", "docs", "leaf")
+    live = work.keep(lines.join(leaves, "leaf"), "live")
+    work.drop("lines")
+    tokens = _words(live, "id", "leaf", "docs")
     fixed = _words(several.join(leaves, "leaf"), "key", "leaf").filter(F.col("token") != FIELD)
     common = _documents(tokens.filter(F.col("token") != FIELD), fixed, "leaf", "place", "token").filter(F.col("n") >= min_docs)
     common = work.keep(common.select("leaf", "place", "token", F.lit(True).alias("constant")), "constants")
-    marked = tokens.join(common, ["leaf", "place", "token"], "left")
-    word = F.when(F.col("constant"), F.col("token")).otherwise(F.lit(FIELD))
-    shaped = marked.groupBy("line", "docs", "leaf").agg(F.sort_array(F.collect_list(F.struct("place", word.alias("word")))).alias("words"), F.count("constant").alias("constants"))
-    shaped = shaped.filter(F.col("constants") >= CONSTANT * F.size("words")).select("line", "docs", F.concat_ws(" ", F.col("words.word")).alias("template"))
-    shaped = work.keep(shaped, "shaped")
-    work.drop("lines", "leaves", "constants")
+    work.drop("leaves")
+    marked = tokens.drop("docs").join(common, ["leaf", "place", "token"])
+    # Only constants travel on; the other places of a line are fields, and its row knows how many there are.
+    found = marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("words"))
+    size = F.size(_tokens(F.col("line")))
+    shaped = live.select("id", "line", "docs", size.alias("size")).join(found, "id").filter(F.size("words") >= CONSTANT * F.col("size"))
+    shaped = work.keep(shaped.select("line", "docs", "size", "words"), "shaped")
+    work.drop("live", "constants")
+    places = F.transform("words", lambda w: F.concat(w["place"].cast("string"), F.lit(" "), w["token"]))
+    shaped = shaped.withColumn("template", F.concat_ws(" ", F.concat(F.col("size").cast("string"), F.lit(":")), places))
     alike = several.join(shaped.select("line", "template"), "line")
     recurring = _documents(shaped, alike, "template").filter(F.col("n") >= min_docs).select("template")
     return shaped.join(recurring, "template").select("line", "template", "docs")

@@ -165,21 +165,21 @@ SQL = {
             FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
         SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, part - before)))::BIGINT AS taken FROM o""",
     "op10_line_dedup": r"""
-        WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-        l AS (SELECT line, count(*) AS docs FROM (SELECT unnest(list_distinct(lines)) AS line FROM d) GROUP BY line),
-        t AS (SELECT line, docs, list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS tokens FROM l),
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+        x AS (SELECT DISTINCT k, unnest(lines) AS line FROM d),
+        t AS (SELECT line, list_filter(regexp_split_to_array(line, '[\x20\x09\x0B-\x0D]+'), lambda x: x <> '') AS tokens FROM (SELECT DISTINCT line FROM x)),
         m AS (
-            SELECT line, docs, list_transform(tokens, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
+            SELECT line, list_transform(tokens, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
             FROM t WHERE len(tokens) > 0),
-        f AS (SELECT line, docs, tokens, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM m),
-        r AS (SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING sum(docs) >= 5)),
-        p AS (SELECT line, docs, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM r),
-        c AS (SELECT leaf, place, token FROM p WHERE token <> '<*>' GROUP BY ALL HAVING sum(docs) >= 5),
+        f AS (SELECT k, line, tokens, len(tokens) || ' ' || array_to_string(tokens[1:3], ' ') AS leaf FROM x JOIN m USING (line)),
+        r AS (SELECT * FROM f WHERE leaf IN (SELECT leaf FROM f GROUP BY leaf HAVING count(DISTINCT k) >= 5)),
+        p AS (SELECT k, line, leaf, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS place FROM r),
+        c AS (SELECT leaf, place, token FROM p WHERE token <> '<*>' GROUP BY ALL HAVING count(DISTINCT k) >= 5),
         s AS (
-            SELECT p.line, p.docs, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) AS template, count(c.token) AS constants, count(*) AS n
-            FROM p LEFT JOIN c USING (leaf, place, token) GROUP BY p.line, p.docs, p.leaf),
+            SELECT p.line, string_agg(coalesce(c.token, '<*>'), ' ' ORDER BY p.place) AS template, count(c.token) AS constants, count(*) AS n
+            FROM (SELECT DISTINCT line, leaf, place, token FROM p) AS p LEFT JOIN c USING (leaf, place, token) GROUP BY p.line, p.leaf),
         h AS (SELECT * FROM s WHERE constants >= 0.5 * n),
-        g AS (SELECT line FROM h WHERE template IN (SELECT template FROM h GROUP BY template HAVING sum(docs) >= 5)),
+        g AS (SELECT line FROM h WHERE template IN (SELECT template FROM h JOIN x USING (line) GROUP BY template HAVING count(DISTINCT k) >= 5)),
         e AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS line_no FROM d WHERE text IS NOT NULL),
         k AS (
             SELECT doc_id, count(*)::BIGINT AS n_lines, count(g.line)::BIGINT AS n_dropped,

@@ -9,7 +9,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from casefile_spark.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, secrets, simhash, substrings, token_counts, warc
+from casefile_spark.llm import decontaminate, exact_dedup, line_dedup, mixing, quality, queries, secrets, simhash, substrings, token_counts, warc
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, rep string, kept string, chain string, code string, batch string"
@@ -369,6 +369,21 @@ def test_lines_of_one_document_do_not_recur(spark):
     assert plain == {i: 0 for i in range(6)} | {i: 2 for i in range(6, 11)}
 
 
+def test_line_dedup_sql_counts_documents(spark, tmp_path):
+    """A fixture where lines and documents differ: the SQL and the operator agree on it."""
+    import duckdb
+
+    log = "\n".join(f"step {i} done" for i in range(9))
+    both = [f"part {i} of it\npart {i + 50} of it" for i in range(4)]
+    texts = [log, *both, *(f"user {i} came in\nuser {i + 50} came in\n\nword {chr(97 + i)} x y z" for i in range(5)), None, "", "w" * 200_000 + " x y", "\n\n"]
+    docs_of(spark, texts).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.execute(f"SELECT doc_id, n_lines, n_dropped, kept_sha256 FROM ({queries.SQL['op10_line_dedup']}) ORDER BY doc_id").fetchall()
+    assert [tuple(r) for r in queries.op10_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == want
+    assert sum(w[2] for w in want) == 10
+
+
 def test_empty_tables(spark):
     docs = docs_of(spark, [])
     none = spark.createDataFrame([], "doc_id long, quality int")

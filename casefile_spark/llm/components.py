@@ -42,6 +42,7 @@ def components(links: DataFrame, work: Workspace) -> DataFrame:
         if not state["n"]:
             break
         now = work.keep(_small_star(work.keep(_large_star(now), f"large{step}")), f"links{step}")
+        work.discard(f"large{step}", f"links{step - 1}")
     else:
         raise RuntimeError("components didn't settle")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import Workspace, partitions_for
+from .storage import Workspace, by_ids, partitions_for
 from .words import chunks
 
 FLUSH_BYTES = 32 << 20
@@ -169,7 +169,10 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
     text. The row with the smallest ``doc_id`` stays, a null id only if its group has no other; of rows that repeat an
     id, one stays. No rows give no rows; columns other than ``doc_id`` and ``text`` are not read.
     """
-    work = Workspace(docs.sparkSession, "exact-dedup")
+    return _found(docs, Workspace(docs.sparkSession, "exact-dedup"), bucket_bytes)
+
+
+def _found(docs: DataFrame, work: Workspace, bucket_bytes: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     local = work.keep(rows.mapInArrow(_local_copies, _LOCAL), "local")
     contents, files = _files(local.filter("content is not null").select("rep", "n", "first_doc", "first_row", "digest", "content"), work, bucket_bytes)
@@ -181,13 +184,14 @@ def exact_duplicates(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataF
 def first_copies(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns. Rows without id, and rows that share one, are told apart by their text."""
     work = Workspace(docs.sparkSession, "first-copies")
-    found = work.keep(exact_duplicates(docs, bucket_bytes), "found")
+    found = work.keep(_found(docs, work, bucket_bytes), "found")
+    work.drop("local")
     shared = work.keep(found.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("s")), "shared")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("g"))
+    gone = work.keep(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")), "gone")
     if shared.isEmpty():
-        return docs.join(gone, F.col("doc_id") == F.col("g"), "left_anti")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("s"))
-    alone = docs.join(shared, same, "left_anti").join(gone, F.col("doc_id") == F.col("g"), "left_anti")
+        return by_ids(docs, gone, "gone", kept=False)
+    same = docs["doc_id"].cast("long").eqNullSafe(shared["s"])
+    alone = by_ids(docs.join(shared, same, "left_anti"), gone, "gone", kept=False)
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
     kept = found.filter("kept").select(F.col("doc_id").alias("k"), F.col("text_sha256").alias("d")).distinct()
     both = docs.join(shared, same, "left_semi").withColumn("__digest", digest)

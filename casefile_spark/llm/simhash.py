@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import Workspace
+from .storage import Workspace, by_ids
 from .words import chunks, find_words
 
 BITS = 64
@@ -189,38 +189,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seg
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-GROUP_BLOCK = 2048
-
-
-def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int64)
-
-
-def nearest_links(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of at most ``radius`` that join all rows that such links can join, the nearest first: a minimum spanning forest.
-
-    Rows are worked off in blocks; between blocks each row keeps its nearest partner of every earlier block.
-    """
-    out: list[tuple[int, int]] = []
-    for lo in range(0, len(fps), GROUP_BLOCK):
-        block = fps[lo : lo + GROUP_BLOCK]
-        left, best, to = np.ones(len(block), bool), np.full(len(block), 1 << 30), np.zeros(len(block), np.int64)
-        now, left[0] = 0, False
-        while left.any():
-            d = _distances(block[now], block)
-            closer = left & (d < best)
-            best[closer], to[closer] = d[closer], now
-            now = int(np.where(left, best, 1 << 31).argmin())
-            if best[now] <= radius:
-                out.append((lo + int(to[now]), lo + now))
-            left[now] = False
-        for before in range(0, lo, GROUP_BLOCK):
-            other = fps[before : before + GROUP_BLOCK]
-            for i, fp in enumerate(block):
-                d = _distances(fp, other)
-                if d.min() <= radius:
-                    out.append((before + int(d.argmin()), lo + i))
-    return out
 
 
 SAMPLE = 20_000
@@ -426,10 +394,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
     prints = work.keep(rows.mapInArrow(_prints(order, shingle, similarity), _PRINT), "prints")
     firsts = work.keep(prints.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
     links = work.keep(prints.select("doc_id", "digest").join(firsts, "digest").filter("doc_id <> first").select(F.col("first").alias("a"), F.col("doc_id").alias("b")), "copies")
-    alone = prints.join(firsts.select(F.col("first").alias("doc_id")), "doc_id", "left_semi")
+    alone = by_ids(prints, links, "b", kept=False)
     dealt = alone.select("doc_id", "n", F.posexplode("prefix").alias("at", "code")).select("code", "n", "doc_id", F.col("at").cast("long").alias("at"))
     met = dealt.repartition("code").sortWithinPartitions("code", "n", "doc_id").mapInArrow(_led(similarity), "code long, n long, doc_id long, at long, leader long")
     shared = work.keep(met, "shared")
+    work.drop("firsts", "again")
     pairs = shared.filter("leader is not null").select(F.least("leader", "doc_id").alias("a"), F.greatest("leader", "doc_id").alias("b")).distinct()
     tested = None
     for step in ("led", "nearest", "every"):
@@ -444,17 +413,19 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
         pairs = work.keep(pairs, f"pairs-{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)
         ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = work.keep(rows.join(ends, "doc_id"), f"texts-{step}")
+        texts = work.keep(by_ids(rows, work.keep(ends, f"ends-{step}"), "doc_id", kept=True), f"texts-{step}")
         both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
         new = work.keep(both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(shingle, similarity), "a long, b long"), f"links-{step}")
+        work.drop(f"texts-{step}", f"ends-{step}")
         if step != "led" and not new.head(1):
             continue
         links = links.unionByName(new)
         roots = components(links, Workspace(spark, f"similar-{step}"))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id"))
+    found = work.keep(roots.select(F.col("node").alias("doc_id"), F.col("root").alias("component_id")), "components")
+    work.drop("prints", "shared", "copies", "rows", *(f"{kind}-{step}" for step in ("led", "nearest", "every") for kind in ("pairs", "links")))
+    return found
 
 
 def one_of_each_group(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` without those linked to a document of a smaller id, with all their columns."""
-    gone = similar_documents(docs, shingle, similarity).filter("doc_id <> component_id").select(F.col("doc_id").alias("g"))
-    return docs.join(gone, F.col("doc_id") == F.col("g"), "left_anti")
+    return by_ids(docs, similar_documents(docs, shingle, similarity).filter("doc_id <> component_id"), "doc_id", kept=False)

@@ -6,6 +6,7 @@ import gc
 import time
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
@@ -23,12 +24,17 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(part))
         return self.spark.read.schema(df.schema).parquet(self.path(part))
 
-    def drop(self, *parts: str) -> None:
-        """Delete tables that nothing reads any more, and let Spark's cleaner remove the shuffle files of finished steps."""
+    def discard(self, *parts: str) -> None:
+        """Delete tables that nothing reads any more."""
         sc = self.spark.sparkContext
         for part in parts:
             path = sc._jvm.org.apache.hadoop.fs.Path(self.path(part))
             path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop(self, *parts: str) -> None:
+        """``discard``, and let Spark's cleaner remove the shuffle files of finished steps."""
+        self.discard(*parts)
+        sc = self.spark.sparkContext
         for _ in range(2):
             gc.collect()
             sc._jvm.System.gc()
@@ -38,3 +44,15 @@ class Workspace:
 def partitions_for(df: DataFrame, size: float, target: float) -> int:
     """Partitions of about ``target`` for ``size`` bytes or rows, and no fewer than the session's shuffle partitions."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(size // target) + 1)
+
+
+#: Ids that are broadcast at most (8 bytes each, under 20 MB); more are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def by_ids(rows: DataFrame, ids: DataFrame, column: str, kept: bool) -> DataFrame:
+    """The rows whose ``doc_id`` is among the ids, or those whose isn't. ``ids`` is a written table, counted to choose the join."""
+    side = ids.select(F.col(column).alias("__id"))
+    if side.count() <= BROADCAST_IDS:
+        side = F.broadcast(side)
+    return rows.join(side, rows["doc_id"] == side["__id"], "left_semi" if kept else "left_anti")

@@ -186,16 +186,6 @@ def test_leaders_do_not_depend_on_batches():
         assert [g[:4] for g in got] == [r for r in rows if count[r[0]] > 1]
 
 
-def test_nearest_links_join_across_blocks(monkeypatch):
-    monkeypatch.setattr(simhash, "GROUP_BLOCK", 4)
-    fps = simhash.np.zeros((11, 8), dtype=simhash.np.uint64)
-    fps[10] = ~fps[10]
-    forest = simhash._Forest(11)
-    for a, b in simhash.nearest_links(fps, 10):
-        forest.link(a, b)
-    assert [forest.find(i) for i in range(11)] == [0] * 10 + [10]
-
-
 def test_mixing_meets_targets_and_repeats_itself(spark):
     rng = random.Random(1)
     texts = [" ".join(["w"] * rng.randint(0, 60)) for _ in range(900)] + [None]
@@ -369,6 +359,16 @@ def test_lines_of_one_document_do_not_recur(spark):
     assert plain == {i: 0 for i in range(6)} | {i: 2 for i in range(6, 11)}
 
 
+def test_dedup_stages_with_clashing_columns(spark):
+    """Columns named as the operators' own pass through, whichever join is chosen."""
+    texts = [" ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(60)), " ".join(f"w{i}" for i in range(58)), "other text of some words here"]
+    docs = docs_of(spark, texts).withColumnsRenamed({"size": "g", "rep": "gone", "kept": "__id", "chain": "s", "code": "component_id"})
+    copies = exact_dedup.first_copies(docs)
+    assert copies.columns == docs.columns and sorted(r.doc_id for r in copies.collect()) == [0, 2, 3]
+    groups = simhash.one_of_each_group(docs)
+    assert groups.columns == docs.columns and sorted(r.doc_id for r in groups.collect()) == [0, 3]
+
+
 def test_line_dedup_sql_counts_documents(spark, tmp_path):
     """A fixture where lines and documents differ: the SQL and the operator agree on it."""
     import duckdb

@@ -50,18 +50,23 @@ def _repeated(items: Column) -> Column:
     return let(F.array_sort(items), lambda ordered: F.array_distinct(F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))))
 
 
+def _once(rows: DataFrame, keep: list[str], value: Column, name: str) -> DataFrame:
+    """A generator of one row: what it makes isn't computed again for every use and every filter above it."""
+    return rows.select(*keep, F.explode_outer(F.array(value)).alias(name))
+
+
 def _several(docs: DataFrame) -> DataFrame:
     """``key``, ``leaf``, ``line`` of the distinct lines of documents that have two or more in one leaf; found row by row.
 
     Only lines that begin like another one of their document are cut into tokens.
     """
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.array_distinct(F.split("text", "\n")).alias("lines")).filter(F.size("lines") > 1)
-    rows = rows.withColumn("begun", F.transform("lines", lambda x: F.struct(_begins(x).alias("b"), x.alias("line"))))
-    rows = rows.withColumn("again", _repeated(F.filter(F.col("begun")["b"], lambda b: b != ""))).filter(F.size("again") > 0)
-    rows = rows.select("key", F.filter("begun", lambda x: F.array_contains("again", x["b"]))["line"].alias("lines"))  # few values each
-    rows = rows.withColumn("leafed", F.transform("lines", lambda x: F.struct(_leaf(_tokens(x)).alias("leaf"), x.alias("line"))))
-    rows = rows.withColumn("twice", _repeated(F.col("leafed")["leaf"])).filter(F.size("twice") > 0)
-    rows = rows.select("key", F.explode(F.filter("leafed", lambda x: F.array_contains("twice", x["leaf"]))).alias("x"))
+    lines = _once(docs.select(F.monotonically_increasing_id().alias("key"), "text"), ["key"], F.array_distinct(F.split("text", "\n")), "lines").filter(F.size("lines") > 1)
+    begun = _once(lines, ["key", "lines"], F.transform("lines", _begins), "begun")
+    again = _once(begun, ["key", "lines", "begun"], _repeated(F.filter("begun", lambda b: b != "")), "again").filter(F.size("again") > 0)
+    alike = F.filter("lines", lambda x, i: F.array_contains("again", F.get("begun", i)))  # few values each
+    leafed = _once(again, ["key"], F.transform(alike, lambda x: F.struct(_leaf(_tokens(x)).alias("leaf"), x.alias("line"))), "leafed")
+    twice = _once(leafed, ["key", "leafed"], _repeated(F.col("leafed")["leaf"]), "twice").filter(F.size("twice") > 0)
+    rows = twice.select("key", F.explode(F.filter("leafed", lambda x: F.array_contains("twice", x["leaf"]))).alias("x"))
     return rows.select("key", _digest(F.col("x.leaf")).alias("leaf"), "x.line")
 
 
@@ -79,8 +84,8 @@ def _words(lines: DataFrame, *keep: str) -> DataFrame:
 def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> DataFrame:
     """``line``, ``template``, ``docs`` of the distinct lines whose template stands in ``min_docs`` documents or more."""
     lines = docs.select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
-    lines = lines.groupBy("line").agg(F.count("*").alias("docs")).withColumn("tokens", _tokens(F.col("line"))).filter(F.size("tokens") > 0)
-    lines = lines.select(F.monotonically_increasing_id().alias("id"), "line", "docs", _digest(_leaf(F.col("tokens"))).alias("leaf"))
+    lines = _once(lines.groupBy("line").agg(F.count("*").alias("docs")), ["line", "docs"], _tokens(F.col("line")), "tokens").filter(F.size("tokens") > 0)
+    lines = lines.select(F.monotonically_increasing_id().alias("id"), "line", "docs", F.size("tokens").alias("size"), _digest(_leaf(F.col("tokens"))).alias("leaf"))
     lines = work.keep(lines, "lines")
     several = work.keep(_several(docs), "several")
     work.drop()
@@ -95,8 +100,7 @@ def templates(docs: DataFrame, work: Workspace, min_docs: int = MIN_DOCS) -> Dat
     marked = tokens.drop("docs").join(common, ["leaf", "place", "token"])
     # Only constants travel on; the other places of a line are fields, and its row knows how many there are.
     found = marked.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "token"))).alias("words"))
-    size = F.size(_tokens(F.col("line")))
-    shaped = live.select("id", "line", "docs", size.alias("size")).join(found, "id").filter(F.size("words") >= CONSTANT * F.col("size"))
+    shaped = live.select("id", "line", "docs", "size").join(found, "id").filter(F.size("words") >= CONSTANT * F.col("size"))
     shaped = work.keep(shaped.select("line", "docs", "size", "words"), "shaped")
     work.drop("live", "constants")
     places = F.transform("words", lambda w: F.concat(w["place"].cast("string"), F.lit(" "), w["token"]))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.segments import Running, block_of, running
+from ..operators import batch_run as R_
 from ..operators import exhaustive as E
 from ..operators import prompts as P
 from ..operators import retrieval as R
 from ..operators import scans as J
 from ..operators import structured as G
+from ..operators.chunking import window_chunks
 from ..session import shared_folder
 from ..sources.sinks import read_result_tables, write_result_tables
 from . import bindings as B
@@ -90,6 +92,52 @@ def e5_run_estimates(spark, sf):
     return out.select("run_id", "files", "chunks", "batches", "input_tokens", F.round("cost_low", 9).alias("cost_low"), F.round("cost_high", 9).alias("cost_high"), "seconds_low", "seconds_high")
 
 
+def _run_chunks(spark, sf):
+    """Windows of every document: its matter is the run, its place in the matter the file's."""
+    sized = _sized_files(spark, sf).filter("tokens > 0").select("matter_id", "file_id")
+    numbered = running(sized, ["matter_id"], ["file_id"], block_of(F.col("file_id")), Running("sum", F.lit(1), "_n"))
+    files = numbered.select("file_id", F.col("matter_id").alias("run_id"), (F.col("_n") - 1).alias("file_pos"))
+    windows = window_chunks(B.texts(spark, sf), "text", ["file_id"])
+    name = F.concat(F.lit("file-"), F.col("file_id").cast("string"), F.lit(".pdf"))
+    return windows.join(files, "file_id").select("run_id", "file_pos", name.alias("filename"), (F.col("window_no") + 1).alias("chunk_no"), "text")
+
+
+_RUN_MODEL = F.when(F.col("run_id") < 10, "anthropic/claude-opus-4.7").otherwise("xiaomi/mimo-v2.5")
+
+
+def e5_assembled_estimate(spark, sf):
+    """The estimate of every run beside the tokens of its messages, counted again on the assembled text."""
+    parts = R_.sized_parts(_run_chunks(spark, sf))
+    files = R_.plan_run(parts, budget=60_000)
+    batches = R_.batches_of(files)
+    sent = R_.contexts(parts, files, batches).groupBy("run_id").agg(F.sum(F.size(F.filter(F.split("context", r"\s+"), lambda t: t != ""))).alias("assembled_tokens"))
+    out = R_.estimate(batches, _RUN_MODEL, 120, _price_list(spark, sf)).join(sent, "run_id")
+    return out.select("run_id", "files", "chunks", "batches", "input_tokens", "assembled_tokens", F.round("cost_low", 9).alias("cost_low"), F.round("cost_high", 9).alias("cost_high"))
+
+
+def e6_resumed_run(spark, sf):
+    """Runs whose first attempt loses every third batch and whose second one every ninth: only those are sent again."""
+    parts = R_.sized_parts(_run_chunks(spark, sf))
+    folder = shared_folder(spark, "attempts")
+    plan = shared_folder(spark, "plan")
+    R_.plan_run(parts, budget=20_000).write.parquet(plan)
+    files = spark.read.parquet(plan)
+    batches = R_.batches_of(files)
+    for attempt, lost in ((1, 3), (2, 9)):
+        waiting = R_.pending(batches, R_.attempts(spark, folder))
+        sent = R_.contexts(parts, files, waiting).join(batches, R_.BATCH)
+        ok = F.col("batch_no") % lost != 1
+        answers = sent.select(
+            *R_.BATCH, ok.alias("ok"), F.lit(False).alias("cancelled"), F.when(ok, F.md5("context")).alias("answer"), F.col("context_tokens").alias("prompt_tokens"),
+            F.when(ok, F.col("chunks") * 10).otherwise(0).alias("completion_tokens"), F.when(~ok, "timeout").alias("error"),
+        )
+        R_.record(folder, answers, attempt)
+    tried = R_.attempts(spark, folder)
+    done = R_.outcomes(batches, tried)
+    spent = tried.groupBy("run_id").agg(F.count("*").alias("calls"), F.sum("prompt_tokens").alias("sent_tokens"))
+    return R_.summary(done).join(spent, "run_id").select("run_id", "batches", "failed_batches", "total_chunks", "prompt_tokens", "completion_tokens", "complete", "calls", "sent_tokens")
+
+
 def _outcomes(spark, sf):
     li = B.table(spark, sf, "lineitem")
     return li.select(
@@ -419,7 +467,7 @@ def j5_hallmarks(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    e1_token_counts, e2_batches, e2_batches_whole_corpus, e3_billing_tokens, e4_run_cost, e5_run_estimates, e6_run_summary, e6_run_warnings,
+    e1_token_counts, e2_batches, e2_batches_whole_corpus, e3_billing_tokens, e4_run_cost, e5_run_estimates, e5_assembled_estimate, e6_resumed_run, e6_run_summary, e6_run_warnings,
     f1_retrieval_text, f2_request_section, f3_context_message, f4_system_prompts, f5_comparison_message, f6_missing_inputs, f7_pleading_errors,
     f8_task_availability, f9_scope_verdicts, f9_scope_files, g1_split_block, g2_timeline_rows, g2_quarantine, g3_complete_dates,
     g4_square_cells, g5_markdown_rows, g5_long_tables, g5_reconcile, g6_collapse_lines, g6_collapse_count, g7_markdown_tables, g8_export_tables, a10_result_tables,
@@ -441,6 +489,11 @@ fold AS (SELECT {keys}, pos, tokens AS running, 0 AS batch_no FROM sized WHERE p
 _SIZED = f"""
 sized AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS matter_id, {_N_TOKENS} AS tokens,
   row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents)"""
+_RUN_FILES = f"""
+src AS (SELECT regexp_extract(source, '(\\d+)$', 1)::BIGINT AS matter_id, doc_id, {_N_TOKENS} AS n FROM documents WHERE {_N_TOKENS} > 0),
+win AS (SELECT *, unnest(range(0, greatest(n - 101, 0) // 600 + 1)) AS k FROM src),
+whole AS (SELECT matter_id, doc_id, sum(4 + least(700, n - 600 * k))::BIGINT AS tokens, count(*) AS chunks FROM win GROUP BY ALL),
+sized AS (SELECT *, row_number() OVER (PARTITION BY matter_id ORDER BY doc_id) - 1 AS pos FROM whole)"""
 _USAGE = """
 u AS (SELECT o_orderkey AS run_id, CASE o_orderpriority WHEN '1-URGENT' THEN 'anthropic/claude-opus-4.7' WHEN '2-HIGH' THEN 'xiaomi/mimo-v2.5'
   ELSE 'm-' || (o_custkey % 100) END AS model, floor(o_totalprice) AS tokens_in, floor(o_totalprice / 4) AS tokens_out FROM orders),
@@ -497,6 +550,23 @@ i AS (SELECT *, CASE WHEN run_id < 10 THEN trunc(counted::DOUBLE * 1.65::DOUBLE)
   CASE WHEN run_id < 10 THEN 5 ELSE 0.14 END AS pi, CASE WHEN run_id < 10 THEN 25 ELSE 0.28 END AS po FROM r)
 SELECT run_id, n AS files, n AS chunks, batches, input_tokens, round(input_tokens / 1e6 * pi + greatest(2000, n * 80) / 1e6 * po, 9) AS cost_low,
   round(input_tokens / 1e6 * pi + greatest(8000, n * 300) / 1e6 * po, 9) AS cost_high, batches * 90 AS seconds_low, batches * 240 AS seconds_high FROM i""",
+    "e5_assembled_estimate": f"""
+WITH RECURSIVE {_RUN_FILES},{_next_fit('matter_id', 52000)},
+b AS (SELECT matter_id, batch_no, max(tokens > 52000) AS over, count(*) AS files, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens
+  FROM sized JOIN fold USING (matter_id, pos) GROUP BY ALL),
+r AS (SELECT matter_id AS run_id, sum(files)::BIGINT AS files, sum(chunks)::BIGINT AS chunks, count(*) AS batches, (sum(tokens) + 120 * count(*))::BIGINT AS counted,
+  sum(tokens) FILTER (NOT over)::BIGINT AS assembled_tokens FROM b GROUP BY 1),
+i AS (SELECT *, CASE WHEN run_id < 10 THEN trunc(counted::DOUBLE * 1.65::DOUBLE)::BIGINT ELSE counted END AS input_tokens,
+  CASE WHEN run_id < 10 THEN 5 ELSE 0.14 END AS pi, CASE WHEN run_id < 10 THEN 25 ELSE 0.28 END AS po FROM r)
+SELECT run_id, files, chunks, batches, input_tokens, assembled_tokens, round(input_tokens / 1e6 * pi + greatest(2000, chunks * 80) / 1e6 * po, 9) AS cost_low,
+  round(input_tokens / 1e6 * pi + greatest(8000, chunks * 300) / 1e6 * po, 9) AS cost_high FROM i""",
+    "e6_resumed_run": f"""
+WITH RECURSIVE {_RUN_FILES},{_next_fit('matter_id', 12000)},
+b AS (SELECT matter_id AS run_id, batch_no, max(tokens > 12000) AS over, sum(chunks)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens FROM sized JOIN fold USING (matter_id, pos) GROUP BY ALL),
+o AS (SELECT *, batch_no % 3 <> 1 OR batch_no % 9 <> 1 AS ok, CASE WHEN batch_no % 3 = 1 THEN 2 ELSE 1 END AS calls FROM b WHERE NOT over)
+SELECT run_id, count(*) AS batches, count(*) FILTER (NOT ok) AS failed_batches, sum(chunks)::BIGINT AS total_chunks, sum(tokens)::BIGINT AS prompt_tokens,
+  sum(CASE WHEN ok THEN chunks * 10 ELSE 0 END)::BIGINT AS completion_tokens, bool_and(ok) AS complete, sum(calls)::BIGINT AS calls, sum(tokens * calls)::BIGINT AS sent_tokens
+FROM o GROUP BY run_id""",
     "e6_run_summary": f"WITH {_OUT} SELECT * EXCLUDE (files) FROM s",
     "e6_run_warnings": f"""
 WITH {_OUT},

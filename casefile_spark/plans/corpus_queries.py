@@ -54,6 +54,27 @@ def _page_text(spark, sf):
     )
 
 
+def a1_corpus_scan(spark, sf):
+    """Pages as one file each: half of them are scanned, then the others arrive and the second scan reads only those."""
+    from ..session import shared_folder
+
+    folder, ledger = shared_folder(spark, "pages"), shared_folder(spark, "seen")
+    pages = B.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    for scan, part in ((1, "page_id % 2 = 0"), (2, "page_id % 2 <> 0")):
+        arriving = pages.filter(part).repartition("page_id")
+        arriving.write.mode("append").partitionBy("page_id").text(folder)
+        seen = spark.read.schema(f"{files.LISTED}, scan int").parquet(ledger) if scan > 1 else spark.createDataFrame([], f"{files.LISTED}, scan int")
+        listed = files.list_corpus(spark, folder).filter("file_type = 'txt'")
+        files.new_files(listed, seen).withColumn("scan", F.lit(scan)).write.mode("append").parquet(ledger)
+    seen = spark.read.parquet(ledger)
+    scans = []
+    for scan in (1, 2):
+        good, _ = files.scan_files(spark, folder, seen.filter(F.col("scan") == scan).drop("scan"), suffixes=(".txt",))
+        scans.append(good.withColumn("scan", F.lit(scan)))
+    page = F.regexp_extract("stored_path", r"page_id=(\d+)", 1).cast("long")
+    return scans[0].unionByName(scans[1]).select(page.alias("page_id"), "scan", "length", "content_sha256", "collection")
+
+
 def a2_page_triage(spark, sf):
     t = pages.triage_pages(_page_text(spark, sf))
     return t.select("file_id", "page_no", "status", F.coalesce(F.md5("text"), F.lit("")).alias("digest"))
@@ -350,7 +371,7 @@ def c10_files_to_reprocess(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    a1_content_hash, a2_page_triage, a3_message_bodies, a4_message_headers, a5_html_to_text, a9_chunk_index, k4_purge_index, a11_catalogue,
+    a1_content_hash, a1_corpus_scan, a2_page_triage, a3_message_bodies, a4_message_headers, a5_html_to_text, a9_chunk_index, k4_purge_index, a11_catalogue,
     a12_model_catalogue, b1_token_windows, b2_page_chunks, b3_message_chunks, b4_heading_levels, b5_heading_paths,
     b6_block_locators, b7_table_labels, b8_event_runs, b9_section_chunks, b9_turn_sections, b10_table_chunks,
     b11_used_columns, b12_header_rows, b13_sheet_rows, b14_sheet_chunks, b15_chunk_ids, b16_block_stats, b16_sheet_stats,
@@ -418,6 +439,9 @@ SQL = {
     "a1_content_hash": """
 SELECT doc_id, sha256(text) AS content_sha256, 'm' || regexp_extract(source, '(\\d+)$', 1) || '-' || substr(sha256(text), 1, 16) AS collection,
   'day1-' || substr(sha256(text), 1, 16) AS loose_collection FROM documents""",
+    "a1_corpus_scan": """
+WITH f AS (SELECT page_id, coalesce(html, '') || chr(10) AS body FROM pages)
+SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END AS scan, octet_length(encode(body)) AS length, sha256(body) AS content_sha256, 'day1-' || substr(sha256(body), 1, 16) AS collection FROM f""",
     "a2_page_triage": f"""
 WITH {_PAGE_TEXT} SELECT file_id, page_no, status, CASE WHEN status IN ('native', 'ocr') THEN md5(text) ELSE '' END AS digest FROM triage""",
     "a3_message_bodies": """

@@ -25,24 +25,50 @@ def suffix_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"(\.[^./\\]+)$", 1))
 
 
-def scan_corpus(spark: SparkSession, folder: str, matter_id: int | None = None) -> DataFrame:
-    """One row per accepted file under ``folder``. Bytes are hashed in the scan and not kept."""
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(folder)
-        .withColumn("filename", F.element_at(F.split("path", "/"), -1))
-        .withColumn("file_type", F.substring(suffix_of(F.col("filename")), 2, 10))
-        .filter(suffix_of(F.col("filename")).isin(*ACCEPTED_SUFFIXES))
+#: Larger files are not read: their bytes have to fit one row.
+MAX_BYTES = 1 << 30
+LISTED = "path string, modificationTime timestamp, length long, filename string, file_type string"
+
+
+def _binary(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+
+
+def list_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Path, modification time, length, name and type of every file that isn't empty; no byte of the files is read."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return _binary(spark, folder).select("path", "modificationTime", "length", name.alias("filename"), F.substring(suffix_of(name), 2, 10).alias("file_type"))
+
+
+def new_files(listed: DataFrame, seen: DataFrame) -> DataFrame:
+    """Files not seen before, or changed since: path, time and length together tell."""
+    return listed.join(seen.select("path", "modificationTime", "length"), ["path", "modificationTime", "length"], "left_anti").select(*listed.columns)
+
+
+def scan_files(spark: SparkSession, folder: str, files: DataFrame, matter_id: int | None = None, suffixes: tuple[str, ...] = ACCEPTED_SUFFIXES, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """The accepted files among ``files`` (rows of ``list_corpus``) with the hash of their content, and the quarantine.
+
+    Only files at least as new as the oldest wanted one are opened: the time goes down to the listing. A file that can't
+    be read doesn't fail the scan; it is in the quarantine with its reason, as are too large and foreign ones.
+    """
+    reason = (
+        F.when(~F.coalesce(F.concat(F.lit("."), "file_type"), F.lit("")).isin(*suffixes), "suffix").when(F.col("length") > max_bytes, "too large")
     )
-    sha = content_hash(F.col("content"))
-    return found.select(
-        F.lit(matter_id).cast("long").alias("matter_id"),
-        "filename",
-        "file_type",
-        F.col("path").alias("stored_path"),
-        "length",
-        sha.alias("content_sha256"),
-        collection_name(F.lit(matter_id).cast("long"), sha).alias("collection"),
-        F.col("modificationTime").alias("created_at"),
+    judged = files.withColumn("reason", reason)
+    wanted = judged.filter("reason IS NULL").drop("reason")
+    since = wanted.agg(F.min("modificationTime")).first()[0]
+    read = _binary(spark, folder).filter((F.col("modificationTime") >= F.lit(since)) & (F.col("length") <= max_bytes))
+    hashed = read.select("path", content_hash(F.col("content")).alias("content_sha256"))
+    both = wanted.join(hashed, "path", "left")
+    bad = both.filter("content_sha256 IS NULL").select(*files.columns, F.lit("unreadable").alias("reason"))
+    matter = F.lit(matter_id).cast("long")
+    good = both.filter("content_sha256 IS NOT NULL").select(
+        matter.alias("matter_id"), "filename", "file_type", F.col("path").alias("stored_path"), "length", "content_sha256",
+        collection_name(matter, F.col("content_sha256")).alias("collection"), F.col("modificationTime").alias("created_at"),
     )
+    return good, judged.filter("reason IS NOT NULL").unionByName(bad)
+
+
+def scan_corpus(spark: SparkSession, folder: str, matter_id: int | None = None) -> DataFrame:
+    """One row per accepted file under ``folder``. Bytes are hashed in the scan and not kept."""
+    return scan_files(spark, folder, list_corpus(spark, folder), matter_id)[0]

@@ -116,6 +116,29 @@ def test_a_bucket_that_lost_its_last_file_is_empty(spark, tmp_path):
     assert [r.text for r in sinks.read_chunks(spark, folder).collect()] == ["next"]
 
 
+def test_a_second_scan_reads_new_files_and_quarantines_bad_ones(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "c"
+    folder.mkdir()
+    for name, body in (("a.pdf", b"one"), ("big.docx", b"x" * 500), ("note.txt", b"no")):
+        (folder / name).write_bytes(body)
+    listed = files.list_corpus(spark, str(folder))
+    good, bad = files.scan_files(spark, str(folder), listed, max_bytes=100)
+    assert [r.filename for r in good.collect()] == ["a.pdf"]
+    assert {r.filename: r.reason for r in bad.collect()} == {"big.docx": "too large", "note.txt": "suffix"}
+    seen = spark.createDataFrame(listed.collect(), files.LISTED)
+    (folder / "b.eml").write_bytes(b"two")
+    (folder / "a.pdf").write_bytes(b"one, changed")
+    os.utime(folder / "b.eml", (1_000_000_000, 1_000_000_000))  # copied with an old time
+    fresh = files.new_files(files.list_corpus(spark, str(folder)), seen)
+    assert sorted(r.filename for r in fresh.collect()) == ["a.pdf", "b.eml"]
+    good, bad = files.scan_files(spark, str(folder), fresh)
+    assert {r.filename: r.content_sha256 for r in good.collect()} == {"a.pdf": hashlib.sha256(b"one, changed").hexdigest(), "b.eml": hashlib.sha256(b"two").hexdigest()}
+    gone = spark.createDataFrame([(f"file:{folder}/lost.pdf", *fresh.first()[1:3], "lost.pdf", "pdf")], files.LISTED)
+    assert [r.reason for r in files.scan_files(spark, str(folder), gone)[1].collect()] == ["unreadable"]
+
+
 def test_readers_see_the_old_version_during_and_after_a_failed_write(spark, tmp_path, monkeypatch):
     index = ChunkIndex(spark, str(tmp_path / "index"), buckets=2)
     assert index.read().count() == 0

@@ -6,9 +6,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+TILE = 1_000
+
 
 @dataclass(frozen=True)
 class Vectoriser:
@@ -31,16 +33,35 @@ def fit_vectoriser(corpus: DataFrame, text: str = "text", dim: int = 1024) -> Ve
     return Vectoriser(tuple(float(np.log((texts + 1) / (held[b] + 1))) if b in held else 0.0 for b in range(dim)))
 
 
+def save(model: Vectoriser, spark: SparkSession, folder: str) -> None:
+    """Keep a fitted vectoriser as a table of buckets and weights; buckets no text has are left out."""
+    rows = [(b, w) for b, w in enumerate(model.idf) if w]
+    spark.createDataFrame([(len(model.idf), rows)], "dim int, weights array<struct<bucket: int, idf: double>>").write.parquet(folder)
+
+
+def load(spark: SparkSession, folder: str) -> Vectoriser:
+    row = spark.read.parquet(folder).first()
+    held = {r["bucket"]: r["idf"] for r in row["weights"]}
+    return Vectoriser(tuple(held.get(b, 0.0) for b in range(row["dim"])))
+
+
 def vectorise(model: Vectoriser, df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
-    """Word counts per bucket times their weight, unit length; a text without known words stays zero."""
-    dim = len(model.idf)
+    """Word counts per bucket times their weight, unit length; a text without known words stays zero.
 
-    def unit(buckets: np.ndarray) -> np.ndarray:
-        v = np.bincount(buckets, minlength=dim) * np.array(model.idf)
-        return v / (np.sqrt((v * v).sum()) or 1.0)
+    The texts of a batch are counted together, ``TILE`` rows at a time.
+    """
+    dim = len(model.idf)
 
     @F.pandas_udf("array<double>")
     def weighted(buckets: pd.Series) -> pd.Series:
-        return buckets.map(unit)
+        idf, done = np.array(model.idf), []
+        for lo in range(0, len(buckets), TILE):
+            some = buckets.iloc[lo : lo + TILE]
+            row = np.repeat(np.arange(len(some)), some.str.len())
+            flat = np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64)
+            v = np.bincount(row * dim + flat, minlength=len(some) * dim).reshape(-1, dim) * idf
+            length = np.sqrt((v * v).sum(axis=1))
+            done += list(v / np.where(length == 0, 1.0, length)[:, None])
+        return pd.Series(done)
 
     return df.withColumn(out, weighted(_buckets(F.col(text), dim)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import retrieval as R
 from ..operators import vectorise as V
+from ..session import shared_folder
 from . import bindings as B
 
 # Shared SQL: unit vectors, mean vector per label, exact scores of every (query, vector) pair.
@@ -154,9 +155,10 @@ def d12_coverage_share(spark, sf):
 
 
 def d13_text_query_top_k(spark, sf):
-    """Benchmark passages as text queries against all documents, on vectors fitted here."""
-    d = B.table(spark, sf, "documents")
-    model = V.fit_vectoriser(d, "text", dim=512)
+    """Benchmark passages as text queries against all documents, on a vectoriser fitted on these, saved and loaded again."""
+    d, folder = B.table(spark, sf, "documents"), shared_folder(spark, "vectoriser")
+    V.save(V.fit_vectoriser(d, "text", dim=512), spark, folder)
+    model = V.load(spark, folder)
     chunks = V.vectorise(model, d).select(
         F.col("source").alias("collection"), B.matter_of(F.col("source")).alias("collection_pos"),
         F.col("doc_id").alias("chunk_no"), F.col("doc_id").cast("string").alias("chunk_key"), "embedding",

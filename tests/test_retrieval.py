@@ -90,9 +90,12 @@ def test_parity(spark, chunks):
     assert not all(r.parity for r in R.vector_parity(good, bad, ["collection"]).collect())
 
 
-def test_text_vectors_find_the_text(spark):
+def test_text_vectors_find_the_text(spark, tmp_path):
     docs = spark.createDataFrame([(0, "water leak in the pipe"), (1, "parking dispute with a neighbour"), (2, None)], "i int, text string")
-    model = V.fit_vectoriser(docs, dim=256)
+    fitted, folder = V.fit_vectoriser(docs, dim=256), str(tmp_path / "model")
+    V.save(fitted, spark, folder)
+    model = V.load(spark, folder)
+    assert model == fitted
     c = V.vectorise(model, docs).select(F.lit("c").alias("collection"), F.lit(0).alias("collection_pos"), F.col("i").alias("chunk_no"), F.col("i").alias("chunk_key"), "embedding")
     q = V.vectorise(model, spark.createDataFrame([("the leak",)], "text string")).select(F.lit(1).alias("query_id"), F.lit(1).alias("k"), "embedding")
     assert R.search_across(c, q).first().chunk_key == "0"

@@ -316,7 +316,10 @@ def _led(similarity: float):
 
 
 def _across(similarity: float, every: bool):
-    """Rows sorted by code and pair of blocks: possible pairs of different roots; of each two roots the nearest alone, or all."""
+    """Rows sorted by code and pair of blocks: possible pairs of different roots; of each two roots the nearest alone, or all.
+
+    A pair comes under the first code that both have: where an earlier one (``seen``) is common too, it has come there.
+    """
 
     def pairs(table: pa.Table) -> list[np.ndarray]:
         lo, hi, block, n, at, doc, root = (table[c].to_numpy() for c in ("lo", "hi", "block", "n", "at", "doc_id", "root"))
@@ -331,6 +334,10 @@ def _across(similarity: float, every: bool):
         apart = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(bits[i[k : k + 20_000]] ^ bits[j[k : k + 20_000]]).sum(axis=1, dtype=np.int64) for k in range(0, i.size, 20_000))])
         near = apart <= (1 - similarity) / (1 + similarity) * (n[i] + n[j]) + 1e-6
         i, j, apart = i[near], j[near], apart[near]
+        if i.size:
+            seen = [frozenset(c) for c in table["seen"].to_pylist()]
+            first = np.fromiter((seen[x].isdisjoint(seen[y]) for x, y in zip(i.tolist(), j.tolist())), bool, i.size)
+            i, j, apart = i[first], j[first], apart[first]
         if not every and i.size:
             one, two = np.minimum(root[i], root[j]), np.maximum(root[i], root[j])
             order = np.lexsort((apart, two, one))
@@ -406,9 +413,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8
             rooted = shared.drop("leader").join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
             live = rooted.groupBy("code").agg(F.count("*").alias("size"), F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1")
             live = rooted.join(live.select("code", F.ceil(F.col("size") / PAIR_BLOCK).alias("blocks")), "code")
+            # What a document met under before: a prefix is ordered alike in all documents, so these come first for both.
+            ordered = live.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("codes"))
+            live = live.join(ordered, "doc_id").withColumn("seen", F.filter("codes", lambda x: x["at"] < F.col("at"))["code"]).drop("codes")
             live = live.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             live = live.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).join(prints.select("doc_id", "sketch"), "doc_id")
-            live = live.select("code", "lo", "hi", "block", "n", "at", "doc_id", "root", "sketch").repartition("code", "lo", "hi").sortWithinPartitions("code", "lo", "hi")
+            live = live.select("code", "lo", "hi", "block", "n", "at", "doc_id", "root", "sketch", "seen").repartition("code", "lo", "hi").sortWithinPartitions("code", "lo", "hi")
             pairs = live.mapInArrow(_across(similarity, step == "every"), "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         pairs = work.keep(pairs, f"pairs-{step}")
         tested = pairs if tested is None else tested.unionByName(pairs)

@@ -23,7 +23,6 @@ DEFENDANT_TYPES = (
     "Statement of Defence (Superior Court of Justice)",
     "Defence — Form 9A (Small Claims Court)",
 )
-MAX_TEMPLATES = 500
 PICK_TYPE = "Select a pleading type."
 NEED_PARTICULARS = (
     "Plaintiff pleadings require claim particulars (the causes of action being advanced and the relief sought)."
@@ -120,18 +119,17 @@ def task_position(task: Column) -> Column:
 def task_availability(matters: DataFrame, files: DataFrame, templates: DataFrame) -> DataFrame:
     """Every task of every matter with its refusal, from live searchable file counts.
 
-    templates (task, label) is the fixed task list; it rides along as one array per matter.
+    templates: task, label. The result has a row for every matter and task; the tasks, which the result repeats for every
+    matter, are gathered in one row and met by a key that all matters have, so nothing passes through the driver.
     """
     live = files.filter(F.col("deleted_at").isNull() & F.col("queryable"))
     counts = live.groupBy("matter_id").agg(F.count("*").cast("int").alias("_n"))
-    listed = templates.select("task", "label").limit(MAX_TEMPLATES + 1).collect()
-    if len(listed) > MAX_TEMPLATES:
-        raise ValueError("the template table is a short task list; join larger ones by task instead")
-    tasks = [F.struct(F.lit(r["task"]).alias("task"), F.lit(r["label"]).alias("label")) for r in listed]
+    listed = templates.agg(F.collect_list(F.struct("task", "label")).alias("_tasks")).withColumn("_all", F.lit(True))
     return (
-        matters.select("matter_id").join(counts, "matter_id", "left")
+        matters.select("matter_id").join(counts, "matter_id", "left").withColumn("_all", F.lit(True))
+        .join(listed, "_all")
         .withColumn("queryable_files", F.coalesce("_n", F.lit(0)))
-        .select("matter_id", "queryable_files", F.inline(F.array(*tasks)))
+        .select("matter_id", "queryable_files", F.inline("_tasks"))
         .withColumn("position", task_position(F.col("task")))
         .withColumn("refusal", task_refusal(F.col("task"), F.col("label"), F.col("queryable_files")))
         .withColumn("available", F.col("refusal").isNull())

@@ -63,7 +63,7 @@ def said(conv, n, change=None):
 def test_trie_of_random_turns_with_nulls_ties_and_repeats(spark, shared):
     rng = random.Random(3)
     rows = [(rng.randrange(260), rng.choice([None, *range(9)]), rng.choice([None, "u", "a"]), rng.choice([None, "", "x", "yé", "zz"])) for _ in range(1500)]
-    rows += rows[:40] + [(None, 1, "u", "x")]
+    rows += rows[:40] + [(None, 1, "u", "x"), (5, 3, "u", "z" * 100_000), (6, 3, "u", "z" * 100_000)]
     assert spark_trie(spark, rows, shared) == plain_trie(rows, shared)
 
 

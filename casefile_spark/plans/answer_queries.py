@@ -102,16 +102,14 @@ def _run_chunks(spark, sf):
     return windows.join(files, "file_id").select("run_id", "file_pos", name.alias("filename"), (F.col("window_no") + 1).alias("chunk_no"), "text")
 
 
-_RUN_MODEL = F.when(F.col("run_id") < 10, "anthropic/claude-opus-4.7").otherwise("xiaomi/mimo-v2.5")
-
-
 def e5_assembled_estimate(spark, sf):
     """The estimate of every run beside the tokens of its messages, counted again on the assembled text."""
     parts = R_.sized_parts(_run_chunks(spark, sf))
     files = R_.plan_run(parts, budget=60_000)
     batches = R_.batches_of(files)
     sent = R_.contexts(parts, files, batches).groupBy("run_id").agg(F.sum(F.size(F.filter(F.split("context", r"\s+"), lambda t: t != ""))).alias("assembled_tokens"))
-    out = R_.estimate(batches, _RUN_MODEL, 120, _price_list(spark, sf)).join(sent, "run_id")
+    model = F.when(F.col("run_id") < 10, "anthropic/claude-opus-4.7").otherwise("xiaomi/mimo-v2.5")
+    out = R_.estimate(batches, model, 120, _price_list(spark, sf)).join(sent, "run_id")
     return out.select("run_id", "files", "chunks", "batches", "input_tokens", "assembled_tokens", F.round("cost_low", 9).alias("cost_low"), F.round("cost_high", 9).alias("cost_high"))
 
 

@@ -163,6 +163,18 @@ def k5_date_prefix(spark, sf):
     return f.select("file_id", F.date_format("p.start", "yyyy-MM-dd").alias("start_date"))
 
 
+def k5_date_ranges(spark, sf):
+    """Orders as file names with a range of dates, a single date, or a range whose end is no date."""
+    o = B.table(spark, sf, "orders")
+    start, end = F.date_format("o_orderdate", "yyyy-MM-dd"), F.date_format(F.date_add("o_orderdate", F.lit(40)), "yyyy_MM_dd")
+    joint = F.element_at(F.array(F.lit(" to "), F.lit(" until "), F.lit(" through ")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    name = F.when(F.col("o_orderstatus") == "F", F.concat(start, joint, end, F.lit(" notes.pdf"))).when(
+        F.col("o_orderstatus") == "O", F.concat(start, F.lit(" minutes.pdf"))
+    ).otherwise(F.concat(start, joint, F.lit("2024-13-45 plan.pdf")))
+    p = K.date_prefix(name)
+    return o.select("o_orderkey", F.date_format(p["start"], "yyyy-MM-dd").alias("start_date"), F.date_format(p["end"], "yyyy-MM-dd").alias("end_date"))
+
+
 def k6_file_order(spark, sf):
     """Position of every file inside its matter in the three orders."""
     f = B.files(spark, sf).select("matter_id", "file_id", "filename", "created_at")
@@ -291,7 +303,7 @@ def l2_grants(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     a6_cell_rendering, a7_event_log, a7_event_log_round_trip, a8_ledger_csv, k1_matter_list, k2_live_files, k2_name_check,
-    k3_deleted_items, k4_due_for_purge, k4_purge_effect, k5_date_prefix, k6_file_order, k7_cost_query,
+    k3_deleted_items, k4_due_for_purge, k4_purge_effect, k5_date_prefix, k5_date_ranges, k6_file_order, k7_cost_query,
     k7_cost_query_last_30_days, k8_display_names, k9_totals, k10_matter_options, k11_run_costs, k12_backfill,
     k13_diagnostics, k13_redacted_manifest, k14_tier_bounds, k15_daily_calls, k16_provenance, l2_run_states,
     l2_silent_gaps, l2_grants,
@@ -361,6 +373,8 @@ SELECT matter_id, count(*) FILTER (NOT gone) AS files, count(*) FILTER (gone) AS
 FROM (SELECT matter_id, file_id IN (SELECT file_id FROM gf) OR matter_id IN (SELECT matter_id FROM gm) AS gone FROM files) GROUP BY matter_id""",
     "k5_date_prefix": f"""
 WITH {_FILES} SELECT file_id, CASE WHEN lang = 'en' THEN substr(filename, 1, 10) END AS start_date FROM files""",
+    "k5_date_ranges": """
+SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS start_date, CASE WHEN o_orderstatus = 'F' THEN strftime(o_orderdate::DATE + 40, '%Y-%m-%d') END AS end_date FROM orders""",
     "k6_file_order": f"""
 WITH {_FILES}, d AS (SELECT *, CASE WHEN lang = 'en' THEN substr(filename, 1, 10) END AS day FROM files)
 SELECT matter_id, file_id,

@@ -183,6 +183,22 @@ def i2_search(spark, sf):
     return out.select("query_id", "doc_id", "position", F.round("score", 6).alias("score"))
 
 
+def i8_searched_cases(spark, sf):
+    """Documents as cases, benchmark items as queries of ten requests: from search to the first ranking."""
+    from .flows import searched_cases
+
+    d = B.table(spark, sf, "documents")
+    cases = d.select(
+        F.col("doc_id").alias("case_no"), F.concat((F.col("doc_id") % 60 + 1960).cast("string"), F.lit(" ONCA "), F.col("doc_id").cast("string")).alias("citation"),
+        F.lit("onca").alias("database_id"), F.lit(2).alias("tier"), F.lit("on").alias("jurisdiction"), F.lit(None).cast("date").alias("decision_date"), "text",
+    )
+    b = B.table(spark, sf, "benchmark")
+    queries = b.select((F.col("item_id") % 10).alias("request_id"), F.col("item_id").alias("query_no"), F.concat(F.lit("angle "), (F.col("item_id") % 7).cast("string")).alias("angle"), F.col("text").alias("query"))
+    requests = b.select((F.col("item_id") % 10).alias("request_id")).distinct().select("request_id", F.lit("Ontario").alias("wanted"), F.lit(30).alias("span"), F.lit(1970).alias("earliest_year"))
+    out = searched_cases(requests, queries, cases, AS_OF_YEAR)
+    return out.select("request_id", "case_no", "best_rank", "angles", "hits", F.round("score", 6).alias("score"))
+
+
 def i3_browse_newest(spark, sf):
     o = B.table(spark, sf, "orders")
     return S.browse_newest(o, "o_orderpriority", "o_orderdate", "o_orderkey").select("o_orderpriority", "o_orderkey", "position")
@@ -325,7 +341,7 @@ def i14_funnel(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     h1_extract_citations, h2_names_and_context, h3_citation_keys, h4_distinct_citations, h5_verify, h5_verify_lookup_budget,
-    h6_names_match, h7_rewrite_drafts, h8_report, h8_audit_payload, h9_marker_runs, h10_case_ids, i1_resolve_courts, i2_search,
+    h6_names_match, h7_rewrite_drafts, h8_report, h8_audit_payload, h9_marker_runs, h10_case_ids, i1_resolve_courts, i2_search, i8_searched_cases,
     i3_browse_newest, i4_citation_year, i5_merge_hits, i6_hard_filters, i7_score_terms, i8_stage_one, i9_subject_signal,
     i10_shortlist, i11_widening, i12_scrub, i12_usable_queries, i12_refusals, i13_notes, i14_funnel,
 )}
@@ -444,6 +460,18 @@ held AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to
   WHERE list_contains(list_transform(list_zip(t[:-2], t[2:]), lambda p: p[1] = 'of' AND p[2] = 'the'), true)),
 b AS (SELECT query_id, s.doc_id, round(score * CASE WHEN held.doc_id IS NULL THEN 1 ELSE 2 END, 9) AS score FROM s LEFT JOIN held USING (doc_id))
 SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS position, round(score, 6) AS score FROM b QUALIFY position < 100""",
+    "i8_searched_cases": f"""
+WITH q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}'']+')) AS term FROM benchmark),
+w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}'']+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM w WHERE term <> '' AND term IN (SELECT term FROM q) GROUP BY 1, 2),
+idf AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0)::DOUBLE / count(*)) AS idf FROM tf GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(tf * idf), 9) AS score FROM tf JOIN idf USING (term) JOIN q USING (term) GROUP BY 1, 2),
+h AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS position FROM s QUALIFY position < 100),
+m AS (SELECT query_id % 10 AS request_id, doc_id AS case_no, min(position) AS best_rank, count(DISTINCT query_id % 7) AS angles, count(*) AS hits FROM h GROUP BY 1, 2),
+y AS (SELECT *, CASE WHEN case_no % 60 + 1960 <= {AS_OF_YEAR} + 1 THEN case_no % 60 + 1960 END AS ey FROM m)
+SELECT request_id, case_no, best_rank, angles, hits, round(0.4 * 0.85 + 0.2 + 0.15::DOUBLE * least(1, (angles - 1) / 3) + 0.15::DOUBLE * greatest(0, 1 - best_rank / 100)
+  + 0.1::DOUBLE * CASE WHEN ey IS NULL THEN 0.15::DOUBLE ELSE 0.15 + 0.85::DOUBLE * greatest(0, 1 - greatest(0, {AS_OF_YEAR} - ey) / 30) END, 6) AS score
+FROM y WHERE NOT coalesce(ey < 1970, false)""",
     "i3_browse_newest": """
 SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position FROM orders QUALIFY position < 100""",
     "i4_citation_year": f"""

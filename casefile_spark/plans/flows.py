@@ -9,6 +9,7 @@ from ..operators import chunking as C
 from ..operators import prompts as P
 from ..operators import quality as Q
 from ..operators import retrieval as R
+from ..operators import shortlist as S
 from ..sources.files import collection_name
 from ..sources.pages import readable_pages, triage_pages
 
@@ -52,3 +53,20 @@ def prepare_prompts(requests: DataFrame, requested: DataFrame, chunks: DataFrame
     )
     texts = requests.select("query_id", P.request_section(F.col("label"), F.col("inputs")).alias("request_text"))
     return P.context_message(passages, texts).join(coverage, "query_id", "left").join(sources, "query_id", "left")
+
+
+def searched_cases(requests: DataFrame, queries: DataFrame, cases: DataFrame, as_of_year: int) -> DataFrame:
+    """Cases of every request from its own searches to the first ranking: search, merge by citation, filter, score.
+
+    requests: request_id, wanted, span, earliest_year. queries: request_id, query_no, angle, query. cases: case_no, citation,
+    database_id, tier, jurisdiction, decision_date, text. A case that several queries find is one row with all its angles.
+    """
+    asked = queries.withColumn("query_id", F.concat_ws(":", F.col("request_id").cast("string"), F.col("query_no").cast("string")))
+    found = S.search_corpus(cases.select(F.col("case_no").alias("doc_id"), "text"), asked.select("query_id", "query"))
+    known = cases.select("case_no", "citation", "database_id", "tier", "jurisdiction", "decision_date")
+    hits = found.withColumnRenamed("doc_id", "case_no").join(asked.select("query_id", "request_id", "query_no", "angle"), "query_id").join(known, "case_no")
+    hits = hits.withColumn("merge_key", S.merge_key(F.col("citation"), F.col("database_id"), F.col("case_no").cast("string")))
+    merged = S.merge_hits(hits, known.columns).join(requests, "request_id")
+    merged = merged.withColumn("effective_year", S.effective_year(F.col("decision_date"), S.citation_year(F.col("citation"), as_of_year)))
+    kept = merged.filter(S.passes_filters(F.col("earliest_year"), F.col("wanted"))).withColumn("angles", F.size("found_by"))
+    return S.stage_one(kept, as_of_year)

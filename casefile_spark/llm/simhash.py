@@ -189,6 +189,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, seg
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each_component(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, segments: int = SEGMENTS) -> DataFrame:
+    """The rows of ``docs`` without those whose fingerprint is linked to that of a document with a smaller id, with all their columns.
+
+    An id that several rows have goes only when all of them are linked so. Rows without id or words stay: a fingerprint of
+    zero says nothing about a text.
+    """
+    work = Workspace(docs.sparkSession, "components")
+    found = near_duplicates(docs.filter(F.col("text").rlike(r"[^ \t-\r]")), shingle, radius, segments)
+    low = found.groupBy("doc_id").agg(F.max("component_id").alias("low"))
+    return by_ids(docs, work.keep(low.filter("low < doc_id").select("doc_id"), "linked"), "doc_id", kept=False)
 
 
 SAMPLE = 20_000

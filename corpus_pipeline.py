@@ -19,8 +19,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at a similarity of 0.8 or more over five-word shingles the one with the smallest id stays."""
-    return simhash.one_of_each_group(docs)
+    """Of documents whose SimHash fingerprints are linked by at most three differing bits the one with the smallest id stays."""
+    return simhash.one_of_each_component(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -132,6 +132,23 @@ def test_similar_documents_find_near_copies_alone(spark):
     assert sorted(r.doc_id for r in simhash.one_of_each_group(docs).collect()) == [*range(30), 40, 41, 42]
 
 
+def test_the_near_duplicate_stage_is_simhash(spark):
+    """The stage drops what fingerprints within three bits link, and nothing else."""
+    rng = random.Random(5)
+    base = [[f"word{rng.randint(0, 5000)}" for _ in range(2000)] for _ in range(12)]
+    texts = [" ".join(w) for w in base + [[*w[:70], "x", *w[71:]] for w in base]] + [None, " ", "", "one two", "One TWO"]
+    docs = docs_of(spark, texts)
+    prints = [simhash.fingerprint((t or "").lower().encode().split(), 3) for t in texts]
+    forest = simhash._Forest(len(texts))
+    for j in range(len(texts)):
+        for i in range(j):
+            if (prints[i] ^ prints[j]).bit_count() <= 3 and (texts[i] or "").strip() and (texts[j] or "").strip():
+                forest.link(i, j)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = [i for i in range(len(texts)) if forest.find(i) == i]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want and {24, 25, 26, 27} <= {*want} and len(want) < 22
+
+
 def brute_similar(texts):
     sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for w in (words((t or "").lower()) for t in texts)]
     forest, linked = simhash._Forest(len(texts)), set()

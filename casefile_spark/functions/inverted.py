@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK_DOCS = 256
-PART_WORDS = 4_000_000
+PART_WORDS = 1_000_000
 SLICE_QUERIES = 512
 #: Beside its terms, a block has one row under this name (never a term) with all its documents.
 ALL = ""
@@ -86,13 +86,17 @@ def build_index(corpus: DataFrame, key: str, words: str) -> DataFrame:
 
         for batch in batches:
             n, flat = _flat(batch.column("words"))
-            docs.append(batch.column("key"))
-            lengths.append(n)
-            values.append(flat)
-            held += len(flat)
-            if held >= PART_WORDS:
-                yield part()
-                docs, lengths, values, held, number = [], [], [], 0, number + 1
+            upto, at = np.concatenate([[0], np.cumsum(n)]), 0
+            while at < len(n):  # a batch of long texts holds several parts
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + PART_WORDS - held, "right")) - 1)
+                docs.append(batch.column("key").slice(at, end - at))
+                lengths.append(n[at:end])
+                values.append(flat.slice(int(upto[at]), int(upto[end] - upto[at])))
+                held += int(upto[end] - upto[at])
+                if end < len(n) or held >= PART_WORDS:
+                    yield part()
+                    docs, lengths, values, held, number = [], [], [], 0, number + 1
+                at = end
         if docs:
             yield part()
 

@@ -80,3 +80,14 @@ def test_bounds_leave_out_blocks(spark):
     best, keys, _, pairs, scored = inverted.best_of_part(postings, queries, 100)
     assert sorted(keys.take(pa.array(best[0][1])).to_pylist())[:100] == [i for i in range(20_000) if i % 100 == 0][:100]
     assert pairs == 79 and scored == 1
+
+
+def test_a_batch_of_long_texts_is_cut_into_parts(spark, monkeypatch):
+    """A task indexes about PART_WORDS words at once, however many words its batches hold."""
+    monkeypatch.setattr(inverted, "PART_WORDS", 50)
+    docs = spark.range(0, 40, 1, 1).select("id", F.transform(F.sequence(F.lit(1), F.col("id") % 13), lambda x: F.concat(F.lit("w"), x.cast("string"))).alias("words"))
+    index = inverted.build_index(docs, "id", "words").cache()
+    words = index.filter(F.col("term") != inverted.ALL).groupBy("part").agg(F.sum(F.aggregate("counts", F.lit(0), lambda a, b: a + b)).alias("n"))
+    assert words.count() > 4 and words.agg(F.max("n")).first()[0] <= 50
+    assert sorted(r[0] for r in index.filter(F.col("term") == inverted.ALL).select(F.explode("docs")).collect()) == [*range(40)]
+    index.unpersist()

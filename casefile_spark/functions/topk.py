@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 MAX_QUERIES = 4096  # at 1,024 dimensions this is 32 MB of doubles per task
 SCORE_DIGITS = 12
 MIXED_SIZES = "query vectors differ in size"
+SCORE_ROWS = 2_000  # vectors of a batch that are copied, normalised and scored at once
 TILE_CELLS = 4_000_000  # scores held at once by a task: 32 MB of doubles
 
 
@@ -85,8 +86,8 @@ _IN = ["collection", "collection_pos", "chunk_no", "chunk_key", "embedding"]
 def _candidates_resident(corpus: DataFrame, ids, units, ks, grouped: bool) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from _score_table(pa.Table.from_batches([batch]), ids, units, ks, grouped).to_batches()
+            for lo in range(0, batch.num_rows, SCORE_ROWS):
+                yield from _score_table(pa.Table.from_batches([batch.slice(lo, SCORE_ROWS)]), ids, units, ks, grouped).to_batches()
 
     return corpus.select(*_IN).mapInArrow(score, _OUT)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,16 +52,15 @@ def vectorise(model: Vectoriser, df: DataFrame, text: str = "text", out: str = "
     """
     dim = len(model.idf)
 
-    @F.pandas_udf("array<double>")
-    def weighted(buckets: pd.Series) -> pd.Series:
-        idf, done = np.array(model.idf), []
+    @F.arrow_udf("array<double>")
+    def weighted(buckets: pa.Array) -> pa.Array:
+        idf, done = np.array(model.idf), np.empty((len(buckets), dim))
         for lo in range(0, len(buckets), TILE):
-            some = buckets.iloc[lo : lo + TILE]
-            row = np.repeat(np.arange(len(some)), some.str.len())
-            flat = np.concatenate([*some, np.zeros(0, np.int64)]).astype(np.int64)
-            v = np.bincount(row * dim + flat, minlength=len(some) * dim).reshape(-1, dim) * idf
+            some = buckets.slice(lo, TILE)
+            row = np.repeat(np.arange(len(some)), np.diff(some.offsets.to_numpy()))
+            v = np.bincount(row * dim + some.flatten().to_numpy(), minlength=len(some) * dim).reshape(-1, dim) * idf
             length = np.sqrt((v * v).sum(axis=1))
-            done += list(v / np.where(length == 0, 1.0, length)[:, None])
-        return pd.Series(done)
+            done[lo : lo + TILE] = v / np.where(length == 0, 1.0, length)[:, None]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(buckets) + 1, dtype=np.int32) * dim), pa.array(done.reshape(-1)))
 
     return df.withColumn(out, weighted(_buckets(F.col(text), dim)))

@@ -160,3 +160,22 @@ def test_entities_and_tags(spark):
 def test_legible_ratio(spark):
     df = spark.createDataFrame([("",), ("abcd",), ("ab──",), ("é",)], "t string")
     assert [r[0] for r in df.select(text.legible_ratio(F.col("t"))).collect()] == [1.0, 1.0, 0.5, 0.0]
+
+
+def test_a_batch_of_vectors_is_scored_in_slices(spark, monkeypatch):
+    """Only so many vectors of a batch are copied and scored at once, with the same hits."""
+    from casefile_spark.functions import topk
+
+    at = F.col("id")
+    chunks = spark.range(0, 100, 1, 1).select(F.lit("c").alias("collection"), F.lit(0).alias("collection_pos"), at.alias("chunk_no"), at.cast("string").alias("chunk_key"), F.array(F.cos(at / 7), F.sin(at / 7)).alias("embedding"))
+    queries = spark.createDataFrame([(1, 5, [1.0, 0.0]), (2, 3, [0.3, 0.7])], "query_id long, k int, embedding array<double>")
+    want = sorted(map(tuple, topk.cosine_top_k(chunks, queries).collect()))
+    whole, sizes = topk._score_table, spark.sparkContext.accumulator(0)
+
+    def counted(table, *rest):
+        sizes.add(table.num_rows > 16)
+        return whole(table, *rest)
+
+    monkeypatch.setattr(topk, "SCORE_ROWS", 16)
+    monkeypatch.setattr(topk, "_score_table", counted)
+    assert sorted(map(tuple, topk.cosine_top_k(chunks, queries).collect())) == want and len(want) == 8 and sizes.value == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import inverted
+from ..functions.generate import inline_rows
 from ..functions.text import tokens
 from ..session import shared_folder
 
@@ -270,9 +271,14 @@ def broaden_query(query: Column) -> Column:
 
 
 # --- query hygiene ---------------------------------------------------------------------------
+#: What a query must hold for ``scrub_query`` to remove a part of it.
+TO_SCRUB = r"[@$]|https?://|www\.|\d{3}"
+
+
 def scrub_query(query: Column) -> Column:
     """Remove addresses, links, amounts and long digit runs; four-digit years stay; quotes rebalanced."""
-    q = F.regexp_replace(F.coalesce(query, F.lit("")), r"\S+@\S+", " ")
+    given = F.coalesce(query, F.lit(""))
+    q = F.regexp_replace(given, r"\S+@\S+", " ")
     q = F.regexp_replace(q, r"https?://\S+|www\.\S+", " ")
     q = F.regexp_replace(q, r"\$[\d,]+(?:\.\d+)?", " ")
 
@@ -280,7 +286,9 @@ def scrub_query(query: Column) -> Column:
         bare = F.regexp_replace(token, r"""^["'(),;:.]+|["'(),;:.]+$""", "")
         return ~bare.rlike(r"\d{3,}") | bare.rlike(r"^(1[89]\d{2}|20\d{2})$")
 
-    out = F.array_join(F.filter(tokens(q), keep), " ")
+    # Most lines hold nothing to remove; word by word is for the others.
+    scrubbed = F.array_join(F.filter(tokens(q), keep), " ")
+    out = F.when(given.rlike(TO_SCRUB), scrubbed).otherwise(F.trim(F.regexp_replace(given, r"\s+", " ")))
     odd = (F.length(out) - F.length(F.regexp_replace(out, '"', ""))) % 2 == 1
     return F.when(odd, F.trim(F.regexp_replace(F.regexp_replace(out, '"', " "), r"\s+", " "))).otherwise(out)
 
@@ -291,7 +299,9 @@ def usable_queries(generated: DataFrame, most: int | None = None) -> tuple[DataF
     Scrubbed, at least eight characters, distinct by folded text; with ``most``, the first so many; below three the
     request is refused.
     """
-    clean = generated.withColumn("query", scrub_query(F.col("query"))).filter(F.length("query") >= MIN_QUERY_CHARS)
+    # Through a generator, so that the filter and the keys don't scrub again.
+    scrubbed = F.array(F.struct(scrub_query(F.col("query")).alias("query")))
+    clean = inline_rows(generated, ["request_id", "query_no", "angle"], scrubbed, "query").filter(F.length("query") >= MIN_QUERY_CHARS)
     first = clean.groupBy("request_id", F.lower("query").alias("_k")).agg(
         F.min(F.struct("query_no", "angle", "query")).alias("_q")
     )

@@ -131,3 +131,11 @@ def test_hallmarks(spark):
 def test_year_and_funnel(spark):
     df = spark.createDataFrame([("2020 ONCA 1",), (" 1799 X 1",), ("2030 X",), ("Re 2020",), (None,)], "c string")
     assert [r[0] for r in df.select(S.citation_year(F.col("c"), 2026)).collect()] == [2020, None, None, None, None]
+
+
+def test_queries_are_scrubbed_once(spark):
+    """The filter on length and the keys read the scrubbed query; none of them scrubs it again."""
+    rows = spark.createDataFrame([(1, i, "", q) for i, q in enumerate(["  plain   words here ", "see a@b.co and 12345 of 1999", None, "pay $1,000.50 now please", 'odd "quote mark', "PLAIN words here"])], "request_id int, query_no int, angle string, query string")
+    kept, _ = S.usable_queries(rows)
+    assert sorted(r.query for r in kept.collect()) == ["odd quote mark", "pay now please", "plain words here", "see and of 1999"]
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") >= 1

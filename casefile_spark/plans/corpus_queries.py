@@ -62,7 +62,8 @@ def a1_corpus_scan(spark, sf):
     pages = B.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
     for scan, part in ((1, "page_id % 2 = 0"), (2, "page_id % 2 <> 0")):
         arriving = pages.filter(part).repartition("page_id")
-        arriving.write.mode("append").partitionBy("page_id").text(folder)
+        # Tasks move their own files: moved by the driver at the end, a folder per page is a call after the other.
+        arriving.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(folder)
         seen = spark.read.schema(f"{files.LISTED}, scan int").parquet(ledger) if scan > 1 else spark.createDataFrame([], f"{files.LISTED}, scan int")
         listed = files.list_corpus(spark, folder).filter("file_type = 'txt'")
         files.new_files(listed, seen).withColumn("scan", F.lit(scan)).write.mode("append").parquet(ledger)

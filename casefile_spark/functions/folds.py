@@ -3,16 +3,21 @@
 The reset point depends on the data before it, so a window sum cannot express it. A key is cut
 into position segments. Each segment reports, for every possible first reset inside it, what the
 open batch holds at its end; those short reports are chained per key; then every segment numbers
-its own rows. No task sees more than one segment of items or one key's reports.
+its own rows. No task sees more than one segment of items or one key's reports. Where every key lies
+in one segment, nothing is carried, and the many short keys of an Arrow batch are packed side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEGMENT_ROWS = 100_000
+
 
 def _first_over(sums: np.ndarray, limit) -> np.ndarray:
     """First position whose inclusive prefix sum exceeds the limit."""
@@ -49,6 +54,82 @@ def _starts(sizes: np.ndarray, budget: int, running: int, reset: int, fresh: boo
     return found
 
 
+def _openings(table: pa.Table, columns: list[str]) -> np.ndarray:
+    """Rows that differ from the row before in any of the columns; nulls are equal to nulls."""
+    opens = np.zeros(table.num_rows, dtype=bool)
+    opens[:1] = True
+    for c in columns:
+        codes = table[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        opens[1:] |= codes[1:] != codes[:-1]
+    return opens
+
+
+def _side_by_side(table: pa.Table, keys: list[str], budget: int) -> pa.Table:
+    """Whole keys, sorted by key and position, with their batch numbers: all keys take their next step at once."""
+    n, starts = table.num_rows, np.flatnonzero(_openings(table, keys))
+    lengths = np.diff(np.append(starts, n))
+    end, start = np.repeat(starts + lengths, lengths), np.repeat(starts, lengths)
+    sizes, initial, reset = (table[c].to_numpy() for c in ("size", "initial", "reset"))
+    upto = np.cumsum(sizes)
+    before = upto - sizes
+    nxt = np.maximum(np.arange(n) + 1, _first_over(upto, budget - reset[start] + before))
+    at = np.maximum(starts + 1, _first_over(upto, budget - initial[starts] + before[starts]))
+    flags = np.zeros(n, dtype=np.int64)
+    at = at[at < end[starts]]
+    while at.size:
+        flags[at] = 1
+        at, last = nxt[at], end[at]
+        at = at[at < last]
+    opened = np.cumsum(flags)
+    batch = opened - opened[start]
+    # Rows of one position meet every number of that position, as a join by position gives them.
+    places = np.flatnonzero(_openings(table, [*keys, "pos"]))
+    held = np.diff(np.append(places, n))
+    out = table.drop_columns(["size", "initial", "reset"])
+    if len(places) < n:
+        times, first = np.repeat(held, held), np.repeat(places, held)
+        rows = np.repeat(np.arange(n), times)
+        turn = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
+        out, batch = out.take(pa.array(rows)), batch[first[rows] + turn]
+    return out.append_column("batch_no", pa.array(batch, pa.int64()))
+
+
+def pack_short(
+    df: DataFrame, keys: list[str], pos: str, size: str, budget: int, keep: list[str], initial: Column | None = None, reset: Column | None = None,
+) -> DataFrame:
+    """``next_fit`` for keys that each lie in one segment: keys, pos, keep..., batch_no of every row with a position.
+
+    A task reads its sorted keys once and packs those of an Arrow batch together, so a short key costs no call of its own.
+    """
+    zero = F.lit(0)
+    ordered = Window.partitionBy(*keys).orderBy("pos")  # brings a key's rows together, in order
+    items = df.filter(F.col(pos).isNotNull()).select(
+        *keys,
+        F.col(pos).cast("long").alias("pos"),
+        F.col(size).cast("long").alias("size"),
+        (initial if initial is not None else zero).cast("long").alias("initial"),
+        (reset if reset is not None else zero).cast("long").alias("reset"),
+        *keep,
+    ).withColumn("_turn", F.row_number().over(ordered))
+    names = [*keys, "pos", "size", "initial", "reset", *keep]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]).select(names)
+            table = table if rest is None else pa.concat_tables([rest, table])
+            whole = int(np.flatnonzero(_openings(table, keys))[-1]) if table.num_rows else 0
+            if whole:  # the last key may go on in the next batch
+                yield from _side_by_side(table.slice(0, whole).combine_chunks(), keys, budget).to_batches()
+            rest = table.slice(whole)
+        if rest is not None and rest.num_rows:
+            yield from _side_by_side(rest.combine_chunks(), keys, budget).to_batches()
+
+    out = items.select(*keys, "pos", *keep).schema
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out)
+    return items.mapInArrow(pack, ddl + "batch_no long")
+
+
 def next_fit(
     df: DataFrame,
     keys: list[str],
@@ -57,7 +138,7 @@ def next_fit(
     budget: int,
     initial: Column | None = None,
     reset: Column | None = None,
-    segment_rows: int = 100_000,
+    segment_rows: int = SEGMENT_ROWS,
 ) -> DataFrame:
     """Batch number (from 0) for every (keys, pos); ``pos`` counts densely within a key.
 

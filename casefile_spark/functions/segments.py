@@ -62,6 +62,12 @@ def positions(df: DataFrame, keys: list[str], order: list, out: str, rows: int =
     return joined.select("l.*", (F.col("_at") - F.col("_first") + F.col("_before") + 1).alias(out)).drop("_at", "_seg")
 
 
+def one_segment(df: DataFrame, pos: str, rows: int) -> bool:
+    """Whether every position lies in the first segment: then no key needs more than a window over its rows."""
+    low, high = df.agg(F.min(pos), F.max(pos)).first()
+    return low is None or (low >= 0 and high < rows)
+
+
 def segmented(df: DataFrame, keys: list[str], segment: Column) -> DataFrame:
     """Cut into segments and shuffle the rows once; everything below reads that one shuffle."""
     return df.withColumn("_seg", segment).repartition(*keys, "_seg")

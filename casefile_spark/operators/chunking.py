@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import next_fit
+from ..functions.folds import SEGMENT_ROWS, next_fit, pack_short
 from ..functions.generate import explode_rows, inline_rows
-from ..functions.segments import Running, block_of, islands, running, segmented
+from ..functions.segments import Running, block_of, islands, one_segment, running, segmented
 from ..functions.text import WINDOW_OVERLAP, WINDOW_TOKENS, let, token_count, token_windows, tokens
 
 # Fixed values of headings, table labels, header search and sheet locators.
@@ -188,24 +188,32 @@ def row_span(first: Column, last: Column) -> Column:
     )
 
 
-def table_chunks(rows: DataFrame, budget: int = WINDOW_TOKENS) -> DataFrame:
+def table_chunks(rows: DataFrame, budget: int = WINDOW_TOKENS, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Whole table rows up to the budget; later chunks repeat the first row as header.
 
-    rows: file_id, table_index, locator, row_no, text.
+    rows: file_id, table_index, locator, row_no, text. Tables of one segment are packed with their
+    texts in one shuffle; where any is longer, all go by ``next_fit``.
     """
     keys = ["file_id", "table_index"]
-    heads = rows.groupBy(*keys).agg(F.min_by("text", "row_no").alias("_head"), F.min("row_no").alias("_row0"))
-    sized = (
-        rows.join(heads, keys)
-        .withColumn("_size", token_count(F.col("text")))
-        .withColumn("_pos", F.col("row_no") - F.col("_row0"))
-    )
-    packed = next_fit(sized, keys, "_pos", "_size", budget, reset=token_count(F.col("_head")))
-    body = (
-        sized.join(packed, (F.col("_pos") == F.col("pos")) & (sized.file_id == packed.file_id)
-                   & (sized.table_index == packed.table_index))
-        .select(sized.file_id, sized.table_index, "locator", "row_no", "text", "_head", "batch_no")
-    )
+    rows = rows.dropna(subset=keys)
+    if one_segment(rows, "row_no", segment_rows):
+        upto = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+        held = rows.filter(F.col("row_no").isNotNull()).select(*keys, "row_no", F.col("row_no").cast("long").alias("pos"), "locator", "text", token_count(F.col("text")).alias("_size"))
+        sized = held.withColumn("_head", F.first("text").over(upto)).withColumn("_cost", F.first("_size").over(upto))
+        body = pack_short(sized, keys, "pos", "_size", budget, ["row_no", "locator", "text", "_head"], reset=F.col("_cost"))
+    else:
+        heads = rows.groupBy(*keys).agg(F.min_by("text", "row_no").alias("_head"), F.min("row_no").alias("_row0"))
+        sized = (
+            rows.join(heads, keys)
+            .withColumn("_size", token_count(F.col("text")))
+            .withColumn("_pos", F.col("row_no") - F.col("_row0"))
+        )
+        packed = next_fit(sized, keys, "_pos", "_size", budget, reset=token_count(F.col("_head")), segment_rows=segment_rows)
+        body = (
+            sized.join(packed, (F.col("_pos") == F.col("pos")) & (sized.file_id == packed.file_id)
+                       & (sized.table_index == packed.table_index))
+            .select(sized.file_id, sized.table_index, "locator", "row_no", "text", "_head", "batch_no")
+        )
     chunk = body.groupBy(*keys, "locator", "batch_no").agg(
         F.array_sort(F.collect_list(F.struct("row_no", F.col("text").alias("value")))).alias("_rows"),
         F.min("row_no").alias("first_row"),

@@ -112,3 +112,18 @@ def test_formula_only_workbook_is_flagged(spark):
     sheets = spark.createDataFrame([(1, "S", True), (1, "T", True), (2, "S", True)], "file_id int, sheet string, has_formulas boolean")
     rows = spark.createDataFrame([(2, "S")], "file_id int, sheet string")
     assert {r.file_id: (r.rows, r.formulas_without_values) for r in C.sheet_stats(sheets, rows).collect()} == {1: (0, True), 2: (1, False)}
+
+
+def test_short_tables_are_packed_together_and_long_ones_by_segments(spark):
+    """Both ways give the same chunks, repeated rows and nulls included; short tables take no Python call per table."""
+    rng, rows = random.Random(9), []
+    for table in range(300):
+        first = rng.choice([1, 4])
+        rows += [(table % 100, table // 100, f"T{table}", first + i, rng.choice([None, "", "a b", "w " * rng.randint(1, 30)])) for i in range(rng.choice([1, 2, 9, 40]))]
+    rows += rows[:25] + [(None, 1, "T", 1, "a"), (1, None, "T", 1, "a"), (1, 1, "T", None, "a")]
+    df = spark.createDataFrame(rows, "file_id int, table_index int, locator string, row_no int, text string")
+    short, long = (C.table_chunks(df, budget=30, segment_rows=n) for n in (100_000, 7))
+    columns = ["file_id", "table_index", "batch_no", "locator", "text"]
+    assert sorted(map(str, short.select(*columns).collect())) == sorted(map(str, long.select(*columns).collect()))
+    plan = short._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "Join" not in plan

@@ -179,3 +179,23 @@ def test_a_batch_of_vectors_is_scored_in_slices(spark, monkeypatch):
     monkeypatch.setattr(topk, "SCORE_ROWS", 16)
     monkeypatch.setattr(topk, "_score_table", counted)
     assert sorted(map(tuple, topk.cosine_top_k(chunks, queries).collect())) == want and len(want) == 8 and sizes.value == 0
+
+
+def test_short_keys_cross_arrow_batches(spark):
+    rng = random.Random(12)
+    rows = [(None if k == 0 else f"k{k}", i, rng.choice([0, 1, 30, 60, 120])) for k in range(40) for i in range(rng.choice([1, 3, 70]))]
+    df = spark.createDataFrame(rows, "key string, pos int, size int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
+    try:
+        got = {(r.key, r.pos): (r.batch_no, r.size_) for r in folds.pack_short(df.withColumn("size_", F.col("size")), ["key"], "pos", "size", 100, ["size_"], initial=F.lit(5), reset=F.lit(50)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert len(got) == len(rows)
+    total, batch = 0, 0
+    for key, i, s in rows:
+        if i == 0:
+            total, batch = 5, 0
+        elif total + s > 100:
+            total, batch = 50, batch + 1
+        total += s
+        assert got[key, i] == (batch, s)

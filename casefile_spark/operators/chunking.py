@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,12 +59,47 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
     The depth of the i-th heading is i + min(0, min over earlier j of (level_j - j)): a heading can
     open at most one level below its predecessor, and levels beyond the third reuse the third slot.
     Both that minimum and "the last heading at each depth" are running values, so a document of any
-    length is handled without folding it row by row.
+    length is handled without folding it row by row. Where no document is longer than a segment, they
+    are windows over one shuffle and one sort.
     """
+    out = blocks.withColumn("level", _block_level())
+    if one_segment(blocks, "seq", rows_per_segment):
+        return _short_paths(out).select(*out.columns, "para_no", "heading_path")
+    return _long_paths(out, rows_per_segment)
+
+
+def _block_level() -> Column:
+    return F.when((F.col("kind") == "para") & (F.trim(F.coalesce("text", F.lit(""))) != ""), heading_level(F.col("style")))
+
+
+def _path(last: Callable[[int], Column]) -> Column:
+    """Headings in force, from the last heading (seq, text) at each depth: a slot counts only while no shallower one came after it."""
+    slots, after = [], F.lit(-1).cast("long")
+    for d in range(1, MAX_HEADING_DEPTH + 1):
+        at = last(d)["seq"].cast("long")
+        slots.append(F.when(at > after, last(d)["text"]))
+        after = F.greatest(after, F.coalesce(at, F.lit(-1).cast("long")))
+    return F.array_compact(F.array(*slots))
+
+
+def _short_paths(df: DataFrame) -> DataFrame:
+    """Paths of documents that each lie in one segment; the heading's text is cut before the shuffle, so that a caller without use for ``text`` shuffles none."""
+    upto = Window.partitionBy("file_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    headed = F.col("level").isNotNull()
+    df = df.withColumn("_here", F.when(headed, F.struct("seq", F.trim("text").alias("text")))).repartition("file_id")
+    df = df.withColumn("_i", F.count("level").over(upto)).withColumn("para_no", F.sum(F.when(F.col("kind") == "para", 1).otherwise(0)).over(upto))
+    slack = F.when(headed, F.least("level", F.lit(MAX_HEADING_DEPTH)) - F.col("_i"))
+    df = df.withColumn("_slack", F.min(slack).over(upto))
+    depth = F.when(headed, F.least(F.col("_i") + F.least(F.lit(0), "_slack"), F.lit(MAX_HEADING_DEPTH)))
+    df = df.withColumn("_depth", depth)
+    levels = range(1, MAX_HEADING_DEPTH + 1)
+    df = df.withColumns({f"_h{d}": F.last(F.when(F.col("_depth") == d, F.col("_here")), ignorenulls=True).over(upto) for d in levels})
+    return df.withColumn("heading_path", _path(lambda d: F.col(f"_h{d}")))
+
+
+def _long_paths(df: DataFrame, rows_per_segment: int) -> DataFrame:
+    """Paths of documents of any length, by running values over segments."""
     key, order, seg = ["file_id"], ["seq"], block_of(F.col("seq"), rows_per_segment)
-    is_para = F.col("kind") == "para"
-    level = F.when(is_para & (F.trim(F.coalesce("text", F.lit(""))) != ""), heading_level(F.col("style")))
-    df = blocks.withColumn("level", level)
 
     # Depths and paths come from the heading rows alone, a small part of a document.
     heads = df.filter(F.col("level").isNotNull())
@@ -75,18 +112,12 @@ def heading_paths(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFra
     heads = running(
         heads, key, order, None, *[Running("last", F.when(F.col("_depth") == d, here), f"_h{d}") for d in levels]
     )
-    # A slot counts only while no shallower heading came after it.
-    slots, after = [], F.lit(-1).cast("long")
-    for d in levels:
-        at = F.col(f"_h{d}.seq").cast("long")
-        slots.append(F.when(at > after, F.col(f"_h{d}.text")))
-        after = F.greatest(after, F.coalesce(at, F.lit(-1).cast("long")))
-    heads = heads.select(*df.columns, F.array_compact(F.array(*slots)).alias("_path"))
+    heads = heads.select(*df.columns, _path(lambda d: F.col(f"_h{d}")).alias("_path"))
 
     rest = df.filter(F.col("level").isNull()).withColumn("_path", F.lit(None).cast("array<string>"))
     out = running(
         rest.unionByName(heads), key, order, seg,
-        Running("sum", F.when(is_para, 1).otherwise(0), "para_no"),
+        Running("sum", F.when(F.col("kind") == "para", 1).otherwise(0), "para_no"),
         Running("last", F.col("_path"), "heading_path"),
     )
     return out.withColumn("heading_path", F.coalesce("heading_path", F.array().cast("array<string>"))).drop("_path")
@@ -98,34 +129,53 @@ def block_locator(path: Column, para_no: Column) -> Column:
     )
 
 
-def table_label(index: Column, first_row: Column) -> Column:
-    """``Table n "a / b / c"`` when the first row reads like a caption, else ``Table n``."""
+def caption(first_row: Column) -> Column:
+    """``a / b / c`` when a table's first row reads like a caption, else NULL."""
     cells = F.transform(F.split(first_row, r"\|"), lambda c: F.trim(c))
     filled = F.filter(F.slice(cells, 1, 3), lambda c: c != "")
     name = F.substring(F.array_join(filled, " / "), 1, CAPTION_CHARS)
     captioned = (F.size(cells) >= 2) & F.forall(cells, lambda c: F.length(c) <= CAPTION_CELL_CHARS) & (name != "")
+    return F.when(captioned, name)
+
+
+def _captioned_label(index: Column, name: Column) -> Column:
     plain = F.concat(F.lit("Table "), index.cast("string"))
-    return F.when(captioned, F.concat(plain, F.lit(' "'), name, F.lit('"'))).otherwise(plain)
+    return F.when(name.isNotNull(), F.concat(plain, F.lit(' "'), name, F.lit('"'))).otherwise(plain)
+
+
+def table_label(index: Column, first_row: Column) -> Column:
+    """``Table n "a / b / c"`` when the first row reads like a caption, else ``Table n``."""
+    return _captioned_label(index, caption(first_row))
 
 
 def document_blocks(blocks: DataFrame, rows_per_segment: int = 100_000) -> DataFrame:
     """Locators for paragraphs and table rows; blank paragraphs count but are not kept.
 
-    Table blocks carry table_index and row_no.
+    Table blocks carry table_index and row_no. Captions and blanks are told before the rows are
+    shuffled, so that a caller without use for ``text`` shuffles none.
     """
-    df = heading_paths(blocks, rows_per_segment)
-    heads = (
-        df.filter(F.col("kind") == "table").groupBy("file_id", "table_index").agg(F.min_by("text", "row_no").alias("_first"))
-    )
-    df = df.join(heads, ["file_id", "table_index"], "left")
-    locator = F.when(F.col("kind") == "table", table_label(F.col("table_index"), F.col("_first"))).otherwise(
+    is_table = F.col("kind") == "table"
+    told = blocks.withColumn("_kept", F.trim(F.coalesce("text", F.lit(""))) != "")
+    if one_segment(blocks, "seq", rows_per_segment):
+        told = told.withColumn("level", _block_level()).withColumn("_caption", F.when(is_table & F.col("file_id").isNotNull(), caption(F.col("text"))))
+        df = _short_paths(told)
+        # The rows lie together by document; its tables need only be sorted.
+        table = Window.partitionBy("file_id", "table_index")
+        df = df.withColumn("_first", F.min_by("_caption", F.when(is_table, F.col("row_no"))).over(table))
+    else:
+        df = _long_paths(told.withColumn("level", _block_level()), rows_per_segment)
+        heads = blocks.filter(is_table).groupBy("file_id", "table_index").agg(F.min_by("text", "row_no").alias("_row"))
+        df = df.join(heads.select("file_id", "table_index", caption(F.col("_row")).alias("_first")), ["file_id", "table_index"], "left")
+    locator = F.when(is_table, _captioned_label(F.col("table_index"), F.col("_first"))).otherwise(
         block_locator(F.col("heading_path"), F.col("para_no"))
     )
+    names = [*blocks.columns, "level", "para_no", "heading_path"]
+    joined = ["file_id", "table_index"]  # first, as a join by them leaves them
     return (
-        df.withColumn("locator", locator)
+        df.filter("_kept")
+        .withColumn("locator", locator)
         .withColumn("text", F.trim("text"))
-        .filter(F.coalesce("text", F.lit("")) != "")
-        .drop("_first")
+        .select(*joined, *[c for c in names if c not in joined], "locator")
     )
 
 

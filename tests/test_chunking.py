@@ -127,3 +127,21 @@ def test_short_tables_are_packed_together_and_long_ones_by_segments(spark):
     assert sorted(map(str, short.select(*columns).collect())) == sorted(map(str, long.select(*columns).collect()))
     plan = short._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "FlatMapGroupsInArrow" not in plan and "Join" not in plan
+
+
+def test_short_documents_take_one_shuffle_and_no_text(spark):
+    """Both ways give the same blocks, rows that come twice and nulls included; locators alone shuffle no text."""
+    rng, rows = random.Random(4), []
+    for doc in [*range(30), None]:
+        for i in range(rng.choice([1, 8, 30])):
+            kind = rng.choice(["para", "para", "table"])
+            text = rng.choice([None, " ", f" word{i} ", f"a{i} | b | c", f"long {'x' * 45} | y"])
+            style = rng.choice([None, "Heading 1", "Heading 2", "Heading 5", "Title"]) if kind == "para" else None
+            rows.append((doc, i, kind, style, text, rng.choice([1, 2, None]) if kind == "table" else None, i if kind == "table" else None))
+    rows += rows[:9]
+    df = blocks(spark, rows)
+    short, long = (C.document_blocks(df, n) for n in (1000, 5))
+    assert short.columns == long.columns
+    assert sorted(map(str, short.collect())) == sorted(map(str, long.collect()))
+    located = short.select("file_id", "seq", "kind", "locator")._jdf.queryExecution()
+    assert located.executedPlan().toString().count("Exchange") == 1 and "Join" not in located.optimizedPlan().toString()

@@ -23,6 +23,7 @@ ENRICH_HEADROOM, ENRICH_CAP = 10, 30
 RECENCY_FLOOR = 0.15
 MISMATCH_PENALTY = 0.75
 SUBJECT_TERMS = 25
+WIDEN_ROWS = 500_000  # hits of a task
 NOTE_CHARS = 220
 SUBJECT_STOPWORDS = (
     "a an the and or of to in on for by with at from as is are was were be been that this these those it its any "
@@ -245,25 +246,31 @@ def enrich_and_rank(
 
 
 # --- ladder ----------------------------------------------------------------------------------
-def widen(targeted: DataFrame, broadened: DataFrame, browsed: DataFrame, requests: DataFrame) -> DataFrame:
+def widen(targeted: DataFrame, broadened: DataFrame, browsed: DataFrame, requests: DataFrame, rows: int | None = None) -> DataFrame:
     """Hits of the stages each request needs: targeted; broadened below eight survivors; browse at none.
 
     Each hit frame: request_id, merge_key, passes, ... The choice per request comes from counts, so
-    all requests run through the same job.
+    all requests run through the same job. ``rows`` is about how many hits there are in all: a task gets a bounded
+    number of them whatever the session's partitions.
     """
-    def survivors(hits: DataFrame, name: str) -> DataFrame:
-        return hits.filter("passes").groupBy("request_id").agg(F.count_distinct("merge_key").alias(name))
+    spark = requests.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (rows or 0) // WIDEN_ROWS + 1)
 
-    stage = requests.select("request_id").join(survivors(targeted, "_a"), "request_id", "left").join(
-        survivors(targeted.unionByName(broadened), "_b"), "request_id", "left"
-    )
+    def dealt(df: DataFrame) -> DataFrame:
+        return df.repartition(tasks, "request_id")
+
+    # Copies of a key matter for the targeted count only: broadened hits are asked whether there is one.
+    passing = [dealt(h.filter(F.col("passes") & F.col("merge_key").isNotNull()).select("request_id", "merge_key")) for h in (targeted, broadened)]
+    a = passing[0].groupBy("request_id").agg(F.count_distinct("merge_key").alias("_a"))
+    b = passing[1].groupBy("request_id").agg(F.count("merge_key").alias("_b"))
+    stage = dealt(requests.select("request_id")).join(a, "request_id", "left").join(b, "request_id", "left")
     thin = F.coalesce("_a", F.lit(0)) < BROADEN_BELOW
-    flags = stage.select(
-        "request_id", thin.alias("broadened"), (thin & (F.coalesce("_b", F.lit(0)) == 0)).alias("used_browse")
-    )
-    wide = broadened.join(flags.filter("broadened").select("request_id"), "request_id", "left_semi")
-    recent = browsed.join(flags.filter("used_browse").select("request_id"), "request_id", "left_semi")
-    return targeted.unionByName(wide).unionByName(recent).join(flags, "request_id")
+    none = F.coalesce("_a", F.lit(0)) + F.coalesce("_b", F.lit(0)) == 0
+    flags = stage.select("request_id", thin.alias("broadened"), (thin & none).alias("used_browse"))
+    steps = [h.withColumn("_step", F.lit(i)) for i, h in enumerate((targeted, broadened, browsed))]
+    hits = dealt(steps[0].unionByName(steps[1]).unionByName(steps[2])).join(flags, "request_id")
+    wanted = (F.col("_step") == 0) | ((F.col("_step") == 1) & F.col("broadened")) | ((F.col("_step") == 2) & F.col("used_browse"))
+    return hits.filter(wanted).drop("_step")
 
 
 def broaden_query(query: Column) -> Column:

@@ -139,3 +139,21 @@ def test_queries_are_scrubbed_once(spark):
     kept, _ = S.usable_queries(rows)
     assert sorted(r.query for r in kept.collect()) == ["odd quote mark", "pay now please", "plain words here", "see and of 1999"]
     assert kept._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") >= 1
+
+
+def test_widening_deals_hits_by_rows(spark, monkeypatch):
+    """Tasks follow the number of hits, not the session; null keys count as none and requests that come twice give their hits twice."""
+    def hits(spec):
+        return spark.createDataFrame(spec, "request_id int, merge_key string, passes boolean")
+
+    targeted = hits([(1, f"k{i % 7}", True) for i in range(20)] + [(2, None, True), (2, "x", None), (3, "a", False), (4, "a", True), (None, "n", True), (9, "z", True)])
+    broadened = hits([(1, "b", True), (2, None, True), (3, "b", False), (3, "b", True), (4, "b", True)])
+    browsed = hits([(1, "w", True), (2, "w", False), (3, "w", True), (5, "w", True), (None, "w", True)])
+    requests = spark.createDataFrame([(1,), (2,), (3,), (4,), (4,), (5,), (None,)], "request_id int")
+    monkeypatch.setattr(S, "WIDEN_ROWS", 5)
+    out = S.widen(targeted, broadened, browsed, requests, rows=35)
+    got = {(r.request_id, r.broadened, r.used_browse): r["n"] for r in out.groupBy("request_id", "broadened", "used_browse").agg(F.count("*").alias("n")).collect()}
+    assert got == {(1, True, False): 21, (2, True, True): 4, (3, True, False): 3, (4, True, False): 4, (5, True, True): 1}
+    assert out.columns == ["request_id", "merge_key", "passes", "broadened", "used_browse"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [request_id#") >= 4
+    assert ", 8" in out._jdf.queryExecution().optimizedPlan().toString()

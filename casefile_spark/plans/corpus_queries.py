@@ -58,22 +58,20 @@ def a1_corpus_scan(spark, sf):
     """Pages as one file each: half of them are scanned, then the others arrive and the second scan reads only those."""
     from ..session import shared_folder
 
-    folder, ledger = shared_folder(spark, "pages"), shared_folder(spark, "seen")
+    folder, ledger, scanned = (shared_folder(spark, name) for name in ("pages", "seen", "scanned"))
     pages = B.table(spark, sf, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
+    parts = pages.count() // files.FOLDER_FILES + 1
     for scan, part in ((1, "page_id % 2 = 0"), (2, "page_id % 2 <> 0")):
-        arriving = pages.filter(part).repartition("page_id")
-        # Tasks move their own files: moved by the driver at the end, a folder per page is a call after the other.
-        arriving.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("page_id").text(folder)
-        seen = spark.read.schema(f"{files.LISTED}, scan int").parquet(ledger) if scan > 1 else spark.createDataFrame([], f"{files.LISTED}, scan int")
-        listed = files.list_corpus(spark, folder).filter("file_type = 'txt'")
-        files.new_files(listed, seen).withColumn("scan", F.lit(scan)).write.mode("append").parquet(ledger)
-    seen = spark.read.parquet(ledger)
-    scans = []
-    for scan in (1, 2):
-        good, _ = files.scan_files(spark, folder, seen.filter(F.col("scan") == scan).drop("scan"), suffixes=(".txt",))
-        scans.append(good.withColumn("scan", F.lit(scan)))
+        for k, at in enumerate(files.write_texts(pages.filter(part), folder, "page_id", "html", parts)):
+            # A folder at a time, and each scan before the next pages arrive: it finds and reads its own alone.
+            seen = spark.read.schema(files.LISTED).parquet(f"{ledger}/{k}/*") if scan > 1 else spark.createDataFrame([], files.LISTED)
+            listed = files.list_corpus(spark, at).filter("file_type = 'txt'")
+            files.new_files(listed, seen).write.parquet(f"{ledger}/{k}/{scan}")
+            fresh = spark.read.schema(files.LISTED).parquet(f"{ledger}/{k}/{scan}")
+            good, _ = files.scan_files(spark, at, fresh, suffixes=(".txt",))
+            good.withColumn("scan", F.lit(scan)).write.mode("append").parquet(scanned)
     page = F.regexp_extract("stored_path", r"page_id=(\d+)", 1).cast("long")
-    return scans[0].unionByName(scans[1]).select(page.alias("page_id"), "scan", "length", "content_sha256", "collection")
+    return spark.read.parquet(scanned).select(page.alias("page_id"), "scan", "length", "content_sha256", "collection")
 
 
 def a2_page_triage(spark, sf):

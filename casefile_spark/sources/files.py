@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +35,54 @@ MAX_BYTES = 1 << 30
 LISTED = "path string, modificationTime timestamp, length long, filename string, file_type string"
 
 
+#: What opening a file counts beside its bytes when files are dealt to tasks; at Spark's 4 MB a task has four small files.
+OPEN_BYTES = 1 << 15
+#: Files of a folder that is listed at once: the driver holds their names.
+FOLDER_FILES = 50_000
+
+
 def _binary(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+    dealing = spark.newSession()  # the cost belongs to these files, not to the caller's session
+    for key, value in spark.conf.getAll.items():
+        if spark.conf.isModifiable(key):
+            dealing.conf.set(key, value)
+    dealing.conf.set("spark.sql.files.openCostInBytes", OPEN_BYTES)
+    return dealing.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").load(folder)
+
+
+def write_texts(texts: DataFrame, folder: str, key: str, text: str, parts: int) -> list[str]:
+    """Each key's texts as one file of lines, ``<key>=<value>`` in its path; returns the ``parts`` folders the files are dealt to.
+
+    Keys are whole numbers. In a mounted folder tasks write the files themselves: Hadoop's local file system starts a process for each file it
+    makes and moves a folder per file (40 ms a file). Other stores get Spark's writer.
+    """
+    folders = [f"{folder}/part={k}" for k in range(parts)]
+    sc = texts.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path
+    store = path(folder).getFileSystem(sc._jsc.hadoopConfiguration())
+    for f in folders:  # also those that get no file yet
+        store.mkdirs(path(f))
+    rows = texts.select(F.pmod(F.xxhash64(key), F.lit(parts)).alias("part"), key, text).repartition(key)
+    uri = store.makeQualified(path(folder)).toUri()
+    top = uri.getPath() if uri.getScheme() == "file" else None
+    if top is None:
+        # Tasks move their own files: moved by the driver at the end, a folder per key is a call after the other.
+        rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("part", key).text(folder)
+        return folders
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True))
+        n = 0
+        for n, ((part, value), lines) in enumerate(groupby(each, lambda r: r[:2]), 1):  # noqa: B007
+            at = f"{top}/part={part}"
+            # Renamed when whole, so that an attempt that is killed leaves none in part; a name with a dot isn't listed.
+            with open(made := f"{at}/.{key}={value}.{os.getpid()}", "wb") as out:
+                out.writelines(line.as_py() + b"\n" for _, _, line in lines)
+            os.replace(made, f"{at}/{key}={value}.txt")
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    rows.withColumn(text, F.col(text).cast("binary")).sortWithinPartitions(key).mapInArrow(put, "n long").agg(F.sum("n")).first()
+    return folders
 
 
 def list_corpus(spark: SparkSession, folder: str) -> DataFrame:

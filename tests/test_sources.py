@@ -251,3 +251,45 @@ def test_model_catalogue(spark):
 @pytest.mark.parametrize("name, want", [("a.b.PDF", ".pdf"), ("noext", ""), ("x.docx", ".docx")])
 def test_suffix(spark, name, want):
     assert spark.createDataFrame([(name,)], "n string").select(files.suffix_of(F.col("n"))).first()[0] == want
+
+
+def test_texts_become_one_file_a_key(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "one"), (2, "zwei \u00e9"), (3, ""), (2, "zwei \u00e9"), (4, "a\nb")], "id long, t string")
+    for _ in range(2):  # written again, a file replaces itself
+        folders = files.write_texts(rows, f"file://{tmp_path}/texts", "id", "t", 3)
+    assert len(folders) == 3 and all(spark.read.format("binaryFile").load(f) is not None for f in folders)
+    listed = files.list_corpus(spark, f"file://{tmp_path}/texts")
+    good, bad = files.scan_files(spark, f"file://{tmp_path}/texts", listed, suffixes=(".txt",))
+    want = {1: b"one\n", 2: "zwei \u00e9\nzwei \u00e9\n".encode(), 3: b"\n", 4: b"a\nb\n"}
+    assert {r.filename: (r.length, r.content_sha256) for r in good.collect()} == {f"id={k}.txt": (len(v), hashlib.sha256(v).hexdigest()) for k, v in want.items()}
+    assert bad.count() == 0 and sorted(p.name for p in (tmp_path / "texts").rglob("*") if p.is_file()) == [f"id={k}.txt" for k in want]
+
+
+def test_small_files_are_read_many_a_task(spark, tmp_path):
+    files.write_texts(spark.range(300).selectExpr("id", "'x' AS t"), f"{tmp_path}/texts", "id", "t", 1)
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16m")
+        assert files.list_corpus(spark, f"{tmp_path}/texts").rdd.getNumPartitions() < 40  # 75 at four files a task
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+
+
+def test_pages_are_scanned_by_folder_and_each_once(spark, tmp_path, monkeypatch):
+    from casefile_spark.plans import corpus_queries as Q
+
+    monkeypatch.setattr(files, "FOLDER_FILES", 4)
+    scanned, scan_files = [], files.scan_files
+
+    def scan(spark, folder, wanted, **more):
+        scanned.append((folder, [int(r.filename[8:-4]) for r in wanted.collect()]))
+        return scan_files(spark, folder, wanted, **more)
+
+    monkeypatch.setattr(files, "scan_files", scan)
+    pages = [(i, "u", None if i == 3 else f"<p>{i}</p>") for i in range(11)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: r for r in Q.a1_corpus_scan(spark, str(tmp_path)).collect()}
+    bodies = {i: ((html or "") + "\n").encode() for i, _, html in pages}
+    sha = {i: hashlib.sha256(b).hexdigest() for i, b in bodies.items()}
+    assert {i: (r.scan, r.length, r.content_sha256, r.collection) for i, r in got.items()} == {i: (1 + i % 2, len(b), sha[i], f"day1-{sha[i][:16]}") for i, b in bodies.items()}
+    assert len({f for f, _ in scanned}) == 3 and sorted(i for _, ids in scanned for i in ids) == [*range(11)]
